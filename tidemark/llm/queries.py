@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from .common import read
+from .bpe_rank_queue import round_trip
 from .simhash_covering import near_duplicates
 
 
+def op4_bpe_rank_queue(spark, sf_dir):
+    return round_trip(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op4_bpe_rank_queue": op4_bpe_rank_queue,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 
