@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .common import read
 from .bpe_rank_queue import round_trip
+from .quality_rules import ORACLE as QUALITY_SQL
+from .quality_rules import op2_line_quality
 from .simhash_covering import near_duplicates
 
 
@@ -16,8 +18,11 @@ def op7_simhash_near_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_line_quality": op2_line_quality,
     "op4_bpe_rank_queue": op4_bpe_rank_queue,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_quality": QUALITY_SQL,
+}
