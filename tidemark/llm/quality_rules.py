@@ -18,7 +18,6 @@ MAX_REPEAT_PERCENT = 50
 MAX_LOST_PERCENT = 30
 #: Per cent of a line's characters that may be markup symbols, or stand in runs of ! and ?.
 MAX_SYMBOL_PERCENT = 5
-SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: How a line of prose ends, and what marks menus and boilerplate.
 TERMINAL = r"[.!?;:,…。！？][\"'»“”’)\]]*[\x20\x09-\x0D]*$"
@@ -35,14 +34,16 @@ def _array_sum(column: Column) -> Column:
 
 
 def _count_of(text: Column, characters: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
+    """How many of the text's characters are among these; most texts have none, and one search tells."""
+    found = "[" + "".join("\\" + c for c in characters) + "]"
+    return F.when(text.rlike(found), F.length(text) - F.length(F.translate(text, characters, ""))).otherwise(0).cast("long")
 
 
 def line_passes(line: Column) -> Column:
     """True for a line of prose: ends as one, is no menu or boilerplate, and holds little markup."""
     size = F.length(line)
-    marks = size - F.length(F.translate(line, "#*$%&|<>{}=\\~^", ""))
-    shouts = size - F.length(F.regexp_replace(line, r"[!?]{2,}", ""))
+    marks = _count_of(line, "#*$%&|<>{}=\\~^")
+    shouts = F.when(line.rlike("[!?]{2}"), size - F.length(F.regexp_replace(line, r"[!?]{2,}", ""))).otherwise(0)
     return (
         line.rlike(TERMINAL)
         & (100 * marks <= MAX_SYMBOL_PERCENT * size)
@@ -63,7 +64,7 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = docs.drop("quality").withColumns({"__qt": text, "__qw": words, "__ql": lines})
     w = F.col("__qw")
     windows = F.when(
@@ -87,7 +88,7 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
     once = F.col("__qz") >= 0
     quality = F.struct(
         n.alias("n_words"),
-        F.length(F.translate(t, SPACE, "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("__qw", "")).cast("long").alias("word_chars"),
         _count_of(t, SYMBOLS).alias("n_symbols"),
         (F.size("__ql") - F.size(F.array_distinct("__ql"))).cast("long").alias("n_dup_lines"),
         r.alias("n_repeat_words"),
