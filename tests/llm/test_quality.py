@@ -26,7 +26,7 @@ def test_base_counts_match_brute_force(spark, sf):
 
 
 def test_edges(spark):
-    prose = "\n".join(f"This is line {i} of some {i * 7} ordinary words that go on." for i in range(20))
+    prose = "\n".join(f"Sentence{i} tells{i} about{i} several{i} other{i} things{i} here{i}." for i in range(20))
     menu = "Home | News | Sport | Weather\n" * 30
     rows = [(1, None), (2, ""), (3, " \n\t\n"), (4, prose), (4, prose), (5, menu), (6, prose + "\n" + "Home | News | Sport | Weather"), (None, "a b c a b c a b c é"), (7, "word " * 30000)]
     docs = spark.createDataFrame([(d, t, "x", "y", 1) for d, t in rows], SCHEMA)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import read
 from .bpe_rank_queue import round_trip
+from .packing import pack
 from .quality_rules import ORACLE as QUALITY_SQL
 from .quality_rules import op2_line_quality
 from .simhash_covering import near_duplicates
@@ -13,6 +14,10 @@ def op4_bpe_rank_queue(spark, sf_dir):
     return round_trip(read(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark, sf_dir):
+    return pack(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -21,6 +26,7 @@ QUERIES = {
     "op2_line_quality": op2_line_quality,
     "op4_bpe_rank_queue": op4_bpe_rank_queue,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {
