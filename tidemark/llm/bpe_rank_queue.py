@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import public_tokenizers
@@ -26,98 +27,81 @@ from pyspark.sql import functions as F
 from .common import text_chunks
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CACHE_ENTRIES = 300_000
-
-
-class RankQueue:
-    """Ranks below 2^18 that have waiting positions; three levels of 64-bit words."""
-
-    def __init__(self) -> None:
-        self.top = 0
-        self.middle: dict[int, int] = {}
-        self.low: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word, block = rank >> 6, rank >> 12
-        self.low[word] = self.low.get(word, 0) | 1 << (rank & 63)
-        self.middle[block] = self.middle.get(block, 0) | 1 << (word & 63)
-        self.top |= 1 << block
-
-    def first(self) -> int:
-        """The lowest rank waiting, or -1."""
-        if not self.top:
-            return -1
-        block = (self.top & -self.top).bit_length() - 1
-        bits = self.middle[block]
-        word = block << 6 | (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        return word << 6 | (bits & -bits).bit_length() - 1
+CACHE_ENTRIES = 600_000
+
 
-    def drop(self, rank: int) -> None:
-        """Take an emptied rank out of the bitmap."""
-        del self.buckets[rank]
-        word, block = rank >> 6, rank >> 12
-        self.low[word] &= ~(1 << (rank & 63))
-        if not self.low[word]:
-            self.middle[block] &= ~(1 << (word & 63))
-            if not self.middle[block]:
-                self.top &= ~(1 << block)
+#: The bitmap's words, empty between calls: ranks below 2^18 on the lowest level, 64 to a word.
+_LOW = [0] * (1 << 12)
+_MIDDLE = [0] * (1 << 6)
 
 
 def merge(token: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: lowest rank first, leftmost first within a rank."""
-    whole = ranks.get(token)
-    if whole is not None:
+    rank_of = ranks.get
+    if (whole := rank_of(token)) is not None:
         return [whole]
     n = len(token)
     after = list(range(1, n + 1))  # start of the next piece, by start of a piece
     before = list(range(-1, n - 1))
     waiting = [-1] * n  # rank of the piece with its successor, -1 if none or gone
-    queue = RankQueue()
-    initial: dict[int, list[int]] = {}
+    low, middle, top = _LOW, _MIDDLE, 0
+    buckets: dict[int, list[int]] = {}  # positions by rank, each a heap
     for i in range(n - 1):
-        rank = ranks.get(token[i : i + 2], -1)
+        rank = rank_of(token[i : i + 2], -1)
         if rank >= 0:
             waiting[i] = rank
-            initial.setdefault(rank, []).append(i)
-    for rank, positions in initial.items():
-        queue.push(rank, positions[0])
-        queue.buckets[rank] = positions  # ascending, so already a heap
-    while (rank := queue.first()) >= 0:
-        bucket = queue.buckets[rank]
-        while bucket:
+            if rank in buckets:
+                buckets[rank].append(i)
+            else:
+                buckets[rank] = [i]
+                low[rank >> 6] |= 1 << (rank & 63)
+                middle[rank >> 12] |= 1 << (rank >> 6 & 63)
+                top |= 1 << (rank >> 12)
+    while top:
+        # find-first-set on each level
+        block = (top & -top).bit_length() - 1
+        bits = middle[block]
+        word = block << 6 | (bits & -bits).bit_length() - 1
+        bits = low[word]
+        rank = word << 6 | (bits & -bits).bit_length() - 1
+        bucket = buckets[rank]
+        lower = False
+        while bucket and not lower:
             i = heappop(bucket)
             if waiting[i] != rank:
                 continue  # stale
             j = after[i]
-            end = after[j]
-            after[i] = end
+            end = after[i] = after[j]
             waiting[j] = -1
+            left = before[i]
             if end < n:
                 before[end] = i
-                new = ranks.get(token[i : after[end]], -1)
+                new = rank_of(token[i : after[end]], -1)
             else:
                 new = -1
             waiting[i] = new
-            if new >= 0:
-                queue.push(new, i)
-            h = before[i]
-            if h >= 0:
-                new = ranks.get(token[h:end], -1)
-                if new != waiting[h]:
-                    waiting[h] = new
-                    if new >= 0:
-                        queue.push(new, h)
-            if queue.first() < rank:
-                break  # a merge made a pair of lower rank
+            wide = rank_of(token[left:end], -1) if left >= 0 else -1
+            for at, new in ((i, new), (left, wide)):
+                if at < 0 or at == left and new == waiting[at]:
+                    continue
+                waiting[at] = new
+                if new < 0:
+                    continue
+                lower |= new < rank
+                if new in buckets:
+                    heappush(buckets[new], at)
+                else:
+                    buckets[new] = [at]
+                    low[new >> 6] |= 1 << (new & 63)
+                    middle[new >> 12] |= 1 << (new >> 6 & 63)
+                    top |= 1 << (new >> 12)
         if not bucket:
-            queue.drop(rank)
+            del buckets[rank]
+            low[word] ^= 1 << (rank & 63)
+            if not low[word]:
+                middle[block] ^= 1 << (word & 63)
+                if not middle[block]:
+                    top ^= 1 << block
     ids, i = [], 0
     while i < n:
         ids.append(ranks[token[i : after[i]]])
@@ -125,24 +109,37 @@ def merge(token: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class Chunks(dict):
-    """From a chunk of text to its ids as little-endian 32-bit integers; misses are encoded, and the size is bounded.
+class ChunkIds:
+    """The ids of texts by way of their chunks, each encoded once and kept while it is in use.
 
-    A chunk that starts with NUL stands for the rest of it without the space before; any other for
-    a space and itself. See `Encoder.parts`.
+    encode_many gets texts and returns their ids as little-endian 32-bit integers. Two generations
+    of at most `limit` chunks each, and what one batch of texts adds, bound the memory.
     """
 
-    def __init__(self, encode, limit: int = CACHE_ENTRIES) -> None:
-        super().__init__()
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode_many, limit: int = CACHE_ENTRIES) -> None:
+        self.encode_many, self.limit = encode_many, limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.split = Splitter()
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        ids = self.encode(chunk[1:] if chunk[:1] == "\0" else " " + chunk)
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+    def encode(self, texts: list[str]) -> list[bytes]:
+        parts = [self.split.parts(t) if t else [] for t in texts]
+        young, old, new = self.young, self.old, []
+        for chunk in set().union(*parts) - young.keys():
+            ids = old.get(chunk)
+            if ids is None:
+                new.append(chunk)
+            else:
+                young[chunk] = ids
+        # a chunk that starts with NUL stands for the rest of it, any other for a space and itself
+        young.update(zip(new, self.encode_many([c[1:] if c[:1] == "\0" else " " + c for c in new])))
+        out = [b"".join(map(young.__getitem__, p)) for p in parts]
+        for chunk in new:
+            if len(chunk) > 64:
+                del young[chunk]
+        if len(young) > self.limit:
+            self.young, self.old = {}, young
+        return out
 
 
 class Splitter:
@@ -168,26 +165,14 @@ class Encoder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.table = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.tokens: dict[str, bytes] = {}
-        self.split = Splitter()
-        self.chunks = Chunks(self.encode_chunk)
+        self.chunks = ChunkIds(lambda texts: list(map(self.encode_chunk, texts)))
 
     def encode_chunk(self, text: str) -> bytes:
-        out, known = [], self.tokens
-        for match in self.pattern.finditer(text):
-            token = match.group()
-            ids = known.get(token)
-            if ids is None:
-                ids = np.array(merge(token.encode(), self.ranks), "<u4").tobytes()
-                if len(token) <= 64:
-                    if len(known) >= CACHE_ENTRIES:
-                        known.clear()
-                    known[token] = ids
-            out.append(ids)
-        return b"".join(out)
+        ids = [i for token in self.pattern.findall(text) for i in merge(token.encode(), self.ranks)]
+        return pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.chunks.__getitem__, self.split.parts(text))) if text else b""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self.chunks.encode(texts)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -209,7 +194,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         own = encoder(public_tokenizers.path(vocabulary))
         for batch in text_chunks(batches):
-            ids = [own.encode(t or "") for t in batch.column("text").to_pylist()]
+            ids = own.encode(batch.column("text").to_pylist())
             sizes = np.fromiter((len(x) // 4 for x in ids), np.int32, len(ids))
             values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
@@ -242,7 +227,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches):
         own = encoder(public_tokenizers.path(vocabulary))
         for batch in text_chunks(batches):
-            ids = [own.encode(t or "") for t in batch.column("text").to_pylist()]
+            ids = own.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),

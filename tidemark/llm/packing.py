@@ -10,6 +10,7 @@ and so richer partitions, and packed again.
 from __future__ import annotations
 
 import zlib
+from struct import pack as pack_ids
 
 import numpy as np
 import public_tokenizers
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe_rank_queue import CACHE_ENTRIES, Chunks, Splitter
+from .bpe_rank_queue import ChunkIds
 from .common import staged, text_chunks
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,14 +39,13 @@ class TokenIds:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = Splitter()
-        self.chunks = Chunks(self.one, CACHE_ENTRIES)
+        self.chunks = ChunkIds(self.many)
 
-    def one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def many(self, texts: list[str]) -> list[bytes]:
+        return [pack_ids(f"<{len(x.ids)}I", *x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.chunks.__getitem__, self.split.parts(text))) if text else b""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self.chunks.encode(texts)
 
 
 _TOKENIZERS: dict[str, TokenIds] = {}
@@ -68,8 +68,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
         own = _tokenizer(vocabulary)
         for batch in text_chunks(batches):
             at, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = own.encode(text or "") + end
+            for i, ids in enumerate(own.encode(batch.column("text").to_pylist())):
+                ids += end
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
