@@ -8,6 +8,7 @@ from .packing import pack
 from .quality_rules import ORACLE as QUALITY_SQL
 from .quality_rules import op2_line_quality
 from .simhash_covering import near_duplicates
+from .toxicity_kn import op10_toxicity
 
 
 def op4_bpe_rank_queue(spark, sf_dir):
@@ -27,6 +28,7 @@ QUERIES = {
     "op4_bpe_rank_queue": op4_bpe_rank_queue,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
