@@ -8,6 +8,7 @@ from .packing import pack
 from .quality_rules import ORACLE as QUALITY_SQL
 from .quality_rules import op2_line_quality
 from .simhash_covering import near_duplicates
+from .suffix_dedup import removed_spans
 from .toxicity_kn import op10_toxicity
 
 
@@ -15,6 +16,10 @@ def op4_bpe_rank_queue(spark, sf_dir):
     return round_trip(read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return removed_spans(read(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark, sf_dir):
     return pack(read(spark, sf_dir, "documents"))
 
@@ -27,6 +32,7 @@ QUERIES = {
     "op2_line_quality": op2_line_quality,
     "op4_bpe_rank_queue": op4_bpe_rank_queue,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_toxicity": op10_toxicity,
 }
