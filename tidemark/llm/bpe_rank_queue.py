@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from heapq import heappop, heappush
 from struct import pack
 
@@ -149,10 +150,12 @@ class Splitter:
     and such a newline is one by itself. Texts with other white space, or NUL, go as one chunk.
     """
 
-    ODD = regex.compile(r"[\s\x1c-\x1f\0]{2}|[^\S \n]|[\0\x1c-\x1f]|^\s|\s$")
+    #: White space other than space and newline, and the controls that some count as such.
+    OTHER = re.compile("[\0\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
     def parts(self, text: str) -> list[str]:
-        if self.ODD.search(text) is None:
+        ends = text[0] in " \n" or text[-1] in " \n"
+        if not (ends or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or self.OTHER.search(text)):
             return ("\0" + text.replace("\n", " \0\n \0")).split(" ")
         return ["\0" + text]
 

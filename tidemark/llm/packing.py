@@ -9,6 +9,7 @@ and so richer partitions, and packed again.
 
 from __future__ import annotations
 
+import os
 import zlib
 from struct import pack as pack_ids
 
@@ -37,6 +38,7 @@ class TokenIds:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core already
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.chunks = ChunkIds(self.many)
