@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import read
 from .bpe_rank_queue import round_trip
+from .ngram_trie import score as lm_score
 from .packing import pack
 from .quality_rules import ORACLE as QUALITY_SQL
 from .quality_rules import op2_line_quality
@@ -16,6 +17,10 @@ def op4_bpe_rank_queue(spark, sf_dir):
     return round_trip(read(spark, sf_dir, "documents"))
 
 
+def op6_ngram_trie(spark, sf_dir):
+    return lm_score(read(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark, sf_dir):
     return removed_spans(read(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ def op7_simhash_near_dedup(spark, sf_dir):
 QUERIES = {
     "op2_line_quality": op2_line_quality,
     "op4_bpe_rank_queue": op4_bpe_rank_queue,
+    "op6_ngram_trie": op6_ngram_trie,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
