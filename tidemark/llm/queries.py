@@ -10,9 +10,14 @@ from .quality_rules import ORACLE as QUALITY_SQL
 from .quality_rules import op2_line_quality
 from .simhash_covering import near_duplicates
 from .suffix_dedup import removed_spans
+from .topk_pivot import top_k
 from .toxicity_kn import op10_toxicity
 
 
+def op1_pivot_top_k(spark, sf_dir):
+    return top_k(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op4_bpe_rank_queue(spark, sf_dir):
     return round_trip(read(spark, sf_dir, "documents"))
 
@@ -34,6 +39,7 @@ def op7_simhash_near_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_pivot_top_k": op1_pivot_top_k,
     "op2_line_quality": op2_line_quality,
     "op4_bpe_rank_queue": op4_bpe_rank_queue,
     "op6_ngram_trie": op6_ngram_trie,
@@ -44,5 +50,13 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_pivot_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x : CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+""",
     "op2_line_quality": QUALITY_SQL,
 }
