@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import read
 from .bpe_rank_queue import round_trip
+from .html_content import op5_html_content
 from .ngram_trie import score as lm_score
 from .packing import pack
 from .quality_rules import ORACLE as QUALITY_SQL
@@ -42,6 +43,7 @@ QUERIES = {
     "op1_pivot_top_k": op1_pivot_top_k,
     "op2_line_quality": op2_line_quality,
     "op4_bpe_rank_queue": op4_bpe_rank_queue,
+    "op5_html_content": op5_html_content,
     "op6_ngram_trie": op6_ngram_trie,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
