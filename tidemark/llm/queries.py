@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import read
 from .bpe_rank_queue import round_trip
+from .compact_windows import near_duplicate_passages
 from .html_content import op5_html_content
 from .ngram_trie import score as lm_score
 from .packing import pack
@@ -19,6 +20,10 @@ def op1_pivot_top_k(spark, sf_dir):
     return top_k(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
 
+def op3_compact_windows(spark, sf_dir):
+    return near_duplicate_passages(read(spark, sf_dir, "documents"))
+
+
 def op4_bpe_rank_queue(spark, sf_dir):
     return round_trip(read(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ def op7_simhash_near_dedup(spark, sf_dir):
 QUERIES = {
     "op1_pivot_top_k": op1_pivot_top_k,
     "op2_line_quality": op2_line_quality,
+    "op3_compact_windows": op3_compact_windows,
     "op4_bpe_rank_queue": op4_bpe_rank_queue,
     "op5_html_content": op5_html_content,
     "op6_ngram_trie": op6_ngram_trie,
