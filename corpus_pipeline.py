@@ -1,11 +1,72 @@
-"""The corpus pipeline; stages follow as their operators do."""
+"""The corpus pipeline: documents in, packed training sequences out.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), with docs the table that the stage before it wrote, and
+returns a DataFrame; all but the last return the columns of documents. `sf_dir` is read for labels
+only. Null and empty texts fail the quality rules; rows with a null doc_id stay through every
+stage but belong to no near-duplicate group with an id; an empty table gives an empty one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from tidemark.llm import packing, quality_rules, simhash_covering, suffix_dedup, toxicity_kn
+from tidemark.llm.common import staged
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the line-first rules, without the lines that fail."""
+    return quality_rules.keep_clean(docs)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays under the threshold; the models learn from this stage's labelled rows."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity_kn.fit(toxicity_kn.train_rows(docs), toxicity_kn.train_rows(labels))
+    scored = toxicity_kn.score(docs.withColumn("__text", F.col("text")), model, text_col="__text", columns=docs.columns)
+    return scored.where(F.col("score") < toxicity_kn.THRESHOLD).drop("score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-copies by SimHash: the one with the smallest doc_id.
+
+    Of rows that repeat a kept doc_id, the one with the smallest text stays. Rows with a null
+    doc_id can't be told apart by id; they all stay.
+    """
+    groups = simhash_covering.near_duplicates(docs).select("doc_id", "component_id")
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    own = docs.join(kept, "doc_id", "left_semi")
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+    one = own.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank")
+    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that repeat 50 bytes of a document with a smaller doc_id."""
+    return suffix_dedup.deduplicated(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document and their places in sequences of 1024 tokens."""
+    return packing.pack(docs)
+
+
+#: Training a model, fingerprints and tokenizers have no SQL form; each stage is tested by itself.
 ORACLE_SQL = None
+STAGES = [
+    ("quality_rules", quality),
+    ("toxicity", toxicity),
+    ("simhash_near_dedup", near_duplicates),
+    ("suffix_array_dedup", repeated_passages),
+    ("best_fit_packing", pack),
+]
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over the documents of sf_dir, each stage's rows written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), name)
     return docs
