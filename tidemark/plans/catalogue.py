@@ -225,22 +225,22 @@ def presence_hour(read):
 
 @query(f"""WITH {_SESSIONS}, g AS (SELECT user_id, session_seq, end_time AS gap_start, lead(start_time) OVER (PARTITION BY user_id ORDER BY session_seq) AS gap_end FROM v),
 q AS (SELECT * FROM g WHERE gap_end IS NOT NULL AND gap_start >= TIMESTAMP '2024-01-15' AND gap_start < TIMESTAMP '2024-01-25'),
-c AS (SELECT q.user_id, q.session_seq, e.event_type FROM q JOIN events e ON e.user_id = q.user_id AND e.ts = q.gap_start),
-p AS (SELECT event_type, date_trunc('hour', ts) AS h, user_id, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY ALL),
+c AS (SELECT q.user_id, q.session_seq, e.event_type, floor(e.value) AS cell FROM q JOIN events e ON e.user_id = q.user_id AND e.ts = q.gap_start),
+p AS (SELECT event_type, floor(value) AS cell, date_trunc('hour', ts) AS h, user_id, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY ALL),
 j AS (SELECT q.user_id, q.session_seq, count(DISTINCT p.user_id) FILTER (p.last_seen >= q.gap_start AND p.first_seen <= q.gap_end) AS n_corroborators,
   count(*) FILTER (p.h < date_trunc('day', q.gap_start) AND p.h >= date_trunc('day', q.gap_start) - INTERVAL 10 DAY) AS vh,
   count(DISTINCT p.user_id) FILTER (p.h < date_trunc('day', q.gap_start) AND p.h >= date_trunc('day', q.gap_start) - INTERVAL 10 DAY) AS n_baseline
-  FROM q JOIN c USING (user_id, session_seq) LEFT JOIN p ON p.event_type = c.event_type AND p.user_id <> q.user_id GROUP BY ALL)
+  FROM q JOIN c USING (user_id, session_seq) LEFT JOIN p ON p.event_type = c.event_type AND p.cell = c.cell AND p.user_id <> q.user_id GROUP BY ALL)
 SELECT q.user_id, q.session_seq, coalesce(n_corroborators, 0) AS n_corroborators, coalesce(n_baseline, 0) AS n_baseline, round(coalesce(vh, 0) / 240.0 * (epoch_us(gap_end) - epoch_us(gap_start)) / 3.6e9, 6) AS expected,
  CASE WHEN coalesce(n_corroborators, 0) >= 1 THEN 'receiver_alive' WHEN coalesce(vh, 0) / 240.0 * (epoch_us(gap_end) - epoch_us(gap_start)) / 3.6e9 >= 3 AND coalesce(n_baseline, 0) >= 3 THEN 'area_dark' ELSE 'no_evidence' END AS verdict
 FROM q LEFT JOIN j USING (user_id, session_seq)""")
 def corroboration_verdict(read):
     from tidemark.operators.detectors import liveness_verdict, presence
 
-    e = read("events")
+    e = read("events").withColumn("cell", F.floor("value"))
     gaps = tl.session_gaps(_sessions(read), "user_id").where("gap_start >= timestamp_ntz'2024-01-15' and gap_start < timestamp_ntz'2024-01-25'")
-    cells = gaps.join(e.select("user_id", F.col("ts").alias("gap_start"), "event_type"), ["user_id", "gap_start"]).select("user_id", "session_seq", "event_type")
-    out = liveness_verdict(gaps, cells, presence(e, ["event_type"], "ts", "user_id"), ["user_id", "session_seq"], ["event_type"], "user_id", baseline_days=10)
+    cells = gaps.join(e.select("user_id", F.col("ts").alias("gap_start"), "event_type", "cell"), ["user_id", "gap_start"]).select("user_id", "session_seq", "event_type", "cell")
+    out = liveness_verdict(gaps, cells, presence(e, ["event_type", "cell"], "ts", "user_id"), ["user_id", "session_seq"], ["event_type", "cell"], "user_id", baseline_days=10)
     return out.select("user_id", "session_seq", "n_corroborators", "n_baseline", r6("expected").alias("expected"), "verdict")
 
 
