@@ -252,7 +252,10 @@ def train(pages: DataFrame, url_col: str = "url", html_col: str = "html", limit:
     """
     rng, t = random.Random(17), Trees()
     sample = pages.select(F.col(html_col).alias("html"), F.xxhash64(F.col(url_col), F.col(html_col)).alias("h"))
-    rows = sample.where(F.col("html").rlike(r"(?i)<(article|main)\b") & (F.length("html") < 200_000)).orderBy("h", "html").limit(limit).collect()
+    tells = sample.where(F.col("html").rlike(r"(?i)<(article|main)\b") & (F.length("html") < 200_000))
+    # hashes alone are ordered, as every task sends its first ones; then the pages of those are fetched
+    least = [r.h for r in tells.select("h").distinct().orderBy("h").limit(limit).collect()]
+    rows = tells.where(F.col("h").isin(least)).dropDuplicates(["h"]).orderBy("h").collect() if least else []
     articles = [_FALLBACK] * 3
     for row in rows:
         marked = _labelled(row.html)
