@@ -1,0 +1,71 @@
+"""Forward-in-time models on DataFrames: training windows, exact medians, logistic scores, ensembles."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.operators.evaluation import average_rank
+
+FORBIDDEN = ("label", "sanction", "designat")
+
+
+def feature_columns(names: Sequence[str]) -> list[str]:
+    """The names that may be features; one that tells the label is an error."""
+    bad = [n for n in names if any(f in n.lower() for f in FORBIDDEN)]
+    if bad:
+        raise ValueError(f"not features: {bad}")
+    return list(names)
+
+
+def split_by_crc(df: DataFrame, key: Column, salt: str, parts: int = 2) -> DataFrame:
+    """df with the part of each key, by CRC-32 of salt and key; the same at any time and anywhere."""
+    return df.withColumn("part", F.crc32(F.concat(F.lit(f"{salt}|"), key.cast("string")).cast("binary")) % parts)
+
+
+def before(df: DataFrame, window_end: str, cutoff: str) -> DataFrame:
+    """Rows whose window ended before the cutoff: what a model may be trained on."""
+    return df.where(F.col(window_end) < F.lit(cutoff))
+
+
+def impute_medians(train: DataFrame, others: Sequence[DataFrame], columns: Sequence[str]) -> list[DataFrame]:
+    """train and others with nulls replaced by the exact medians of train (0 where it has none)."""
+    medians = {k: (0.0 if v is None else float(v)) for k, v in train.agg(*(F.median(c).alias(c) for c in columns)).first().asDict().items()}
+    return [d.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in columns}) for d in (train, *others)]
+
+
+def logistic_scores(train: DataFrame, score: DataFrame, features: Sequence[str], label: str, c: float = 0.3) -> DataFrame:
+    """score with a probability: standardised, balanced, L2-regularised logistic regression fitted on train."""
+    names = feature_columns(features)
+    a, b = impute_medians(train, [score], names)
+    counts = {bool(r[label]): r["count"] for r in a.groupBy(label).count().collect() if r[label] is not None}
+    n = sum(counts.values())
+    if len(counts) < 2:
+        return score.withColumn("score", F.lit(1.0 if counts.get(True) else 0.0))
+    weight = F.when(F.col(label).cast("int") == 1, n / (2 * counts[True])).otherwise(n / (2 * counts[False]))
+    pack = VectorAssembler(inputCols=names, outputCol="__raw")
+    scaler = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True).fit(pack.transform(a))
+    rows = scaler.transform(pack.transform(a.where(F.col(label).isNotNull()).withColumn("__w", weight).withColumn("__y", F.col(label).cast("double"))))
+    model = LogisticRegression(featuresCol="__x", labelCol="__y", weightCol="__w", probabilityCol="__p", rawPredictionCol="__r", predictionCol="__d", regParam=1 / (c * n), standardization=False).fit(rows)
+    out = model.transform(scaler.transform(pack.transform(b)))
+    return out.withColumn("score", vector_to_array("__p")[1]).drop("__raw", "__x", "__p", "__r", "__d")
+
+
+def rank_mean(df: DataFrame, scores: Sequence[str], keys: Sequence[str] = (), name: str = "ensemble") -> DataFrame:
+    """The mean of several scores' average ranks."""
+    out = df
+    for s in scores:
+        out = average_rank(out, s, keys, f"__rank_{s}")
+    total = sum((F.col(f"__rank_{s}") for s in scores), F.lit(0.0))
+    return out.withColumn(name, total / len(scores)).drop(*(f"__rank_{s}" for s in scores))
+
+
+def next_period_target(df: DataFrame, key: str, month: str, value: str) -> DataFrame:
+    """Each key and month with its value in the month after; null where there is none."""
+    later = df.select(key, F.add_months(month, -1).alias(month), F.col(value).alias(f"next_{value}"))
+    return df.join(later, [key, month], "left")

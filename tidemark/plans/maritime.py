@@ -252,3 +252,58 @@ def identity_history(read):
     e = read("events").select("user_id", "ts", "event_type")
     cut = e.select("user_id").distinct().withColumn("cutoff", F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
     return ft.identity_history(e, cut, "user_id", "ts", ["event_type"], 5).withColumn("state_age_days", r6("state_age_days"))
+
+
+@query("""WITH s AS (SELECT s_suppkey, s_nationkey * 4.0 AS cx, s_acctbal / 100 AS cy FROM supplier WHERE s_suppkey < 40), p AS (SELECT p_partkey, (p_partkey % 100) * 1.0 + 0.25 AS x, p_retailprice % 100 + 0.003 AS y FROM part)
+SELECT p_partkey, s_suppkey FROM p JOIN s ON abs(x - cx) / 9.0 + abs(y - cy) / 11.0 < 1 AND NOT abs(x - cx) / 3.0 + abs(y - cy) / 4.0 < 1""")
+def point_in_polygon(read):
+    """Diamonds with a diamond hole around each supplier."""
+    from tidemark.operators.geometry import points_in_polygons, polygon_edges
+
+    cx, cy = F.col("s_nationkey") * 4.0, F.col("s_acctbal") / 100
+    at = lambda dx, dy: F.struct((cx + dx).alias("x"), (cy + dy).alias("y"))
+    diamond = lambda a, b: F.array(at(a, 0.0), at(0.0, b), at(-a, 0.0), at(0.0, -b), at(a, 0.0))
+    polygons = read("supplier").where("s_suppkey < 40").select("s_suppkey", F.array(diamond(9.0, 11.0), diamond(3.0, 4.0)).alias("rings"))
+    points = read("part").select("p_partkey", ((F.col("p_partkey") % 100) * 1.0 + 0.25).alias("x"), (F.col("p_retailprice") % 100 + 0.003).alias("y"))
+    return points_in_polygons(points, polygon_edges(polygons, "s_suppkey", "rings"), "p_partkey", "x", "y", "s_suppkey", 4.0)
+
+
+@query(f"""WITH {_P}, t AS (SELECT s_suppkey, 54 + (s_acctbal * 7 % 400) / 100 AS la, 8 + (s_acctbal * 13 % 1200) / 100 AS lo FROM supplier),
+d AS (SELECT event_id, s_suppkey, {_hav("latitude", "longitude", "la", "lo")} AS m FROM p, t)
+SELECT event_id, arg_min(s_suppkey, (m, s_suppkey)) AS s_suppkey, round(min(m), 3) AS distance_m FROM d WHERE m <= 20000 GROUP BY event_id""")
+def nearest_place(read):
+    from tidemark.operators.geometry import nearest_within
+
+    b = F.col("s_acctbal")
+    places = read("supplier").select("s_suppkey", (54 + (b * 7 % 400) / 100).alias("latitude"), (8 + (b * 13 % 1200) / 100).alias("longitude"))
+    out = nearest_within(_positions(read), places, "event_id", "s_suppkey", "latitude", "longitude", 20_000.0)
+    return out.withColumn("distance_m", F.round("distance_m", 3))
+
+
+@query("""WITH d AS (SELECT doc_id, quality AS y, n_chars AS a, length(source) * 100 + doc_id % 7 AS b FROM documents JOIN labels USING (doc_id)),
+r AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM d)
+SELECT doc_id, (ra + rb) / 2 AS ensemble FROM r""")
+def rank_mean_ensemble(read):
+    from tidemark.operators.models import rank_mean
+
+    d = read("documents").join(read("labels"), "doc_id").select("doc_id", F.col("n_chars").alias("a"), (F.length("source") * 100 + F.col("doc_id") % 7).alias("b"))
+    return rank_mean(d, ["a", "b"]).select("doc_id", "ensemble")
+
+
+@query("""WITH m AS (SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n FROM orders GROUP BY ALL)
+SELECT m.o_custkey, m.month, m.n, x.n AS next_n FROM m LEFT JOIN m x ON x.o_custkey = m.o_custkey AND x.month = m.month + INTERVAL 1 MONTH""")
+def next_month_target(read):
+    from tidemark.operators.models import next_period_target
+
+    m = read("orders").groupBy("o_custkey", F.trunc("o_orderdate", "month").alias("month")).agg(F.count("*").alias("n"))
+    return next_period_target(m, "o_custkey", "month", "n")
+
+
+@query()
+def logistic_risk(read):
+    """Held-out scores of a logistic model; the split is by CRC of the id."""
+    from tidemark.operators.models import logistic_scores, split_by_crc
+
+    d = read("documents").join(read("labels"), "doc_id").select("doc_id", "quality", "n_chars", F.length("text").alias("length"), F.size(F.split("text", "\n")).alias("lines"))
+    d = split_by_crc(d, F.col("doc_id"), "salt")
+    return logistic_scores(d.where("part = 0"), d.where("part = 1"), ["n_chars", "length", "lines"], "quality").select("doc_id", "quality", r6("score").alias("score"))
