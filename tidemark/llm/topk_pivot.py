@@ -138,7 +138,7 @@ def top_k(table: DataFrame, queries: "F.Column", id_col: str = "vec_id", vector_
     spark = table.sparkSession
     rows = staged(whole_numbers(table, id_col, vector_col, scale).withColumn("is_query", queries_on(queries, id_col)), "vectors")
     square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
-    whole = rows.agg(F.count("*").alias("n"), F.max(square).alias("top"), F.max(F.size("v")).alias("width")).first()
+    whole = rows.agg(F.count("*").alias("n"), F.max(square).alias("top"), F.max(F.size("v")).alias("width"), F.count_if("is_query").alias("asking")).first()
     n, width = whole.n, whole.width or 1
     # a share of all hashes that holds about half of the bound; any sample gives the same results
     few = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < (1 << 30) * min(1.0, PIVOT_SAMPLE / 2 / max(n, 1))
@@ -190,6 +190,9 @@ def top_k(table: DataFrame, queries: "F.Column", id_col: str = "vec_id", vector_
     summary = chunks.select("chunk", "pivot", "low", "high").toPandas().sort_values("chunk")
     bounds = spark.sparkContext.broadcast(tuple(summary[c].to_numpy() for c in ("chunk", "pivot", "low", "high")))
 
+    # a chunk is sent once for each group of about BLOCKS_PER_TASK full blocks of queries
+    groups = -(-whole.asking // (QUERY_BLOCK * BLOCKS_PER_TASK)) or 1
+
     def ask(batches):
         """Blocks of a chunk's queries, each with the chunks that its bounds don't rule out."""
         g = shared.value
@@ -205,7 +208,7 @@ def top_k(table: DataFrame, queries: "F.Column", id_col: str = "vec_id", vector_
                     group = pa.array(names[open_])
                     m = len(group)
                     blob = np.column_stack((np.array(row["ids"])[own], floors, v[own])).astype("<i8").tobytes()
-                    task = (row["chunk"] + i) % 4096 // BLOCKS_PER_TASK
+                    task = (row["chunk"] + i) % groups
                     yield pa.RecordBatch.from_arrays([group, pa.array([task] * m, pa.int32()), pa.array([blob] * m, pa.binary())], ["chunk", "task", "queries"])
 
     asked = staged(chunks.select("chunk", "ids", "v", "is_query", "floors").mapInArrow(ask, "chunk long, task int, queries binary"), "asked")
