@@ -339,12 +339,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", step:
                 weights = np.full(len(context), 0xFFFF, np.uint16)
                 np.minimum.at(weights, back, weight)
                 weight = weights[back]
-                add_one = (count + 1) / ((n_train + 1) * (types + 1))
                 smooth = (count + 1) / (n_train + types + 1)
                 p = np.where(weight < 0xFFFF, np.exp(-CODE_STEP * weight), 1.0)[which] * smooth[flat]
                 p += np.where(found < 0xFFFF, np.exp(-CODE_STEP * found), 0.0)[which]
                 starts = np.cumsum(sizes) - sizes
-                sums = [np.add.reduceat(x, starts) for x in (np.log10(add_one)[flat], np.log10(p), (count > 0).astype(np.int64)[flat])]
+                sums = [np.add.reduceat(x, starts) for x in (np.log10(smooth)[flat], np.log10(p), (count > 0).astype(np.int64)[flat])]
                 ids = own.column("id")
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(~_training(ids.to_pylist())), pa.array(sizes, pa.int64()), pa.array(sums[2], pa.int64()), pa.array(np.full(len(sizes), n_train), pa.int64()), pa.array(sums[0]), pa.array(sums[1])],
