@@ -13,6 +13,8 @@ on the same bounded sample turns both into a score.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import uuid
 
 import numpy as np
@@ -31,19 +33,51 @@ THRESHOLD = 0.3
 #: A word's log ratio from which it stands out.
 STANDS_OUT = 2.0
 CACHE_ENTRIES = 400_000
-#: Code points of a word that the model reads; longer words, rare but for junk, are cut for the model only.
+#: Code points that the model reads at a time; longer words are read in pieces that share ORDER - 1 of them.
 MAX_WORD = 40
+#: What parts the words of such a run: white space beyond ASCII's, and punctuation.
+_PARTS = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(1 << 16)) if unicodedata.category(c)[0] in "PZ" or unicodedata.category(c) == "Cc") + "]+")
+_EDGES = ".,;:!?\"'()[]{}#*$%&|<>"
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _words(texts: pa.Array) -> pa.ListArray:
-    """Lower-case words of each text, without the ASCII punctuation around them."""
-    return pc.ascii_split_whitespace(pc.utf8_lower(texts.cast(pa.large_string())))
+    """Lower-case words of each text, without the ASCII punctuation around them; longer runs in pieces."""
+    lists = pc.ascii_split_whitespace(pc.utf8_lower(texts.cast(pa.large_string())))
+    flat = lists.flatten()
+    long = pc.greater(pc.utf8_length(flat), MAX_WORD)
+    if not pc.any(long).as_py():
+        return lists
+    at = np.flatnonzero(long.to_numpy(zero_copy_only=False))
+    made = [_pieces(w) for w in flat.take(pa.array(at)).to_pylist()]
+    # the places of all words, those of long ones once for each piece
+    sizes = np.ones(len(flat), np.int64)
+    sizes[at] = [len(x) for x in made]
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    source = np.repeat(np.arange(len(flat)), sizes)
+    wide = np.zeros(len(flat), bool)
+    wide[at] = True
+    source[wide[source]] = len(flat) + np.arange(int(sizes[at].sum()))
+    pool = pa.concat_arrays([flat, pa.array([p for x in made for p in x], flat.type)])
+    cuts = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    offsets = ends[np.concatenate(([0], cuts))]
+    return pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pool.take(pa.array(source)))
+
+
+def _pieces(word: str) -> list[str]:
+    """A word as the model reads it: a run of over MAX_WORD code points by its parts, long parts by overlapping pieces."""
+    if len(word.strip(_EDGES)) <= MAX_WORD:
+        return [word]
+    out = []
+    for part in _PARTS.split(word):
+        step = MAX_WORD - ORDER + 1
+        out += [part[i : i + MAX_WORD] for i in range(0, max(len(part) - ORDER + 1, 1), step)] if part else []
+    return out or [""]
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A matrix of code points (1 begins and 2 ends a word) and the rows' lengths."""
-    cut = [w.strip(".,;:!?\"'()[]{}#*$%&|<>")[:MAX_WORD] for w in words]
+    cut = [w.strip(_EDGES) for w in words]
     sizes = np.fromiter(map(len, cut), np.int64, len(cut))
     codes = np.zeros((len(cut), (int(sizes.max()) if len(cut) else 0) + 2), np.uint32)
     codes[:, 0] = 1
@@ -220,6 +254,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     of = [F.count_if((F.col("y") == y) & (F.col("fold") == f)).alias(f"n{y}{f}") for y in (0, 1) for f in (0, 1)]
     rows = sample.select("y", "fold", words).select("y", "fold", strip.alias("w")).where("w <> ''").groupBy("w").agg(*of).toPandas().sort_values("w")
 
+    if (rows.w.str.len() > MAX_WORD).any():
+        rows = rows.assign(w=rows.w.map(_pieces)).explode("w")
+        rows = rows[rows.w != ""].groupby("w", sort=True, as_index=False).sum()
+
     def model_of(folds):
         o, t = (sum(rows[f"n{y}{f}"].to_numpy(float) for f in folds) for y in (0, 1))
         some = o + t > 0
