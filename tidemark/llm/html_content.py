@@ -42,9 +42,11 @@ NEGATIVE = frozenset("ad ads advert advertisement advertising banner breadcrumb
 POSITIVE = frozenset("article articlebody body content entry main page post story text".split())
 KNOWN_TAGS = "html body div section article main header footer nav aside form p h1 h2 h3 h4 h5 h6 ul ol li table tr td th dl dt dd blockquote pre figure figcaption details summary dialog button select option fieldset address center menu".split()
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|math|iframe|object|select|head(?=[\s>])(?=.*</head))\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>]).*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: Elements removed with what they hold, if they end; without an end tag they are as any other.
+REMOVED = {name: re.compile(rf"</{name}\s*>", re.I) for name in "noscript template textarea title svg iframe select head".split()}
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 LABEL = re.compile(r'data-y="([01])"')
 ENDS = re.compile(r"[.!?…。！？]")
@@ -104,7 +106,8 @@ class Trees:
                 linked = 0
 
         last = 0
-        for m in TOKEN.finditer(html):
+        endless = set()
+        while m := TOKEN.search(html, last):
             start = m.start()
             if start > last:
                 text = html[last:start]
@@ -116,6 +119,13 @@ class Trees:
             if name is None:
                 continue
             name = name.lower()
+            if name in ("svg", "math") and m[4].endswith("/"):
+                continue
+            if name in REMOVED and not m[2] and name not in endless:
+                if end := REMOVED[name].search(html, last):
+                    last = end.end()
+                    continue
+                endless.add(name)
             if name in INLINE:
                 if name == "a":
                     in_link = not m[2]
