@@ -86,3 +86,12 @@ def test_masks_cover_every_pair_within_the_radius():
     for i in range(64):
         for j in range(i, 64):
             assert any(not (m >> i & 1) and not (m >> j & 1) for m in masks)
+
+
+def test_texts_of_many_chunks_match_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = brute([(r.doc_id, r.text) for r in docs.collect()])
+    for size in (300, 5000):
+        assert got(sh.near_duplicates(docs.coalesce(1), chunk_bytes=size)) == want
+    big = [(i, " ".join(f"Ä{(i // 2) * 7 + j % 991} Bx" for j in range(120_000))) for i in range(6)]
+    assert got(sh.near_duplicates(spark.createDataFrame(big, "doc_id long, text string").coalesce(1))) == brute(big)

@@ -43,7 +43,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut into slices of at most `limit` bytes of text, or one row where a row is longer."""
+    """The batches cut into pieces of at most `limit` bytes of text, or one row where a row is longer.
+
+    A piece is a copy and not a view: Arrow's kernels misread some sliced string arrays.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -52,7 +55,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit:
         while start < batch.num_rows:
             base = sizes[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(sizes, base + limit, side="right")))
-            yield batch.slice(start, stop - start)
+            yield batch if stop - start == batch.num_rows else batch.take(pa.array(np.arange(start, stop)))
             start = stop
 
 

@@ -154,7 +154,7 @@ class Trie:
 
 def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct token hashes, every token's place among them, tokens per document): words, then one end each."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(batch.column("text").fill_null("").cast(pa.large_string())))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(batch.column("text").fill_null("")).cast(pa.large_string()))
     coded = lists.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))

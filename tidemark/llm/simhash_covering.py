@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, staged, text_chunks
+from .common import CHUNK_BYTES, components, staged, text_chunks
 
 SHINGLE = 3
 RADIUS = 2
@@ -78,12 +78,12 @@ def majority(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) of every row; null and wordless texts get zero."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(id, fp long) of every row; null and wordless texts get zero. chunk_bytes: text that a task handles at a time."""
 
     def run(batches):
-        for batch in text_chunks(batches):
-            texts = pc.ascii_lower(batch.column("text").cast(pa.large_string())).cast(pa.large_binary())
+        for batch in text_chunks(batches, limit=chunk_bytes):
+            texts = pc.ascii_lower(batch.column("text")).cast(pa.binary())
             own = [shingle_hashes(t) if t else [] for t in texts.to_pylist()]
             lengths = np.fromiter(map(len, own), np.int64, len(own))
             hashes = np.fromiter((h for x in own for h in x), np.uint64, int(lengths.sum()))
@@ -112,7 +112,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return groups.select(F.explode("all").alias("a"), "b").where("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(id_col, fingerprint, component_id) of every row of docs.
 
     component_id is the smallest id reachable over links between fingerprints of `radius` or fewer
@@ -121,7 +121,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id at all; repeated rows are kept. An empty table gives none. Only the two columns named are
     read, so others may have any names.
     """
-    prints = staged(fingerprints(docs, id_col, text_col), "fingerprints")
+    prints = staged(fingerprints(docs, id_col, text_col, chunk_bytes), "fingerprints")
     least = prints.groupBy("fp").agg(F.min("id").alias("least"))
     group = components(links(least, radius))
     labelled = least.join(group, least.fp == group.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("label"))

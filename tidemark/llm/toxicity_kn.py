@@ -43,7 +43,7 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 
 def _words(texts: pa.Array) -> pa.ListArray:
     """Lower-case words of each text, without the ASCII punctuation around them; longer runs in pieces."""
-    lists = pc.ascii_split_whitespace(pc.utf8_lower(texts.cast(pa.large_string())))
+    lists = pc.ascii_split_whitespace(pc.utf8_lower(texts).cast(pa.large_string()))
     flat = lists.flatten()
     long = pc.greater(pc.utf8_length(flat), MAX_WORD)
     if not pc.any(long).as_py():
