@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from tidemark.operators import detectors as d
 from tidemark.operators import evaluation as ev
 from tidemark.operators import identity as ident
 from tidemark.operators import joins as jn
+from tidemark.operators import resampling as rs
 from tidemark.operators import timeline as tl
 
 T0 = dt.datetime(2024, 6, 1)
@@ -123,10 +125,20 @@ def test_encounters_cross_midnight_and_split(spark):
 
 
 def test_encounter_confidence(spark):
-    score = d.encounter_confidence(F.lit("moved"), F.lit("moved"), F.lit(800.0), F.lit("Tanker"), F.lit("Tanker"), F.lit("Under way using engine"), F.lit("Under way using engine"), F.lit(1), F.lit(5.0))
-    low = d.encounter_confidence(F.lit("stationary"), F.lit("stationary"), F.lit(0.0), F.lit("Tug"), F.lit("Tanker"), F.lit("Moored"), F.lit("At anchor"), F.lit(4), F.lit(80.0))
-    a, b = spark.range(1).select(score, low).first()
-    assert abs(a - 1.0) < 1e-9 and abs(b - 0.025) < 1e-9
+    def score(states, drift, kinds, statuses, far, repeats, hours):
+        return d.encounter_confidence(*(F.lit(x) for x in (*states, drift, *kinds, *statuses)), F.lit(far).cast("double"), F.lit(repeats), F.lit(hours))
+
+    way, still = ["moved"] * 4, ["stationary"] * 4
+    cases = [
+        (score(way, 800.0, ("Tanker", "Tanker"), ("Under way using engine",) * 2, None, 1, 5.0), 1.0),
+        (score(still, 0.0, ("Tug", "Tanker"), ("Moored", "At anchor"), 9_999.0, 4, 80.0), 0.02),
+        (score(["moved", "no_data", "stationary", "moved"], 250.0, ("Cargo", "Tanker"), ("Moored", None), 10_000.0, 2, 48.0), 0.35 * 0.625 + 0.1 + 0.18 + 0.075 + 0.05 + 0.025),
+        (score(still, 0.0, ("Cargo", "Cargo"), ("", "Moored"), None, 3, 24.0), 0.12 + 0.025 + 0.05),
+        (score(still, 0.0, (None, "Fishing"), ("Moored", "Moored"), None, 3, 72.0), 0.04),
+        (score(still, 0.0, (None, "Cargo"), ("Moored", "Moored"), None, 3, 72.0), 0.08),
+    ]
+    got = spark.range(1).select(*(c for c, _ in cases)).first()
+    assert all(abs(a - b) < 1e-9 for a, (_, b) in zip(got, cases))
 
 
 def test_agreement_and_trips(spark):
@@ -157,3 +169,23 @@ def test_ranks_with_ties(spark):
     assert ev.precision_at(df, "s", "y", "id", 2).first().n_tied_at_cutoff == 3
     assert ev.auc(df.where("y = 1"), "s", "y").first().auc is None
     assert rows(ag.ordered_ntile(df, 2, ["s", "id"]).select("id", "tile")) == [(1, 1), (2, 2), (3, 2), (4, 1), (5, 1)]
+
+
+def test_trip_draughts_take_the_largest_of_all_readings_before_the_return(spark):
+    day = 1440
+    trips = spark.createDataFrame([(1, at(10 * day), at(20 * day)), (2, at(10 * day), at(20 * day)), (3, at(10 * day), at(20 * day))], "imo long, east_time timestamp_ntz, west_time timestamp_ntz")
+    read = [(1, 0, 12.0), (1, 10 * day + 60, 6.0), (1, 10 * day - 720, 8.0), (1, 20 * day - 1, 9.0), (1, 20 * day, 15.0), (1, 20 * day + 721, 3.0), (2, 10 * day, 0.0), (2, 20 * day, 5.0)]
+    out = {r.imo: (r.draught_east, r.draught_west, r.draught_max, r.rel_change) for r in d.trip_draughts(trips, spark.createDataFrame([(k, at(m), v) for k, m, v in read], "imo long, t timestamp_ntz, d double"), "imo", "t", "d").collect()}
+    assert out == {1: (7.0, 12.0, 12.0, 5 / 12), 2: (0.0, 5.0, 0.0, None), 3: (None, None, None, None)}
+
+
+def test_known_checksums_and_bootstrap_limits(spark):
+    from tidemark.operators.models import split_by_crc
+
+    rows_ = split_by_crc(spark.createDataFrame([(i,) for i in range(50)], "k long"), F.col("k"), "salt", 7).collect()
+    assert all(r.part == zlib.crc32(f"salt|{r.k}".encode()) % 7 for r in rows_)
+    df = spark.createDataFrame([(i, i % 10, i % 4 == 0, i % 3 > 0) for i in range(2000)], "id long, c long, y boolean, f boolean").withColumn("y", F.col("y").cast("int"))
+    b = rs.bootstrap_precision(df, "f", "y", "c").first()
+    assert b.n_replicates == 200 and b.low < 0.25 < b.high and b.high - b.low < 0.6
+    one = rs.bootstrap_precision(df.withColumn("y", F.lit(1)), "f", "y", "c").first()
+    assert (one.low, one.high) == (1.0, 1.0)

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,7 @@ def test_fold_keeps_static_fields_and_replaces_positions(spark, tmp_path):
     ]
     for i, lines in enumerate(batches):
         (src / f"{i}.txt").write_text("\n".join(lines))
+        os.utime(src / f"{i}.txt", (1_700_000_000 + i, 1_700_000_000 + i))  # the source goes by file times
     stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).text(str(src))
     q = state.publish(state.last_known_state(state.decode_messages(stream)), lambda df, n: out.extend(df.collect()), f"{tmp_path}/cp", "0 seconds")
     q.processAllAvailable()
@@ -85,6 +87,24 @@ def test_fold_keeps_static_fields_and_replaces_positions(spark, tmp_path):
     assert one[-1].is_removed and not [r for r in out if r.mmsi == 2][-1].is_removed
 
 
+def test_decoded_messages_and_late_updates(spark):
+    lines = [
+        message("PositionReport", 1, "2024-06-01T00:00:00Z", Latitude=10.0, Longitude=10.0, Sog=1.0),
+        message("PositionReport", 2, "2024-06-01T00:00:00Z", Latitude=91.0, Longitude=181.0, Sog=1.0),
+        message("PositionReport", 3, "2024-06-01T00:00:00Z", Latitude=55.0, Longitude=10.0, Sog=1.0),
+        message("Unknown", 4, "2024-06-01T00:00:00Z"),
+        message("ShipStaticData", 5, "2024-06-01T00:00:00Z", Name="A", ImoNumber=9074728),
+        message("ShipStaticData", 6, "2024-06-01T00:00:00Z", Name="B", ImoNumber=9074729),
+        message("StaticDataReport", 7, "2024-06-01T00:00:00Z", ReportA={"Name": "SEA@@"}),
+        "not json",
+    ]
+    out = state.decode_messages(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert {r.mmsi: (r.imo, r.name) for r in out} == {3: (None, None), 5: (None, "A"), 6: (9074729, "B"), 7: (None, "SEA")}
+    blank = dict.fromkeys(state._FIELDS)
+    new = state.fold(None, blank | {"mmsi": 1, "position_time": 5, "latitude": 2.0})
+    assert state.fold(new, blank | {"mmsi": 1, "position_time": 4, "latitude": 9.0})["latitude"] == 2.0
+
+
 def test_message_rate_and_regions(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0, s),) for s in (0, 1, 9)], "t timestamp")
     assert max(r.n for r in state.message_rate(df, "t").collect()) == 3

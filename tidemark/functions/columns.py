@@ -96,3 +96,25 @@ def valid_position(lat: Column, lon: Column) -> Column:
 
 def web_mercator_y(lat: Column) -> Column:
     return F.log(F.tan(F.lit(3.141592653589793) / 4 + F.radians(lat) / 2))
+
+
+#: Registries that the transport workers' federation lists as flags of convenience, second registers left out.
+FLAGS_OF_CONVENIENCE = (
+    "Antigua and Barbuda", "Bahamas", "Barbados", "Belize", "Bermuda", "Bolivia", "Cameroon", "Cayman Islands", "Comoros", "Cook Islands", "Curacao", "Cyprus", "Dominica", "Equatorial Guinea", "Eswatini",
+    "Faroe Islands", "Gabon", "Gambia", "Georgia", "Gibraltar", "Guinea-Bissau", "Honduras", "Jamaica", "Lebanon", "Liberia", "Malta", "Madeira", "Marshall Islands", "Mauritius", "Moldova", "Mongolia", "Myanmar",
+    "North Korea", "Niue", "Palau", "Panama", "Saint Kitts and Nevis", "Saint Vincent and the Grenadines", "San Marino", "Sao Tome and Principe", "Sierra Leone", "Sri Lanka", "Tanzania", "Togo", "Tuvalu", "Vanuatu",
+)
+
+
+def mid_of(mmsi: Column) -> Column:
+    """The flag-state prefix of a ship station's number: its first three digits."""
+    return F.floor(mmsi / 1_000_000).cast("int")
+
+
+def is_foc(country: Column) -> Column:
+    """Whether a country is listed as a flag of convenience; an unknown one is not."""
+    return F.coalesce(country.isin(*FLAGS_OF_CONVENIENCE), F.lit(False))
+
+
+def foc_status(country: Column) -> Column:
+    return F.when(country.isNull(), "unknown_flag").when(is_foc(country), "foc").otherwise("not_foc")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.storage import written
+
 
 def modal_value(df: DataFrame, keys: Sequence[str], value: str, count: str = "n") -> DataFrame:
     """Each key's most frequent value; ties go to the smallest."""
@@ -85,9 +88,42 @@ def ordered_ntile(df: DataFrame, k: int, order: Sequence[str | Column], name: st
 
 def global_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rank") -> DataFrame:
     """1, 2, ... over the whole table in a total order, without one task that holds all rows."""
+    return totals_before(df, order, {name: F.lit(1)}).withColumn(name, (F.col(name) + 1).cast("long"))
+
+
+def totals_before(df: DataFrame, order: Sequence[str | Column], sums: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:
+    """df with sums over all rows before each in an order, per key or over the whole table.
+
+    Without keys a window would pull all rows into one task. Instead rows are dealt to ranges of the
+    order and written once, so that counts and rows agree whatever is recomputed; a row's sum is that
+    of its own range so far and of all ranges before, of which there is one row each.
+    """
+    names = {f"__v_{n}": c for n, c in sums.items()}
+    valued = df.withColumns(names)
+    if keys:
+        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return valued.withColumns({n: F.coalesce(F.sum(f"__v_{n}").over(before), F.lit(0)) for n in sums}).drop(*names)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id())
-    ranges = sorted_.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__in").alias("__first"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    offsets = ranges.select("__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    return sorted_.join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__before") + F.col("__in") - F.col("__first") + 1).cast("long")).drop("__part", "__in", "__first", "__before")
+    dealt = written(valued.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = dealt.groupBy("__part").agg(*(F.sum(v).alias(v) for v in names)).select("__part", *(F.coalesce(F.sum(v).over(ranges), F.lit(0)).alias(f"{v}_before") for v in names))
+    rows = dealt.withColumns({n: F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0)) for n in sums}).join(F.broadcast(offsets), "__part")
+    return rows.withColumns({n: F.col(n) + F.col(f"__v_{n}_before") for n in sums}).drop("__part", *names, *(f"{v}_before" for v in names))
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
+    """Exact quantiles of a column, interpolated between neighbours; None without values.
+
+    Values collapse into levels that are ranked over ranges, so that no task holds them all; what
+    reaches the driver is two values for each share.
+    """
+    levels = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("w"))
+    ranked = totals_before(levels, ["v"], {"before": F.col("w")})
+    n = ranked.agg(F.sum("w").alias("n")).first().n
+    if not n:
+        return [None] * len(shares)
+    places = [s * (n - 1) for s in shares]
+    at = lambda i: F.max(F.when((F.col("before") <= i) & (F.col("before") + F.col("w") > i), F.col("v")))
+    found = ranked.agg(*(at(math.floor(p)).alias(f"a{i}") for i, p in enumerate(places)), *(at(math.ceil(p)).alias(f"b{i}") for i, p in enumerate(places))).first()
+    return [found[f"a{i}"] + (found[f"b{i}"] - found[f"a{i}"]) * (p - math.floor(p)) for i, p in enumerate(places)]

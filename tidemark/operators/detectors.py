@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import angle_between, bearing_deg, boundaries_crossed, clip, grid_cell, haversine_m, known_text, normal_text, seconds_between, time_bucket, valid_imo
+from tidemark.functions.columns import angle_between, bearing_deg, boundaries_crossed, clip, grid_cell, haversine_m, known_text, micros, normal_text, seconds_between, time_bucket, valid_imo
 from tidemark.operators.aggregates import fit_circles, supported_ratio
 from tidemark.operators.joins import asof_join, next_event, overlapping_pairs, points_in_intervals, proximity_pairs
 from tidemark.operators.timeline import pair_with_previous, sessionize
+from tidemark.storage import written
 
 #: Probability that a silence is deliberate, by verdict, and its limits for long ones.
 VERDICT_PROBABILITY = {"receiver_alive": 0.9, "area_dark": 0.15, "no_evidence": 0.5}
@@ -18,8 +19,11 @@ LONG_GAP_HOURS, LONG_GAP_LOW, LONG_GAP_HIGH = 12.0, 0.4, 0.6
 KNOT_M_PER_S = 1852.0 / 3600.0
 #: Weights of an encounter's scores.
 ENCOUNTER_WEIGHTS = {"rendezvous": 0.35, "codrift": 0.20, "ship_type": 0.20, "nav_status": 0.10, "repetition": 0.10, "duration": 0.05}
-SERVICE_SHIP_TYPES = ("Tug", "Pilot", "Port tender", "SAR", "Law enforcement", "Dredging", "Anti-pollution")
+SERVICE_SHIP_TYPES = ("Tug", "Pilot", "Port tender", "SAR", "Law enforcement", "Dredging", "Anti-pollution", "Diving", "Towing", "Towing long/wide")
 MOORED = ("Moored", "At anchor")
+#: Fixed values of encounters: metres of drift with full credit, hours from which a long one counts less and not at all,
+#: metres from an anchorage that are offshore, and the metres or knots of a vessel that came or went.
+CODRIFT_M, LONG_HOURS, ANCHORAGE_M, APPROACH_M, TRANSIT_KNOTS = 500.0, (24.0, 72.0), 10_000.0, 2_000.0, 3.0
 UNDEFINED_STATUS = ("Undefined", "Unknown", "", "Not defined")
 
 
@@ -49,15 +53,23 @@ def liveness_verdict(gaps: DataFrame, cells: DataFrame, seen: DataFrame, gap_id:
 
     gaps have a key, start and end; cells list each gap's cells; seen is `presence`. Others heard
     during the gap prove a live receiver. If none were, but the baseline (whole days before the
-    gap's) would have several heard, the area was dark; else nothing is known. One equi-join on
-    cells for all gaps; a gap's own key never counts.
+    gap's) would have several heard, the area was dark; else nothing is known. Gaps list their own
+    days and their baseline's, and meet a cell's hours of those days only, the baseline's as one
+    row for each key and day. A gap's own key never counts.
     """
-    day = F.date_trunc("day", F.col(start)).cast("timestamp_ntz")
+    day = F.col(start).cast("date")
     g = gaps.select(*gap_id, *(c for c in (key, start, end) if c not in gap_id))
-    near = g.join(cells.select(*gap_id, *cell).distinct(), list(gap_id)).join(seen.withColumnRenamed(key, "__other"), list(cell)).where(F.col("__other") != F.col(key))
-    during = (F.col("last_seen") >= F.col(start)) & (F.col("first_seen") <= F.col(end))
-    base = (F.col("cell_hour") < day) & (F.col("cell_hour") >= day - F.expr(f"INTERVAL {baseline_days} DAYS"))
-    counted = near.where(during | base).groupBy(*gap_id).agg(F.count_distinct(F.when(during, F.col("__other"))).alias("n_corroborators"), F.count_if(base).alias("__hours"), F.count_distinct(F.when(base, F.col("__other"))).alias("n_baseline"))
+    near = g.join(cells.select(*gap_id, *cell).distinct(), list(gap_id))
+    heard = seen.withColumnRenamed(key, "__other").withColumn("__day", F.col("cell_hour").cast("date"))
+    daily = heard.groupBy(*cell, "__day", "__other").agg(F.count("*").alias("__n"))
+    at = [*cell, "__day"]
+    others = F.col("__other") != F.col(key)
+    own = near.withColumn("__day", F.explode(F.sequence(day, F.greatest(day, F.col(end).cast("date"))))).join(heard, at).where(others & (F.col("last_seen") >= F.col(start)) & (F.col("first_seen") <= F.col(end)))
+    base = near.withColumn("__day", F.explode(F.sequence(F.date_sub(day, baseline_days), F.date_sub(day, 1)))).join(daily, at).where(others)
+    none = F.lit(None).cast(seen.schema[key].dataType)
+    rows = own.select(*gap_id, F.col("__other").alias("__a"), none.alias("__b"), F.lit(0).cast("long").alias("__n")).distinct()
+    rows = rows.unionByName(base.groupBy(*gap_id, "__other").agg(F.sum("__n").alias("__n")).select(*gap_id, none.alias("__a"), F.col("__other").alias("__b"), "__n"))
+    counted = rows.groupBy(*gap_id).agg(F.count_distinct("__a").alias("n_corroborators"), F.sum("__n").alias("__hours"), F.count("__b").alias("n_baseline"))
     out = g.join(counted, list(gap_id), "left").fillna(0, ["n_corroborators", "__hours", "n_baseline"])
     expected = F.col("__hours") / (baseline_days * 24.0) * seconds_between(F.col(end), F.col(start)) / 3600
     out = out.withColumn("expected", expected)
@@ -161,24 +173,78 @@ def structural_gates(episodes: DataFrame, places: DataFrame, min_hours: float =
     return kept.join(close, ["key_a", "key_b", "episode"], "left_anti")
 
 
-def encounter_confidence(movement_a: Column, movement_b: Column, codrift_m: Column, type_a: Column, type_b: Column, status_a: Column, status_b: Column, repeats: Column, hours: Column) -> Column:
-    """Weighted sum of six scores; movements are moved, stationary or no_data."""
+def encounter_confidence(approach_a: Column, approach_b: Column, departure_a: Column, departure_b: Column, codrift_m: Column, type_a: Column, type_b: Column, status_a: Column, status_b: Column, anchorage_m: Column, repeats: Column, hours: Column) -> Column:
+    """Weighted sum of six scores of an encounter, between 0 and 1.
+
+    approach and departure are each side's movement before and after: moved, stationary or no_data.
+    repeats counts the pair's encounters at this place, this one included (`same_place_counts`);
+    anchorage_m is the distance to the nearest anchorage, null if none is known. Who reports to be
+    moored far from any is as suspicious as who reports to be under way.
+    """
     state = lambda m: F.when(m == "moved", 1.0).when(m == "stationary", 0.0).otherwise(0.5)
-    service = type_a.isin(*SERVICE_SHIP_TYPES) | type_b.isin(*SERVICE_SHIP_TYPES)
-    tanker = (type_a == "Tanker").cast("int") + (type_b == "Tanker").cast("int")
-    kind = F.when(F.coalesce(service, F.lit(False)), 0.0).when(tanker == 2, 1.0).when(tanker == 1, 0.7).otherwise(0.4)
-    status = lambda s: F.when(s.isNull() | s.isin(*UNDEFINED_STATUS), 0.5).when(s.isin(*MOORED), 0.0).otherwise(1.0)
+    either = lambda f: F.coalesce(f(type_a), F.lit(False)) | F.coalesce(f(type_b), F.lit(False))
+    both = lambda x, y: (type_a == x) & (type_b == y) | (type_a == y) & (type_b == x)
+    kind = F.when(either(lambda t: t.isin(*SERVICE_SHIP_TYPES)), 0.1).when(both("Tanker", "Tanker"), 1.0).when(both("Tanker", "Cargo"), 0.9).when(both("Cargo", "Cargo"), 0.6).when(either(lambda t: t.isin("Tanker", "Cargo")), 0.4).otherwise(0.2)
+    offshore = F.coalesce(anchorage_m, F.lit(0.0)) >= ANCHORAGE_M
+    status = lambda s: F.when(s.isin(*MOORED), F.when(offshore, 1.0).otherwise(0.0)).when(s.isNull() | s.isin(*UNDEFINED_STATUS), 0.5).otherwise(1.0)
     scores = {
-        "rendezvous": (state(movement_a) + state(movement_b)) / 2,
-        "codrift": F.coalesce(clip(codrift_m / 500.0, 0.0, 1.0), F.lit(0.0)),
+        "rendezvous": (state(approach_a) + state(approach_b) + state(departure_a) + state(departure_b)) / 4,
+        "codrift": F.least(F.lit(1.0), codrift_m / CODRIFT_M),
         "ship_type": kind,
         "nav_status": (status(status_a) + status(status_b)) / 2,
-        "repetition": F.when(repeats <= 1, 1.0).otherwise(1.0 / repeats),
-        "duration": F.when(hours <= 24, 1.0).when(hours >= 72, 0.0).otherwise((72 - hours) / 48),
+        "repetition": F.when(repeats <= 1, 1.0).when(repeats == 2, 0.5).otherwise(0.0),
+        "duration": clip((F.lit(LONG_HOURS[1]) - hours) / (LONG_HOURS[1] - LONG_HOURS[0]), 0.0, 1.0),
     }
     return sum((w * scores[k] for k, w in ENCOUNTER_WEIGHTS.items()), F.lit(0.0))
 
 
+def movement(displacement_m: Column, max_sog: Column, n_slots: Column) -> Column:
+    """moved, stationary, or no_data where no slot was heard: missing evidence isn't a vessel at rest."""
+    went = (F.coalesce(displacement_m, F.lit(0.0)) >= APPROACH_M) | (F.coalesce(max_sog, F.lit(0.0)) >= TRANSIT_KNOTS)
+    return F.when(n_slots == 0, "no_data").when(went, "moved").otherwise("stationary")
+
+
+def context_slots(episodes: DataFrame, slots: DataFrame, key: str, hours: float = 6.0, slot: str = "slot") -> DataFrame:
+    """Each episode's two sides with their movement before and after: approach_a, approach_b, departure_a, departure_b.
+
+    episodes have key_a, key_b, episode, start_time, end_time; slots are `slots`. A side's slots in
+    the hours before the start tell its approach, those after the end its departure.
+    """
+    wide = F.expr(f"INTERVAL {int(hours * 3600)} SECONDS")
+    at = ["key_a", "key_b", "episode"]
+    windows = None
+    for side in ("a", "b"):
+        for phase, lo, hi in (("approach", F.col("start_time") - wide, F.col("start_time")), ("departure", F.col("end_time"), F.col("end_time") + wide)):
+            w = episodes.select(*at, F.col(f"key_{side}").alias(key), lo.alias("__lo"), hi.alias("__hi"), F.lit(f"{phase}_{side}").alias("__which"), "start_time", "end_time")
+            windows = w if windows is None else windows.unionByName(w)
+    rows = points_in_intervals(slots, windows, key, slot, "__lo", "__hi").where((F.col(slot) < F.col("start_time")) | (F.col(slot) > F.col("end_time")))
+    ends = {n: f(F.struct("latitude", "longitude"), slot) for n, f in (("__first", F.min_by), ("__last", F.max_by))}
+    each = rows.groupBy(*at, "__which").agg(F.count("*").alias("__n"), F.max("max_sog").alias("__sog"), *(c.alias(n) for n, c in ends.items()))
+    far = haversine_m(F.col("__first.latitude"), F.col("__first.longitude"), F.col("__last.latitude"), F.col("__last.longitude"))
+    each = each.select(*at, "__which", movement(far, F.col("__sog"), F.col("__n")).alias("state"))
+    names = ["approach_a", "approach_b", "departure_a", "departure_b"]
+    wide_ = each.groupBy(*at).pivot("__which", names).agg(F.first("state"))
+    return episodes.join(wide_, at, "left").fillna("no_data", names)
+
+
+def same_place_counts(episodes: DataFrame, pair: Sequence[str], lat: str, lon: str, radius_m: float = 1_000.0, name: str = "n_same_place") -> DataFrame:
+    """episodes with how many of the same pair lie within a radius, each itself included.
+
+    Cells are as high as the radius; one side lists the neighbours of its own, further east and
+    west where meridians lie close.
+    """
+    size = radius_m / 110_000.0
+    cell = lambda c: F.floor(F.col(c) / size)
+    wide = F.ceil(1 / F.greatest(F.cos(F.radians(F.least(F.abs(F.col(lat)) + size, F.lit(89.0)))), F.lit(0.02))).cast("long")
+    own = episodes.withColumn("__id", F.monotonically_increasing_id())
+    own = written(own, "episodes")
+    a = own.withColumns({"__y": cell(lat), "__x": cell(lon)})
+    spread = own.select(*pair, F.col(lat).alias("__lat"), F.col(lon).alias("__lon"), F.explode(F.sequence(cell(lon) - wide, cell(lon) + wide)).alias("__x"))
+    b = spread.select("*", F.explode(F.sequence(F.floor(F.col("__lat") / size) - 1, F.floor(F.col("__lat") / size) + 1)).alias("__y"))
+    near = a.join(b, [*pair, "__x", "__y"]).where(haversine_m(F.col(lat), F.col(lon), F.col("__lat"), F.col("__lon")) <= radius_m)
+    return own.join(near.groupBy("__id").agg(F.count("*").alias(name)), "__id").drop("__id")
+
+
 def agreement(ours: DataFrame, theirs: DataFrame, tolerance_minutes: float = 30.0) -> tuple[DataFrame, DataFrame]:
     """Both sides with `matched`: an encounter of the same two keys that overlaps, with both widened by the tolerance.
 
@@ -245,12 +311,24 @@ def round_trips(crossings: DataFrame, key: str, min_days: int = 2, max_days: int
 
 
 def trip_draughts(trips: DataFrame, readings: DataFrame, key: str, ts: str, draught: str, window_hours: float = 12.0) -> DataFrame:
-    """Median draught within window_hours of both crossings, and the largest strictly between those windows' trips."""
-    t = trips.withColumns({"__from": F.col("east_time") - F.expr(f"INTERVAL {int(window_hours * 3600)} SECONDS"), "__to": F.col("west_time") + F.expr(f"INTERVAL {int(window_hours * 3600)} SECONDS")})
-    rows = points_in_intervals(readings, t, key, ts, "__from", "__to")
-    near = lambda c: F.abs(seconds_between(F.col(ts), F.col(c))) <= window_hours * 3600
-    out = rows.groupBy(key, "east_time", "west_time").agg(F.median(F.when(near("east_time"), F.col(draught))).alias("draught_east"), F.median(F.when(near("west_time"), F.col(draught))).alias("draught_west"), F.max(F.when(F.col(ts) < F.col("west_time"), F.col(draught))).alias("draught_max"))
-    return out.withColumn("rel_change", (F.col("draught_west") - F.col("draught_east")) / F.nullif(F.col("draught_max"), F.lit(0.0)))
+    """Median draught within window_hours of both crossings, the largest of all readings before the westward one, and the change relative to it.
+
+    What no reading tells is null, and so is the change where the largest isn't above 0.
+    """
+    hours = F.expr(f"INTERVAL {int(window_hours * 3600)} SECONDS")
+    out = trips
+    for end in ("east", "west"):
+        t = trips.select(key, "east_time", "west_time", (F.col(f"{end}_time") - hours).alias("__from"), (F.col(f"{end}_time") + hours).alias("__to")).distinct()
+        rows = points_in_intervals(readings.select(key, ts, draught), t, key, ts, "__from", "__to")
+        out = out.join(rows.groupBy(key, "east_time", "west_time").agg(F.median(draught).alias(f"draught_{end}")), [key, "east_time", "west_time"], "left")
+    # a running maximum of the key's readings, each trip taking what came strictly before it
+    value = F.col(draught).cast("double")
+    sequence = readings.select(key, F.col(ts).alias("__t"), value.alias("__v")).unionByName(trips.select(key, F.col("west_time").alias("__t")), allowMissingColumns=True)
+    so_far = Window.partitionBy(key).orderBy(micros(F.col("__t"))).rangeBetween(Window.unboundedPreceding, -1)
+    most = sequence.withColumn("draught_max", F.max("__v").over(so_far)).groupBy(key, F.col("__t").alias("west_time")).agg(F.max("draught_max").alias("draught_max"))
+    out = out.join(most, [key, "west_time"], "left")
+    change = F.when(F.col("draught_max") > 0, (F.col("draught_west") - F.col("draught_east")) / F.col("draught_max"))
+    return out.withColumn("rel_change", change)
 
 
 def attach_trips(positions: DataFrame, trips: DataFrame, key: str, ts: str) -> DataFrame:
@@ -274,3 +352,61 @@ def vessel_density(df: DataFrame, key: str, lat: str, lon: str, zoom_deg: float)
     px, py = F.floor(F.col(lon) / zoom_deg).alias("px"), F.floor(F.degrees(web_mercator_y(F.col(lat))) / zoom_deg).alias("py")
     return df.groupBy(px, py).agg(F.count_distinct(key).alias("n_vessels"))
 
+
+
+def near_anchorage(positions: DataFrame, places: DataFrame, row_id: str, key: str, lat: str, lon: str, radius_m: float, least_others: int = 5) -> DataFrame:
+    """Rows of positions within a radius of an anchorage that stays one without the row's own key.
+
+    places have center_latitude, center_longitude and members; each lists the cells within reach.
+    """
+    size = radius_m / 110_000.0
+    wide = F.ceil(1 / F.greatest(F.cos(F.radians(F.least(F.abs("center_latitude") + size, F.lit(89.0)))), F.lit(0.02))).cast("long")
+    y, x = F.floor(F.col("center_latitude") / size), F.floor(F.col("center_longitude") / size)
+    p = places.select("center_latitude", "center_longitude", "members", F.explode(F.sequence(x - wide, x + wide)).alias("__x"), y.alias("__y0")).withColumn("__y", F.explode(F.sequence(F.col("__y0") - 1, F.col("__y0") + 1)))
+    at = positions.withColumns({"__y": F.floor(F.col(lat) / size), "__x": F.floor(F.col(lon) / size)})
+    others = F.size("members") - F.when(F.array_contains("members", F.col(key)), 1).otherwise(0)
+    close = haversine_m(F.col(lat), F.col(lon), F.col("center_latitude"), F.col("center_longitude")) <= radius_m
+    found = at.join(p, ["__x", "__y"]).where(close & (others >= least_others)).select(row_id).distinct()
+    return positions.join(found, row_id, "left_semi")
+
+
+def during_encounter(gaps: DataFrame, encounters: DataFrame, row_id: str, key: str, start: str, end: str) -> DataFrame:
+    """Rows of gaps that an encounter with their key on either side overlaps, touching included.
+
+    Encounters (key_a, key_b, start_time, end_time) are listed under both of their keys.
+    """
+    sides = encounters.select(F.explode(F.array("key_a", "key_b")).alias(key), F.col("start_time").alias(start), F.col("end_time").alias(end))
+    met = overlapping_pairs(gaps.select(row_id, key, start, end), sides, [key], start, end)
+    return gaps.join(met.select(F.col(f"l.{row_id}").alias(row_id)).distinct(), row_id, "left_semi")
+
+
+def shares_that_overlap(ours: DataFrame, theirs: DataFrame, key: str, start: str, end: str, sample: int, seed: int = 0) -> DataFrame:
+    """One row: of a seeded sample of ours, how many rows overlap one of theirs with the same key, and the share.
+
+    The sample is the rows with the smallest digests of seed and row, so it is the same anywhere.
+    """
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in (key, start, end))).cast("binary"))
+    chosen = ours.withColumn("__d", digest).orderBy("__d").limit(sample)
+    met = overlapping_pairs(chosen, theirs, [key], start, end).select(F.col("l.__d").alias("__d")).distinct().withColumn("__hit", F.lit(1))
+    return chosen.join(met, "__d", "left").agg(F.count("*").alias("n_sampled"), F.count("__hit").alias("n_overlapping"), F.avg(F.coalesce("__hit", F.lit(0))).alias("share"))
+
+
+def laden_threshold(trips: DataFrame, change: str, bins: int = 60, smooth: int = 5, least: int = 30, fallback: float = 0.2) -> float:
+    """The valley between the two highest peaks of a smoothed histogram of changes; the fallback without enough trips or peaks.
+
+    Bins are counted on the cluster; a count for each bin reaches the driver.
+    """
+    values = trips.where(F.col(change).isNotNull() & ~F.isnan(F.col(change).cast("double"))).select(F.col(change).cast("double").alias("v"))
+    whole = values.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+    if whole.n < least or whole.low == whole.high:
+        return fallback
+    width = (whole.high - whole.low) / bins
+    found = {r.b: r["count"] for r in values.groupBy(F.least(F.floor((F.col("v") - whole.low) / width), F.lit(bins - 1)).alias("b")).count().collect()}
+    counts, half = [found.get(i, 0) for i in range(bins)], smooth // 2
+    height = [sum(counts[max(i - half, 0) : i + half + 1]) for i in range(bins)]
+    edge = lambda i: height[i] if 0 <= i < bins else -1
+    peaks = sorted((i for i in range(bins) if height[i] and edge(i - 1) < height[i] > edge(i + 1)), key=lambda i: (-height[i], i))[:2]
+    if len(peaks) < 2:
+        return fallback
+    valley = min(range(min(peaks), max(peaks) + 1), key=lambda i: (height[i], i))
+    return whole.low + (valley + 0.5) * width

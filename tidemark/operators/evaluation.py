@@ -4,27 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidemark.operators.aggregates import global_rank, totals_before
+from tidemark.storage import written
 
-def score_levels(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Distinct scores, highest first: rows and hits on each and above it.
 
-    Ties collapse into one row per level before anything is ordered, so the one window over all
-    levels holds distinct scores only.
-    """
+def score_levels(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Distinct scores, highest first: rows and hits on each and above it. Ties collapse into one row per level first."""
     levels = df.groupBy(*keys, score).agg(F.count("*").alias("w"), F.sum(F.col(label).cast("long")).alias("h"))
-    above = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    zero = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
-    return levels.withColumns({"before_w": zero("w"), "before_h": zero("h")})
+    return totals_before(levels, [F.desc(score)], {"before_w": F.col("w"), "before_h": F.coalesce("h", F.lit(0))}, keys)
 
 
 def average_rank(df: DataFrame, score: str, keys: Sequence[str] = (), name: str = "avg_rank") -> DataFrame:
     """Ascending rank of each row's score, the mean of the ranks that its ties take."""
     levels = df.groupBy(*keys, score).agg(F.count("*").alias("__w"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = levels.select(*keys, score, (F.coalesce(F.sum("__w").over(below), F.lit(0)) + (F.col("__w") + 1) / 2).alias(name))
+    below = totals_before(levels, [score], {"__below": F.col("__w")}, keys)
+    ranks = below.select(*keys, score, (F.col("__below") + (F.col("__w") + 1) / 2).alias(name))
     return df.join(ranks, [*keys, score])
 
 
@@ -74,34 +75,36 @@ def matched_groups(df: DataFrame, tile: str, group: str, label: str) -> DataFram
     return both.where("n_positive > 0 and n_negative > 0")
 
 
-def bootstrap_precision(df: DataFrame, flag: str, label: str, cluster: str, replicates: int = 200, seed: int = 0) -> DataFrame:
-    """2.5 and 97.5 per cent limits of a flag's precision over clusters drawn with replacement.
-
-    A cluster's weight in a replicate is a Poisson(1) draw from its hash, so that replicates need no
-    shared random state, and a retried task draws the same. Clusters are summed before they are
-    multiplied out.
-    """
-    sums = df.where(F.col(flag)).groupBy(cluster).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("h"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", cluster), F.lit(1_000_003)) / 1_000_003.0
-    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712)
-    weight = sum(((u >= s).cast("int") for s in steps), F.lit(0))
-    drawn = sums.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("__w", weight)
-    each = drawn.groupBy("replicate").agg((F.sum(F.col("h") * F.col("__w")) / F.nullif(F.sum(F.col("n") * F.col("__w")), F.lit(0))).alias("p"))
-    return each.agg(F.count("p").alias("n_replicates"), F.percentile("p", 0.025).alias("low"), F.percentile("p", 0.975).alias("high"))
-
-
-def retrieval_rank(df: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
+def retrieval_rank(df: DataFrame, id_col: str, vector: str, label: str, block: int = 256) -> DataFrame:
     """For each query (the smallest id of a label), the rank by cosine of the label's next id among the second ids of all labels.
 
-    Both sides have one vector per label, so their product is over labels and not over rows.
+    Queries and candidates, one of each a label, are packed in blocks of `block` vectors; a pair of
+    blocks is one matrix product, of which a count per query is left.
     """
     rank = F.row_number().over(Window.partitionBy(label).orderBy(id_col))
     rows = df.where(F.col(vector).isNotNull()).withColumn("__n", rank).where("__n <= 2")
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     rows = rows.withColumn("__u", F.transform(vector, lambda x: x.cast("double") / norm))
-    q = rows.where("__n = 1").select(F.col(label).alias("query_label"), F.col(id_col).alias("query_id"), F.col("__u").alias("__q"))
-    c = rows.where("__n = 2").select(F.col(label).alias("label"), F.col(id_col).alias("id"), F.col("__u").alias("__c"))
+    q = rows.where("__n = 1").select(F.col(label).alias("label"), F.col(id_col).alias("query_id"), F.col("__u").alias("__q"))
+    c = rows.where("__n = 2").select(F.col(label).alias("label"), F.col("__u").alias("__c"))
     cosine = F.aggregate(F.zip_with("__q", "__c", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    pairs = q.crossJoin(F.broadcast(c)).withColumn("cosine", cosine)
-    own = pairs.where("query_label = label").select("query_label", F.col("cosine").alias("own_cosine"))
-    return pairs.join(own, "query_label").groupBy("query_label", "query_id").agg((F.count_if(F.col("cosine") > F.col("own_cosine")) + 1).alias("rank"), F.round(F.max("own_cosine"), 6).alias("own_cosine"))
+    asked = written(global_rank(q.join(c, "label").select("label", "query_id", "__q", "__c", cosine.alias("own")), ["label"], "__i"), "queries")
+    blocks = -(-asked.count() // block)
+    packed = asked.groupBy(F.floor((F.col("__i") - 1) / block).alias("b"))  # at most `block` rows a group
+    left = packed.agg(F.collect_list(F.struct("label", "query_id", "own", F.col("__q").alias("u"))).alias("queries"))
+    right = packed.agg(F.collect_list(F.struct("label", F.col("__c").alias("u"))).alias("candidates")).withColumnRenamed("b", "a")
+    met = left.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0))))).repartition("a", "b").join(right, "a")
+
+    def count(batches):
+        for batch in batches:
+            for queries, candidates in zip(batch.column("queries").to_pylist(), batch.column("candidates").to_pylist()):
+                scores = np.array([x["u"] for x in queries]) @ np.array([x["u"] for x in candidates]).T
+                other = np.array([x["label"] for x in queries])[:, None] != np.array([x["label"] for x in candidates])
+                better = ((scores > np.array([x["own"] for x in queries])[:, None]) & other).sum(1)
+                yield pa.RecordBatch.from_pylist([{"query_label": x["label"], "query_id": x["query_id"], "better": int(n), "own": x["own"]} for x, n in zip(queries, better)], schema=out)
+
+    kinds = {k: asked.schema[n].dataType for k, n in (("query_label", "label"), ("query_id", "query_id"))}
+    schema = T.StructType([*(T.StructField(k, t) for k, t in kinds.items()), T.StructField("better", T.LongType()), T.StructField("own", T.DoubleType())])
+    out = to_arrow_schema(schema)
+    counted = met.select("queries", "candidates").mapInArrow(count, schema)
+    return counted.groupBy("query_label", "query_id").agg((F.sum("better") + 1).alias("rank"), F.round(F.max("own"), 6).alias("own_cosine"))

@@ -36,9 +36,12 @@ def panel(spine: DataFrame, key: str, counts: dict[str, tuple[DataFrame, str, Co
     counts maps a column to (events with the key, time when knowable, condition). labels has key
     and label_date (the earliest); a label is as of the month's end, or later.
     """
-    out = spine
-    for name, (events, ts, condition) in counts.items():
-        out = running_counts_at(out, events, [key], "cutoff", ts, {name: ("count", condition)})
+    # all counts in one sorted sequence per key: each event says which count it is of
+    events = None
+    for name, (df, ts, condition) in counts.items():
+        one = df.where(condition).select(key, F.col(ts).alias("__ts"), F.lit(name).alias("__count"))
+        events = one if events is None else events.unionByName(one)
+    out = spine if events is None else running_counts_at(spine, events, [key], "cutoff", "__ts", {n: ("count", F.col("__count") == n) for n in counts})
     out = out.join(exposure(presence, key), [key, "year_month"], "left").fillna(0, ["hours_present", "days_present"])
     for name in counts:
         out = out.withColumns({f"{name}_per_day": ratio(F.col(name), F.col("days_present")), f"{name}_per_100h": 100 * ratio(F.col(name), F.col("hours_present"))})

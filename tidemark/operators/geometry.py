@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import haversine_m
+from tidemark.operators.aggregates import exact_quantiles
 
 
 def polygon_edges(polygons: DataFrame, id_col: str, rings: str) -> DataFrame:
@@ -56,3 +57,43 @@ def two_way_coverage(left: DataFrame, right: DataFrame, left_id: str, right_id:
     a = nearest_within(left, right, left_id, right_id, lat, lon, radius_m).agg(F.count("*").alias("left_near"))
     b = nearest_within(right, left, right_id, left_id, lat, lon, radius_m).agg(F.count("*").alias("right_near"))
     return left.agg(F.count("*").alias("n_left")).crossJoin(right.agg(F.count("*").alias("n_right"))).crossJoin(a).crossJoin(b)
+
+
+def tail_box(df: DataFrame, lat: str, lon: str, tail: float = 0.001, margin: float = 0.5) -> tuple[float, float, float, float] | None:
+    """(south, west, north, east) of all but the tails of both coordinates, widened by a margin; corrupt positions don't stretch it."""
+    (south, north), (west, east) = (exact_quantiles(df, c, (tail, 1 - tail)) for c in (lat, lon))
+    return None if south is None or west is None else (south - margin, west - margin, north + margin, east + margin)
+
+
+def well_inside(points: DataFrame, edges: DataFrame, point_id: str, x: str, y: str, polygon_id: str, band: float, margin: float) -> DataFrame:
+    """(point, polygon) for points inside and more than a margin away from every edge of the polygon.
+
+    Edges list the cells that they may come near to, and only points of those cells are measured.
+    """
+    inside = points_in_polygons(points, edges, point_id, x, y, polygon_id, band)
+    span = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - margin) / band), F.floor((F.greatest(a, b) + margin) / band)))
+    e = edges.withColumn("__cx", span("x1", "x2")).withColumn("__cy", span("y1", "y2"))
+    p = inside.join(points.select(point_id, F.col(x).alias("__x"), F.col(y).alias("__y")), point_id).withColumns({"__cx": F.floor(F.col("__x") / band), "__cy": F.floor(F.col("__y") / band)})
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    along = ((F.col("__x") - F.col("x1")) * dx + (F.col("__y") - F.col("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+    t = F.least(F.greatest(F.coalesce(along, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    away = F.hypot(F.col("__x") - F.col("x1") - t * dx, F.col("__y") - F.col("y1") - t * dy)
+    near = p.join(e, [polygon_id, "__cx", "__cy"]).where(away <= margin).select(point_id, polygon_id).distinct()
+    return inside.join(near, [point_id, polygon_id], "left_anti")
+
+
+def on_land(positions: DataFrame, land: DataFrame, point_id: str, lat: str, lon: str, polygon_id: str = "polygon", rings: str = "rings", erosion: float = 0.01, band: float = 0.1) -> DataFrame:
+    """Positions solidly inside land, once each: inside a polygon by more than `erosion` degrees, and not among the corrupt ones.
+
+    What lies outside the positions' own box without its tails is ignored, however far land reaches.
+    """
+    box = tail_box(positions, lat, lon)
+    if box is None:
+        return positions.select(point_id).limit(0)
+    south, west, north, east = box
+    kept = positions.where(F.col(lat).between(south, north) & F.col(lon).between(west, east))
+    e = polygon_edges(land, polygon_id, rings)
+    reach = lambda low, high, a, b: (F.greatest(a, b) >= low) & (F.least(a, b) <= high)
+    # an edge to the left of the box is no crossing of a ray to the right; others of the box's height may be
+    e = e.where(reach(south - erosion, north + erosion, "y1", "y2") & (F.greatest("x1", "x2") >= west - erosion))
+    return well_inside(kept, e, point_id, lon, lat, polygon_id, band, erosion).select(point_id).distinct()

@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import valid_imo
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file:///tmp/tidemark-{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back, which ends its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from tidemark.functions.columns import mid_of, valid_imo
+from tidemark.storage import discard, written
 
 
 def resolve_identity(df: DataFrame, key: str = "mmsi", imo: str = "imo", day: str = "date") -> DataFrame:
@@ -67,6 +51,9 @@ def shared_pairs(members: DataFrame, group: Sequence[str], member: str, since: s
     included. Only a group's first `largest` members by time can ever be in such a pair, so no
     group is expanded beyond them.
     """
+    # one more than can be in a pair is enough to tell the size; the limit works before the shuffle
+    first = Window.partitionBy(*group).orderBy(since, member)
+    members = members.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= largest + 1).drop("__n")
     by_time = Window.partitionBy(*group).orderBy(since)
     upto = members.withColumn("__size", F.count("*").over(by_time.rangeBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("__size") <= largest)
     a = upto.select(*group, F.col(member).alias("member"), F.col(since).alias("__s1"), F.col("__size").alias("__n1"))
@@ -84,12 +71,15 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 50) ->
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("other"))).where("node is not null and other is not null").distinct()
     both = written(both, "links")
     labels = written(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")), "labels")
+    before = labels
     for _ in range(rounds):
         near = both.join(labels.toDF("other", "__c"), "other").groupBy("node").agg(F.min("__c").alias("__m"))
         spread = labels.join(near, "node").select("node", "component", F.least("component", "__m").alias("new"))
         jump = labels.toDF("new", "__j")
         step = written(spread.join(jump, "new").select("node", "component", F.least("new", "__j").alias("new")), "labels")
         changed = step.where("component <> new").limit(1).count()
+        discard(before)
+        before = step
         labels = step.select("node", F.col("new").alias("component"))
         if not changed:
             return labels
@@ -102,3 +92,28 @@ def vessel_links(links: DataFrame, a: str = "mmsi_a", b: str = "mmsi_b") -> Data
     sides = links.select(F.col(a).alias("node"), "basis", "confidence", "knowable_at").unionByName(links.select(F.col(b).alias("node"), "basis", "confidence", "knowable_at"))
     best = sides.groupBy("node").agg(F.min_by("basis", F.struct(-F.col("confidence"), "knowable_at", "basis")).alias("link_basis"), F.max("confidence").alias("confidence"), F.min("knowable_at").alias("knowable_at"))
     return best.join(found, "node").select(F.col("node").alias("mmsi"), F.concat(F.lit("vessel-"), "component").alias("vessel_key"), "link_basis", "confidence", "knowable_at")
+
+
+def with_flag(df: DataFrame, countries: DataFrame, key: str = "mmsi") -> DataFrame:
+    """df with the flag state of each key, from a table of (mid, country); null where the prefix isn't in it."""
+    return df.withColumn("mid", mid_of(F.col(key))).join(countries.select(F.col("mid").cast("int").alias("mid"), F.col("country").alias("flag_country")), "mid", "left")
+
+
+def shared_value_events(static: DataFrame, values: Sequence[str], kind: str, base: float, key: str = "mmsi", ts: str = "timestamp", largest: int = 20, cross_bonus: float = 0.1) -> DataFrame:
+    """A row for each ordered pair of keys that sent the same values (a number, or name and call sign), from when both had.
+
+    Pairs of different flag states are marked and, with a bonus, surer. Groups of over `largest`
+    keys make no pairs from then on: so many share a value by mistake.
+    """
+    firsts = static.where(" and ".join(f"{v} is not null" for v in values)).groupBy(*values, key).agg(F.min(ts).alias("__since"))
+    pairs = shared_pairs(firsts, list(values), key, "__since", largest)
+    cross = mid_of(F.col("member")) != mid_of(F.col("other"))
+    return pairs.select(F.col("member").alias(key), F.col("other").alias(f"related_{key}"), F.lit(kind).alias("kind"), F.concat_ws(" / ", *values).alias("shared_value"), "knowable_at", cross.alias("cross_mid"), F.least(F.lit(1.0), F.lit(base) + F.when(cross, cross_bonus).otherwise(0.0)).alias("confidence"))
+
+
+def flapping_values(intervals: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """One row for each key whose values overlap in time: how many, how many overlaps, and when it began to be knowable."""
+    kinds = classify_intervals(intervals, keys, value).where("kind = 'flapping'")
+    order = Window.partitionBy(*keys).orderBy("min_ts", "max_ts", value)
+    seen = intervals.withColumn("__end", F.max("max_ts").over(order.rowsBetween(Window.unboundedPreceding, -1))).where(F.col("__end") >= F.col("min_ts"))
+    return kinds.join(seen.groupBy(*keys).agg(F.min("min_ts").alias("event_time")), list(keys)).select(*keys, "n_values", "n_overlapping", "event_time")

@@ -68,7 +68,9 @@ def voyage_summary(read):
 
 @query("SELECT min(doc_id) AS doc_id, lang, source, length(text) AS n FROM documents GROUP BY text, lang, source")
 def dedup_first(read):
-    return tl.first_per(read("documents"), ["text", "lang", "source"], ["doc_id"]).select("doc_id", "lang", "source", F.length("text").cast("long").alias("n"))
+    # a grouped minimum over a digest: combined before the shuffle, and no text is moved
+    each = read("documents").groupBy(F.sha2("text", 256).alias("digest"), "lang", "source")
+    return each.agg(F.min("doc_id").alias("doc_id"), F.first(F.length("text")).cast("long").alias("n")).drop("digest")
 
 
 def _thin_sql(seconds: int) -> str:
@@ -101,17 +103,17 @@ def next_view_after_purchase(read):
     return out.select("event_id", "user_id", "ts", "next_ts", "next_event_id", "next_value")
 
 
-@query(f"WITH {_SESSIONS} SELECT e.event_id, v.user_id, v.session_seq, e.event_type FROM events e JOIN v ON e.user_id = v.user_id AND e.ts BETWEEN v.start_time AND v.end_time WHERE v.point_count >= 3")
+@query(f"WITH {_SESSIONS} SELECT e.event_id, v.user_id, v.session_seq, e.event_type FROM events e JOIN v ON e.user_id = v.user_id AND e.ts BETWEEN v.start_time AND v.end_time")
 def range_join_sessions(read):
-    s = _sessions(read).where("point_count >= 3").select("user_id", "session_seq", "start_time", "end_time")
+    s = _sessions(read).select("user_id", "session_seq", "start_time", "end_time")
     return jn.points_in_intervals(read("events"), s, "user_id", "ts", "start_time", "end_time").select("event_id", "user_id", "session_seq", "event_type")
 
 
-@query(f"""WITH {_SESSIONS}, t AS (SELECT * FROM v WHERE point_count >= 4)
-SELECT l.user_id AS user_a, l.session_seq AS seq_a, r.user_id AS user_b, r.session_seq AS seq_b FROM t l JOIN t r ON l.user_id < r.user_id
+@query(f"""WITH {_SESSIONS}
+SELECT l.user_id AS user_a, l.session_seq AS seq_a, r.user_id AS user_b, r.session_seq AS seq_b FROM v l JOIN v r ON l.user_id < r.user_id
  AND l.start_time - INTERVAL 30 MINUTE <= r.end_time + INTERVAL 30 MINUTE AND r.start_time - INTERVAL 30 MINUTE <= l.end_time + INTERVAL 30 MINUTE""")
 def interval_overlap_pairs(read):
-    s = _sessions(read).where("point_count >= 4").select("user_id", "session_seq", "start_time", "end_time")
+    s = _sessions(read).select("user_id", "session_seq", "start_time", "end_time")
     pairs = jn.overlapping_pairs(s, s, [], "start_time", "end_time", 1800)
     return pairs.where("l.user_id < r.user_id").select(F.col("l.user_id").alias("user_a"), F.col("l.session_seq").alias("seq_a"), F.col("r.user_id").alias("user_b"), F.col("r.session_seq").alias("seq_b"))
 
@@ -304,15 +306,13 @@ def shared_pairs_as_of(read):
     return ident.shared_pairs(read("documents").select("lang", "source", "doc_id"), ["lang", "source"], "doc_id", "doc_id", 5)
 
 
-_EDGES = "e AS (SELECT o_custkey AS a, l_suppkey + 10000000 AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 49 AND o_totalprice > 400000)"
-
-
-@query(f"""WITH RECURSIVE {_EDGES}, u AS (SELECT DISTINCT a, b FROM e UNION SELECT DISTINCT b, a FROM e),
-r AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node)
-SELECT node, min(root) AS component FROM r GROUP BY node""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, l_suppkey + 1000000000 AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM u GROUP BY a
+ UNION SELECT u.b, min(r.component) FROM r JOIN u ON u.a = r.node JOIN recurring.r AS old ON old.node = u.b GROUP BY u.b HAVING min(r.component) < min(old.component))
+SELECT node, component FROM r""")
 def connected_components(read):
-    big = read("orders").where("o_totalprice > 400000")
-    e = big.join(read("lineitem").where("l_quantity >= 49"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 10000000).alias("b"))
+    """Customers and the suppliers of what they ordered."""
+    e = read("orders").join(read("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b"))
     return ident.connected_components(e, "a", "b")
 
 
@@ -408,12 +408,6 @@ def matched_groups(read):
     return ev.matched_groups(d, "tile", "grp", "y")
 
 
-@query()
-def bootstrap_precision(read):
-    d = _scored(read).withColumns({"flag": F.col("score") > 10, "cluster": F.col("doc_id") % 50})
-    return ev.bootstrap_precision(d, "flag", "y", "cluster")
-
-
 @query()
 def crc_split(read):
     salted = F.concat(F.lit("salt|"), F.col("doc_id").cast("string"))
@@ -458,4 +452,4 @@ def stateful_latest(read):
     return read("events").groupBy("user_id").agg(F.max("ts").alias("ts"), F.max_by("event_type", at).alias("event_type"), F.max_by("value", at).alias("value"))
 
 
-from tidemark.plans import maritime  # noqa: E402,F401  (registers its queries)
+from tidemark.plans import assessment, maritime  # noqa: E402,F401  (register their queries)

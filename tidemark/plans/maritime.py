@@ -136,6 +136,62 @@ def round_trips(read):
     return dt.round_trips(_crossings(read), "mmsi")
 
 
+_ROUND = "rt AS (SELECT e.mmsi, e.crossing_time AS east_time, n.t AS west_time FROM cr e, LATERAL (SELECT min(crossing_time) AS t FROM cr w WHERE w.mmsi = e.mmsi AND w.direction = 'W' AND w.crossing_time > e.crossing_time) n WHERE e.direction = 'E' AND n.t IS NOT NULL AND date_diff('day', e.crossing_time, n.t) BETWEEN 2 AND 30)"
+
+
+@query(f"""WITH {_P}, {_CROSS}, {_ROUND}, d AS (SELECT rt.*, (SELECT median(draught) FROM p WHERE p.mmsi = rt.mmsi AND p.timestamp BETWEEN rt.east_time - INTERVAL 12 HOUR AND rt.east_time + INTERVAL 12 HOUR) AS de,
+ (SELECT median(draught) FROM p WHERE p.mmsi = rt.mmsi AND p.timestamp BETWEEN rt.west_time - INTERVAL 12 HOUR AND rt.west_time + INTERVAL 12 HOUR) AS dw, (SELECT max(draught) FROM p WHERE p.mmsi = rt.mmsi AND p.timestamp < rt.west_time) AS dm FROM rt)
+SELECT mmsi, east_time, west_time, round(de, 6) AS draught_east, round(dw, 6) AS draught_west, round(dm, 6) AS draught_max, round(CASE WHEN dm > 0 THEN (dw - de) / dm END, 6) AS rel_change FROM d""")
+def trip_draughts(read):
+    out = dt.trip_draughts(dt.round_trips(_crossings(read), "mmsi"), _positions(read), "mmsi", "timestamp", "draught")
+    return out.select("mmsi", "east_time", "west_time", *(r6(c).alias(c) for c in ("draught_east", "draught_west", "draught_max", "rel_change")))
+
+
+_STATE = "CASE {} WHEN 0 THEN 'moved' WHEN 1 THEN 'stationary' ELSE 'no_data' END"
+_KIND = "CASE {} WHEN 0 THEN 'Tanker' WHEN 1 THEN 'Cargo' WHEN 2 THEN 'Towing' WHEN 3 THEN 'Fishing' END"
+_STATUS = "CASE {} WHEN 0 THEN 'Moored' WHEN 1 THEN 'At anchor' WHEN 2 THEN 'Undefined' WHEN 3 THEN 'Under way using engine' END"
+
+
+@query(f"""WITH r AS (SELECT l_orderkey, l_linenumber, {_STATE.format("l_partkey % 3")} AS aa, {_STATE.format("l_suppkey % 3")} AS ab, {_STATE.format("(l_partkey + l_linenumber) % 3")} AS da, {_STATE.format("l_orderkey % 3")} AS db, l_quantity * 15 AS drift,
+ {_KIND.format("l_partkey % 5")} AS ta, {_KIND.format("l_suppkey % 5")} AS tb, {_STATUS.format("l_orderkey % 5")} AS sa, {_STATUS.format("l_partkey % 6")} AS sb, CASE WHEN l_tax > 0.02 THEN l_tax * 200000 END AS far, l_linenumber AS reps, l_quantity * 2 AS hours FROM lineitem),
+s AS (SELECT *, (SELECT sum(CASE x WHEN 'moved' THEN 1.0 WHEN 'no_data' THEN 0.5 ELSE 0 END) / 4 FROM (SELECT unnest([aa, ab, da, db]) AS x)) AS rendezvous,
+ CASE WHEN ta = 'Towing' OR tb = 'Towing' THEN 0.1 WHEN ta = 'Tanker' AND tb = 'Tanker' THEN 1.0 WHEN ta IN ('Tanker', 'Cargo') AND tb IN ('Tanker', 'Cargo') AND ta <> tb THEN 0.9 WHEN ta = 'Cargo' AND tb = 'Cargo' THEN 0.6 WHEN ta IN ('Tanker', 'Cargo') OR tb IN ('Tanker', 'Cargo') THEN 0.4 ELSE 0.2 END AS kind,
+ (SELECT avg(CASE WHEN x IN ('Moored', 'At anchor') THEN CASE WHEN coalesce(far, 0) >= 10000 THEN 1.0 ELSE 0.0 END WHEN x IS NULL OR x = 'Undefined' THEN 0.5 ELSE 1.0 END) FROM (SELECT unnest([sa, sb]) AS x)) AS status FROM r)
+SELECT l_orderkey, l_linenumber, round(0.35 * rendezvous + 0.2 * least(1, drift / 500) + 0.2 * kind + 0.1 * status + 0.1 * (CASE WHEN reps <= 1 THEN 1.0 WHEN reps = 2 THEN 0.5 ELSE 0 END) + 0.05 * (CASE WHEN hours <= 24 THEN 1 WHEN hours >= 72 THEN 0 ELSE 1 - (hours - 24) / 48 END), 6) AS confidence FROM s""")
+def encounter_scores(read):
+    """Confidence of encounters whose parts are dealt by the keys of each line."""
+    c, pick = F.col, lambda x, values: F.element_at(F.array(*(F.lit(v) for v in values)), (x + 1).cast("int"))
+    state = lambda x: pick(x % 3, ("moved", "stationary", "no_data"))
+    kind = lambda x: pick(x % 5, ("Tanker", "Cargo", "Towing", "Fishing", None))
+    status = lambda x, n: pick(x % n, ("Moored", "At anchor", "Undefined", "Under way using engine", None, None))
+    score = dt.encounter_confidence(
+        state(c("l_partkey")), state(c("l_suppkey")), state(c("l_partkey") + c("l_linenumber")), state(c("l_orderkey")), c("l_quantity") * 15, kind(c("l_partkey")), kind(c("l_suppkey")), status(c("l_orderkey"), 5), status(c("l_partkey"), 6),
+        F.when(c("l_tax") > 0.02, c("l_tax") * 200000), c("l_linenumber"), c("l_quantity") * 2,
+    )
+    return read("lineitem").select("l_orderkey", "l_linenumber", r6(score).alias("confidence"))
+
+
+@query(f"""WITH {_P} SELECT a.event_id, count(*) AS n_same_place FROM p a JOIN p b ON a.mmsi = b.mmsi AND {_hav("a.latitude", "a.longitude", "b.latitude", "b.longitude")} <= 20000 GROUP BY a.event_id""")
+def same_place_counts(read):
+    return dt.same_place_counts(_positions(read), ["mmsi"], "latitude", "longitude", 20_000.0).select("event_id", "n_same_place")
+
+
+_EPISODES = f"""f AS (SELECT *, CASE WHEN lag(slot) OVER w IS NULL OR date_diff('minute', lag(slot) OVER w, slot) > 1500 THEN 1 ELSE 0 END AS st FROM pr WINDOW w AS (PARTITION BY key_a, key_b ORDER BY slot)),
+ep AS (SELECT key_a, key_b, min(slot) AS s, max(slot) AS e FROM (SELECT *, sum(st) OVER (PARTITION BY key_a, key_b ORDER BY slot ROWS UNBOUNDED PRECEDING) AS k FROM f) GROUP BY key_a, key_b, k),
+cx AS (SELECT ep.key_a, ep.key_b, ep.s, ep.e, side, phase, arg_min(latitude, slot) AS la0, arg_min(longitude, slot) AS lo0, arg_max(latitude, slot) AS la1, arg_max(longitude, slot) AS lo1, max(max_sog) AS v
+ FROM ep, (VALUES ('a'), ('b')) x(side), (VALUES ('approach'), ('departure')) y(phase) JOIN sl ON sl.mmsi = CASE side WHEN 'a' THEN ep.key_a ELSE ep.key_b END
+  AND CASE phase WHEN 'approach' THEN sl.slot >= ep.s - INTERVAL 3 DAY AND sl.slot < ep.s ELSE sl.slot > ep.e AND sl.slot <= ep.e + INTERVAL 3 DAY END GROUP BY ALL),
+st AS (SELECT key_a, key_b, s, e, phase || '_' || side AS which, CASE WHEN {_hav("la0", "lo0", "la1", "lo1")} >= 2000 OR v >= 3 THEN 'moved' ELSE 'stationary' END AS state FROM cx)"""
+
+
+@query(f"""WITH {_P}, {_SLOTS}, {_PAIRS}, {_EPISODES} SELECT ep.key_a, ep.key_b, ep.s AS start_time, """ + ", ".join(f"coalesce(max(state) FILTER (which = '{w}'), 'no_data') AS {w}" for w in ("approach_a", "approach_b", "departure_a", "departure_b")) + """
+ FROM ep LEFT JOIN st ON st.key_a = ep.key_a AND st.key_b = ep.key_b AND st.s = ep.s GROUP BY ep.key_a, ep.key_b, ep.s""")
+def encounter_context(read):
+    slots = dt.slots(_positions(read), "mmsi", "timestamp", "latitude", "longitude", "sog", 1440)
+    out = dt.context_slots(dt.encounter_episodes(_pairs(read), 1500, 1440), slots, "mmsi", 72)
+    return out.select("key_a", "key_b", "start_time", "approach_a", "approach_b", "departure_a", "departure_b")
+
+
 _VALID = "regexp_full_match(imo, '[0-9]{7}') AND imo <> '0000000' AND (7 * CAST(imo[1] AS INT) + 6 * CAST(imo[2] AS INT) + 5 * CAST(imo[3] AS INT) + 4 * CAST(imo[4] AS INT) + 3 * CAST(imo[5] AS INT) + 2 * CAST(imo[6] AS INT)) % 10 = CAST(imo[7] AS INT)"
 
 
@@ -254,7 +310,7 @@ def identity_history(read):
     return ft.identity_history(e, cut, "user_id", "ts", ["event_type"], 5).withColumn("state_age_days", r6("state_age_days"))
 
 
-@query("""WITH s AS (SELECT s_suppkey, s_nationkey * 4.0 AS cx, s_acctbal / 100 AS cy FROM supplier WHERE s_suppkey < 40), p AS (SELECT p_partkey, (p_partkey % 100) * 1.0 + 0.25 AS x, p_retailprice % 100 + 0.003 AS y FROM part)
+@query("""WITH s AS (SELECT s_suppkey, s_nationkey * 4.0 AS cx, s_acctbal / 100 AS cy FROM supplier), p AS (SELECT p_partkey, (p_partkey % 100) * 1.0 + 0.25 AS x, p_retailprice % 100 + 0.003 AS y FROM part)
 SELECT p_partkey, s_suppkey FROM p JOIN s ON abs(x - cx) / 9.0 + abs(y - cy) / 11.0 < 1 AND NOT abs(x - cx) / 3.0 + abs(y - cy) / 4.0 < 1""")
 def point_in_polygon(read):
     """Diamonds with a diamond hole around each supplier."""
@@ -263,7 +319,7 @@ def point_in_polygon(read):
     cx, cy = F.col("s_nationkey") * 4.0, F.col("s_acctbal") / 100
     at = lambda dx, dy: F.struct((cx + dx).alias("x"), (cy + dy).alias("y"))
     diamond = lambda a, b: F.array(at(a, 0.0), at(0.0, b), at(-a, 0.0), at(0.0, -b), at(a, 0.0))
-    polygons = read("supplier").where("s_suppkey < 40").select("s_suppkey", F.array(diamond(9.0, 11.0), diamond(3.0, 4.0)).alias("rings"))
+    polygons = read("supplier").select("s_suppkey", F.array(diamond(9.0, 11.0), diamond(3.0, 4.0)).alias("rings"))
     points = read("part").select("p_partkey", ((F.col("p_partkey") % 100) * 1.0 + 0.25).alias("x"), (F.col("p_retailprice") % 100 + 0.003).alias("y"))
     return points_in_polygons(points, polygon_edges(polygons, "s_suppkey", "rings"), "p_partkey", "x", "y", "s_suppkey", 4.0)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 from collections.abc import Sequence
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import valid_imo
+from tidemark.sources.sinks import path_exists
 
 #: The raw position files' columns, after `header_name`, and how they write time.
 POSITION_SCHEMA = "timestamp timestamp_ntz, type_of_mobile string, mmsi long, latitude double, longitude double, navigational_status string, sog double, cog double, ship_type string"
@@ -32,13 +34,13 @@ def with_source_file(df: DataFrame, name: str = "source_file") -> DataFrame:
 def read_days(spark: SparkSession, root: str, start: str, end: str) -> tuple[DataFrame, list[str]]:
     """The days of a table partitioned by date, and those of the range that it lacks.
 
-    The range prunes partitions before anything is read; missing days come from the small list of
-    partitions.
+    The range prunes partitions before anything is read; for missing days only their folders are
+    looked up, one of each day.
     """
     df = spark.read.parquet(root).where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    there = {str(r.date) for r in df.select("date").distinct().collect()}
-    wanted = [str(r.d) for r in spark.sql(f"SELECT explode(sequence(DATE '{start}', DATE '{end}')) AS d").collect()]
-    return df, [d for d in wanted if d not in there]
+    days = (datetime.date.fromisoformat(end) - datetime.date.fromisoformat(start)).days + 1
+    wanted = [str(datetime.date.fromisoformat(start) + datetime.timedelta(i)) for i in range(days)]
+    return df, [d for d in wanted if not path_exists(spark, f"{root}/date={d}")]
 
 
 def read_by_name(frames: Sequence[DataFrame]) -> DataFrame:

@@ -6,7 +6,6 @@ import datetime
 import json
 from collections.abc import Callable, Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,11 +69,12 @@ def pack_tracks(df: DataFrame, key: str, ts: str, lat: str, lon: str, box: tuple
     """Each key's track as little-endian 16-bit planes of longitude, latitude and seconds since its start in minutes, over a box."""
     south, west, north, east = box
     ordered = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))))
+    scale = lambda x, low, high: F.rint((x - low) / (high - low) * 65535)
 
-    def planes(rows):
-        t = np.array([r["t"] for r in rows], float)
-        a, b = np.array([r["lat"] for r in rows]), np.array([r["lon"] for r in rows])
-        scale = lambda x, low, high: np.clip(np.rint((x - low) / (high - low) * 65535), 0, 65535)
-        return np.concatenate((scale(b, west, east), scale(a, south, north), np.clip((t - t[0]) / 6e7, 0, 65535))).astype("<u2").tobytes()
+    def plane(value):
+        whole = lambda p: F.greatest(F.least(value(p), F.lit(65535)), F.lit(0)).cast("long")
+        byte = lambda v: F.lpad(F.hex(v), 2, "0")
+        return F.array_join(F.transform("__p", lambda p: F.concat(byte(whole(p).bitwiseAND(F.lit(255))), byte(F.call_function("shiftright", whole(p), F.lit(8))))), "")
 
-    return df.groupBy(key).agg(F.count("*").alias("n"), F.udf(planes, "binary")(ordered).alias("planes"))
+    planes = F.concat(plane(lambda p: scale(p.lon, west, east)), plane(lambda p: scale(p.lat, south, north)), plane(lambda p: F.floor((p.t - F.col("__p")[0].t) / 6e7)))
+    return df.groupBy(key).agg(F.count("*").alias("n"), ordered.alias("__p")).select(key, "n", F.unhex(planes).alias("planes"))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import valid_imo
+
 #: What the protocol sends for "not available", how long a silent vessel is kept, and the regions served.
 SOG_NA, COG_NA, HEADING_NA = 102.3, 360.0, 511
 STALE_SECONDS = 30 * 60
@@ -26,7 +28,10 @@ _POSITION, _STATIC = _FIELDS[1:6], _FIELDS[6:12]
 
 
 def decode_messages(raw: DataFrame, column: str = "value") -> DataFrame:
-    """JSON messages of five types as flat updates; values that mean "not available" become null."""
+    """JSON messages of five types as flat updates; values that mean "not available", and numbers with a wrong check digit, become null.
+
+    Positions that are impossible or outside the regions served are no updates, and neither are messages of other types.
+    """
     m = raw.select(F.from_json(column, MESSAGE_SCHEMA).alias("m")).select("m.*").where("MetaData.MMSI is not null")
     body = lambda *paths: F.coalesce(*(F.col(f"Message.{p}") for p in paths))
     positions = ("PositionReport", "StandardClassBPositionReport", "ExtendedClassBPositionReport")
@@ -35,13 +40,15 @@ def decode_messages(raw: DataFrame, column: str = "value") -> DataFrame:
     text = lambda c: F.nullif(F.trim(F.trim(c, F.lit("@"))), F.lit(""))
     at = F.col("MetaData.time_utc")
     lat, lon = of("Latitude"), of("Longitude")
-    fine = lat.between(-90, 90) & lon.between(-180, 180)
-    return m.select(
+    fine = F.coalesce(lat.between(-90, 90) & lon.between(-180, 180) & in_regions(lat, lon).isNotNull(), F.lit(False))
+    static = F.col("MessageType").isin("ShipStaticData", "StaticDataReport", "ExtendedClassBPositionReport")
+    imo = body("ShipStaticData.ImoNumber")
+    return m.where(F.when(F.col("MessageType").isin(*positions), fine | (static & lat.isNull())).otherwise(static)).select(
         F.col("MetaData.MMSI").alias("mmsi"), F.when(fine, lat).alias("latitude"), F.when(fine, lon).alias("longitude"), real(of("Sog"), SOG_NA).alias("sog"), real(of("Cog"), COG_NA).alias("cog"), real(of("TrueHeading"), HEADING_NA).alias("heading"),
         text(body("ShipStaticData.Name", "StaticDataReport.ReportA.Name", "ExtendedClassBPositionReport.Name")).alias("name"), text(body("ShipStaticData.CallSign", "StaticDataReport.ReportB.CallSign")).alias("callsign"),
-        F.nullif(body("ShipStaticData.ImoNumber"), F.lit(0)).alias("imo"), F.nullif(body("ShipStaticData.Type", "StaticDataReport.ReportB.ShipType", "ExtendedClassBPositionReport.Type"), F.lit(0)).alias("ship_type"),
+        F.when(valid_imo(F.lpad(imo.cast("string"), 7, "0")), imo).alias("imo"), F.nullif(body("ShipStaticData.Type", "StaticDataReport.ReportB.ShipType", "ExtendedClassBPositionReport.Type"), F.lit(0)).alias("ship_type"),
         text(body("ShipStaticData.Destination")).alias("destination"), F.nullif(body("ShipStaticData.MaximumStaticDraught"), F.lit(0.0)).alias("draught"),
-        F.when(fine, at).alias("position_time"), F.when(F.col("MessageType").isin("ShipStaticData", "StaticDataReport", "ExtendedClassBPositionReport"), at).alias("static_time"),
+        F.when(fine, at).alias("position_time"), F.when(static, at).alias("static_time"),
         F.coalesce(at, F.current_timestamp()).alias("event_time"),
     )
 
@@ -55,12 +62,16 @@ def in_regions(lat: Column, lon: Column) -> Column:
 
 
 def fold(record: dict | None, update: dict) -> dict:
-    """One update onto a record: a position replaces all position fields, static fields only what is not empty."""
+    """One update onto a record: a position replaces all position fields, static fields only what is not empty.
+
+    What is older than what the record has of its kind changes nothing: batches may come out of order.
+    """
     out = dict(record or dict.fromkeys(_FIELDS))
     out["mmsi"] = update["mmsi"]
-    if update["position_time"] is not None:
+    newer = lambda t: update[t] is not None and (out[t] is None or update[t] >= out[t])
+    if newer("position_time"):
         out |= {f: update[f] for f in (*_POSITION, "position_time")}
-    if update["static_time"] is not None:
+    if newer("static_time"):
         out |= {f: update[f] for f in _STATIC if update[f] is not None}
         out["static_time"] = update["static_time"]
     return out
