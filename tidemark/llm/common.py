@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.storage import discard, shared_folder  # noqa: F401  (used by the operators)
+from tidemark.storage import written as staged
+
 #: A word in every operator here: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a Python worker handles at a time.
@@ -21,23 +24,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file:///tmp/tidemark-{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as written to the shared folder and read back: lineage ends here, and it survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -59,6 +45,19 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit:
             start = stop
 
 
+def split_words(texts: pa.Array) -> list[list[bytes]]:
+    """The words of each text, ASCII letters in lower case; none for a null."""
+    return [t.split() for t in pc.ascii_lower(texts.fill_null("")).cast(pa.binary()).to_pylist()]  # bytes.split() parts at ASCII white space only
+
+
+class WordHashes(dict):
+    """XXH64 of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+
 def crc32_of_id(column: str = "doc_id") -> "F.Column":
     """crc32 of the id's decimal text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
@@ -80,7 +79,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: each node's smaller neighbours and the node itself join the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        pairs = staged(small, "edges")
+        last, pairs = pairs, staged(small, "edges")
+        discard(last)
         now = pairs.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.count_distinct("a")).first()
         if now == before or now[0] == now[2] and not pairs.join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_semi").head(1):
             break
