@@ -13,6 +13,7 @@ on the same bounded sample turns both into a score.
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 import uuid
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import crc32_of_id, text_chunks
 
 #: Labelled documents of a class that the models are fitted on, at most: the smallest hashes of doc_id.
-DOCS_PER_CLASS = 1_000
+DOCS_PER_CLASS = 3_000
 ORDER = 7
 DISCOUNT = 0.75
 THRESHOLD = 0.3
@@ -232,6 +233,31 @@ class _Lookup(dict):
 _LOOKUPS: dict[str, _Lookup] = {}
 
 
+def _models(rows: DataFrame) -> list[KneserNey]:
+    """The models of fold 1, of fold 0 and of both, from rows of a word and its counts n00, n01, n10, n11 by class and fold.
+
+    The counts of a bounded sample are bounded; one task makes the models, so that the driver only
+    ever holds the finished ones.
+    """
+
+    def make(batches):
+        table = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=schema) for b in batches], schema=schema).sort_by("w")
+        words, counts = table.column("w").to_pylist(), {c: table.column(c).to_numpy().astype(float) for c in schema.names[1:]}
+        pieces = [_pieces(w) if len(w) > MAX_WORD else [w] for w in words]
+        at = np.repeat(np.arange(len(words)), [len(p) for p in pieces])
+        words, keep = [p for x in pieces for p in x], np.array([bool(p) for x in pieces for p in x], bool)
+        words, at = [w for w in words if w], at[keep]
+        for turn, folds in enumerate(((1,), (0,), (0, 1))):
+            o, t = (sum(counts[f"n{y}{f}"][at] for f in folds) for y in (0, 1))
+            some = np.flatnonzero(o + t > 0)
+            made = KneserNey([words[i] for i in some], t[some], o[some])
+            yield pa.RecordBatch.from_arrays([pa.array([turn], pa.int32()), pa.array([pickle.dumps(made)], pa.binary())], ["turn", "model"])
+
+    schema = pa.schema([("w", pa.string()), *((f"n{y}{f}", pa.int64()) for y in (0, 1) for f in (0, 1))])
+    made = rows.select(*schema.names).repartition(1).mapInArrow(make, "turn int, model binary").collect()
+    return [pickle.loads(r.model) for r in sorted(made)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_class: int = DOCS_PER_CLASS) -> KneserNey:
     """The models of a bounded sample of labelled rows: at most docs_per_class of each class, smallest hash of the id first.
 
@@ -252,22 +278,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     words = F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("w")
     strip = F.regexp_replace("w", r"^[.,;:!?\"'()\[\]{}#*$%&|<>]+|[.,;:!?\"'()\[\]{}#*$%&|<>]+$", "")
     of = [F.count_if((F.col("y") == y) & (F.col("fold") == f)).alias(f"n{y}{f}") for y in (0, 1) for f in (0, 1)]
-    rows = sample.select("y", "fold", words).select("y", "fold", strip.alias("w")).where("w <> ''").groupBy("w").agg(*of).toPandas().sort_values("w")
-
-    if (rows.w.str.len() > MAX_WORD).any():
-        rows = rows.assign(w=rows.w.map(_pieces)).explode("w")
-        rows = rows[rows.w != ""].groupby("w", sort=True, as_index=False).sum()
-
-    def model_of(folds):
-        o, t = (sum(rows[f"n{y}{f}"].to_numpy(float) for f in folds) for y in (0, 1))
-        some = o + t > 0
-        return KneserNey(rows.w[some].tolist(), t[some], o[some])
+    rows = sample.select("y", "fold", words).select("y", "fold", strip.alias("w")).where("w <> ''").groupBy("w").agg(*of)
+    models = _models(rows) if set(totals) >= {0, 1} else [KneserNey([], np.zeros(0), np.zeros(0))] * 3
 
     known, n = set(totals), {y: min(totals.get(y, 0), docs_per_class) for y in (0, 1)}
     seen = None
     if known >= {0, 1}:
         # the curve is fitted on evidence from the model of the other half, that has not seen the text
-        shared = docs.sparkSession.sparkContext.broadcast([model_of((1,)), model_of((0,))])
+        shared = docs.sparkSession.sparkContext.broadcast(models[:2])
 
         def run(batches):
             looks = _Lookup(), _Lookup()
@@ -278,9 +296,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array(c) for c in e.T)], ["y", "mean", "top", "share"])
 
         seen = sample.select("y", "fold", "text").mapInArrow(run, "y int, mean double, top double, share double").toPandas()
-        shared.destroy()  # before the last model is made: the driver then holds no more than it needs
-        del shared, run
-    model = model_of((0, 1))
+        shared.destroy()
+    model = models[2]
     if seen is not None:
         y = seen.y.to_numpy(float)
         # the sample has its own share of toxic rows; weights restore the labels'
