@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import quality_rules as q
 
 SCHEMA = "doc_id long, text string, quality string, kept string, n_words int"
@@ -46,3 +48,10 @@ def test_clean_documents_stay_and_junk_goes(spark):
     rows = q.verdicts(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("n_words >= 50").collect()
     clean, junk = [r.kept for r in rows if r.quality], [r.kept for r in rows if not r.quality]
     assert sum(clean) >= 0.99 * len(clean) and sum(junk) <= 0.1 * len(junk)
+
+
+def test_long_lines_may_mention_boilerplate(spark):
+    start = "Read more about the river and its boats"
+    lines = [(start + " x" * n)[: q.BOILERPLATE_CHARS - 2 + d] + "." for n, d in ((300, 0), (300, 1), (300, 2))]
+    out = spark.createDataFrame([(x,) for x in lines], "line string").select(q.line_passes(F.col("line")), F.length("line")).collect()
+    assert [tuple(r) for r in out] == [(False, 299), (True, 300), (True, 301)]

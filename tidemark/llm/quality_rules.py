@@ -19,6 +19,8 @@ MAX_LOST_PERCENT = 30
 #: Per cent of a line's characters that may be markup symbols, or stand in runs of ! and ?.
 MAX_SYMBOL_PERCENT = 5
 SYMBOLS = "#*$%&|<>"
+#: Characters from which a line is prose that mentions boilerplate words, and not boilerplate.
+BOILERPLATE_CHARS = 300
 #: How a line of prose ends, and what marks menus and boilerplate.
 TERMINAL = r"[.!?;:,…。！？][\"'»“”’)\]]*[\x20\x09-\x0D]*$"
 NAVIGATION = r"(?:[|»›>•·][^|»›>•·]{0,40}){3,}"
@@ -49,7 +51,7 @@ def line_passes(line: Column) -> Column:
         & (100 * marks <= MAX_SYMBOL_PERCENT * size)
         & (100 * shouts <= MAX_SYMBOL_PERCENT * size)
         & ~line.rlike(NAVIGATION)
-        & ~((size < 300) & line.rlike(BOILERPLATE))
+        & ~((size < BOILERPLATE_CHARS) & line.rlike(BOILERPLATE))
     )
 
 
@@ -129,7 +131,7 @@ ln AS (SELECT k, CAST(coalesce(sum(length(x)), 0) AS BIGINT) AS all_chars, CAST(
         AND 100 * (length(x) - length(translate(x, '#*$%&|<>{{}}=\~^', ''))) <= {MAX_SYMBOL_PERCENT} * length(x)
         AND 100 * (length(x) - length(regexp_replace(x, '[!?]{{2,}}', '', 'g'))) <= {MAX_SYMBOL_PERCENT} * length(x)
         AND NOT regexp_matches(x, '(?:[|\x{{00BB}}\x{{203A}}>\x{{2022}}\x{{00B7}}][^|\x{{00BB}}\x{{203A}}>\x{{2022}}\x{{00B7}}]{{0,40}}){{3,}}')
-        AND NOT (length(x) < 300 AND regexp_matches(x, '{BOILERPLATE}')))), 0) AS BIGINT) AS lost
+        AND NOT (length(x) < {BOILERPLATE_CHARS} AND regexp_matches(x, '{BOILERPLATE}')))), 0) AS BIGINT) AS lost
       FROM (SELECT k, unnest(l) AS x FROM w) GROUP BY k),
 f AS (SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS BIGINT) AS word_chars,
       CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
