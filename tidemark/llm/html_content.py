@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -26,6 +27,8 @@ from .common import text_chunks
 
 #: Labelled pages to train on, at most: the smallest hashes of the page's address.
 TRAIN_PAGES = 300
+#: Characters that such a page has at most, so that the sample is bounded.
+TRAIN_CHARS = 200_000
 ALPHA = 0.5
 #: Pages made from each article, under markup that the table may lack.
 VARIANTS = 6
@@ -89,6 +92,12 @@ class Trees:
     def add(self, page: int, html: str) -> None:
         """Parses a page: block elements become nodes, text between their borders runs."""
         stack = [("#root", self.node(-1, "html", ""))]
+        inside: Counter[str] = Counter()  # how often each name is open
+
+        def close(i):
+            inside.subtract(name for name, _ in stack[i:])
+            del stack[i:]
+
         pending: list[str] = []
         linked = in_link = 0
 
@@ -136,21 +145,22 @@ class Trees:
             flush()
             in_link = 0
             if m[2]:
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if inside[name] > 0 else ():
                     if stack[i][0] == name:
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i][0] in ("article", "body") and name in ("p", "li", "div"):
                         break
                 continue
             closed = CLOSES.get(name) or ({"p"} if name in CLOSES_P else ())
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(inside[x] > 0 for x in closed) else ():
                 if stack[i][0] in closed:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in BARRIER or stack[i][0] in ("ul", "ol", "dl"):
                     break
             stack.append((name, self.node(stack[-1][1], name, m[4])))
+            inside[name] += 1
         if last < len(html):
             pending.append(html[last:])
         flush()
@@ -167,7 +177,8 @@ class ContentModel:
     @staticmethod
     def features(t: Trees) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
         parent, depth = np.array(t.parent, np.int64), np.array(t.depth, np.int64)
-        levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max(initial=0)) + 1)]
+        by_depth = np.argsort(depth, kind="stable")
+        levels = np.split(by_depth, np.searchsorted(depth[by_depth], np.arange(1, int(depth.max(initial=0)) + 1)))[1:]
         chars, linked, ends = (np.array(x, np.float64) for x in (t.chars, t.linked, t.ends))
         own = chars.copy()
         for level in reversed(levels):
@@ -255,14 +266,14 @@ def _labelled(html: str) -> str | None:
 _FALLBACK = ["The first paragraph tells what happened, where, and when.", "A second one goes on for a while. It has more than one sentence, as prose does.", "Short end."]
 
 
-def train(pages: DataFrame, url_col: str = "url", html_col: str = "html", limit: int = TRAIN_PAGES) -> ContentModel:
-    """Counts potentials on at most `limit` labelled pages of the table and on pages made from their articles.
+def train(pages: DataFrame, url_col: str = "url", html_col: str = "html", limit: int = TRAIN_PAGES, most_chars: int = TRAIN_CHARS) -> ContentModel:
+    """Counts potentials on at most `limit` labelled pages of the table, each of under `most_chars`, and on pages made from their articles.
 
     What reaches the driver is that bounded sample. If no page labels itself, only built-in text is used.
     """
     rng, t = random.Random(17), Trees()
     sample = pages.select(F.col(html_col).alias("html"), F.xxhash64(F.col(url_col), F.col(html_col)).alias("h"))
-    tells = sample.where(F.col("html").rlike(r"(?i)<(article|main)\b") & (F.length("html") < 200_000))
+    tells = sample.where(F.col("html").rlike(r"(?i)<(article|main)\b") & (F.length("html") < most_chars))
     # hashes alone are ordered, as every task sends its first ones; then the pages of those are fetched
     least = [r.h for r in tells.select("h").distinct().orderBy("h").limit(limit).collect()]
     rows = tells.where(F.col("h").isin(least)).dropDuplicates(["h"]).orderBy("h").collect() if least else []
