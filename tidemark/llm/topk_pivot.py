@@ -158,13 +158,14 @@ def top_k(table: DataFrame, queries: "F.Column", id_col: str = "vec_id", vector_
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(near)), near])], [*batch.schema.names, "pivot", "r"])
 
     keyed = staged(rows.mapInArrow(key, "id long, v array<long>, is_query boolean, pivot int, r double"), "keyed")
+    # annuli of equal width per pivot, as many over all as the driver's summary may have; one that holds more
+    # than a chunk is dealt over several, so that no chunk grows with the table
     chunk = max(CHUNK, -(-n // MAX_CHUNKS))
-    # annuli of equal width per pivot; one that holds more than a chunk is dealt over several
     cells = keyed.groupBy("pivot").agg(F.count("*").alias("m"), F.min("r").alias("r0"), F.max("r").alias("r1"))
     ring = F.when(F.col("r1") > F.col("r0"), F.least(F.floor((F.col("r") - F.col("r0")) / (F.col("r1") - F.col("r0")) * F.ceil(F.col("m") / chunk)), F.ceil(F.col("m") / chunk) - 1)).otherwise(0).cast("int")
     ringed = keyed.join(F.broadcast(cells), "pivot").withColumn("ring", ring).drop("m", "r0", "r1")  # a row for each pivot
     sizes = ringed.groupBy("pivot", "ring").agg(F.count("*").alias("m"))
-    chunked = ringed.join(sizes, ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / chunk)).cast("int")).drop("m")
+    chunked = ringed.join(sizes, ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / CHUNK)).cast("int")).drop("m")
 
     def pack(key, table):
         g = shared.value
@@ -172,7 +173,7 @@ def top_k(table: DataFrame, queries: "F.Column", id_col: str = "vec_id", vector_
         ids, r = table.column("id").to_numpy(), table.column("r").to_numpy()
         v = _matrix(table.column("v").chunk(0), g.width)
         pivot, ask = table.column("pivot")[0].as_py(), table.column("is_query").to_numpy()
-        name = int(uuid.uuid5(uuid.NAMESPACE_OID, "-".join(str(x) for x in key)).int & (1 << 62) - 1)
+        ring, name = (int(uuid.uuid5(uuid.NAMESPACE_OID, "-".join(str(x) for x in part)).int & (1 << 62) - 1) for part in (key[:2], key))
         q = {"id": ids[ask], "v": v[ask], "norm": (v[ask].astype(float) ** 2).sum(1), "d": g.of_queries(v[ask]), "floor": np.full(int(ask.sum()), np.iinfo(np.int64).min)}
         floors = np.full(len(ids), np.iinfo(np.int64).min)
         if len(q["id"]) and len(ids) > k:
@@ -182,19 +183,19 @@ def top_k(table: DataFrame, queries: "F.Column", id_col: str = "vec_id", vector_
             first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
             full = np.diff(np.append(first, len(row))) >= k
             floors[np.flatnonzero(ask)[row[first[full]]]] = s[first[full]]
-        return pa.table({"chunk": pa.array([name], pa.int64()), "pivot": pa.array([pivot], pa.int32()), "low": pa.array([r[0]]), "high": pa.array([r[-1]]), "ids": pa.array([ids]), "r": pa.array([r]), "v": pa.array([v.astype("<i8").tobytes()], pa.binary()), "is_query": pa.array([ask.tolist()]), "floors": pa.array([floors])})
+        return pa.table({"annulus": pa.array([ring], pa.int64()), "chunk": pa.array([name], pa.int64()), "pivot": pa.array([pivot], pa.int32()), "low": pa.array([r[0]]), "high": pa.array([r[-1]]), "ids": pa.array([ids]), "r": pa.array([r]), "v": pa.array([v.astype("<i8").tobytes()], pa.binary()), "is_query": pa.array([ask.tolist()]), "floors": pa.array([floors])})
 
-    schema = "chunk long, pivot int, low double, high double, ids array<long>, r array<double>, v binary, is_query array<boolean>, floors array<long>"
+    schema = "annulus long, chunk long, pivot int, low double, high double, ids array<long>, r array<double>, v binary, is_query array<boolean>, floors array<long>"
     chunks = staged(chunked.groupBy("pivot", "ring", "part").applyInArrow(pack, schema), "chunks")
-    # at most 2 * MAX_CHUNKS + PIVOTS rows
-    summary = chunks.select("chunk", "pivot", "low", "high").toPandas().sort_values("chunk")
-    bounds = spark.sparkContext.broadcast(tuple(summary[c].to_numpy() for c in ("chunk", "pivot", "low", "high")))
+    # a row for each annulus, at most MAX_CHUNKS + PIVOTS
+    summary = chunks.groupBy("annulus", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas().sort_values("annulus")
+    bounds = spark.sparkContext.broadcast(tuple(summary[c].to_numpy() for c in ("annulus", "pivot", "low", "high")))
 
     # a chunk is sent once for each group of about BLOCKS_PER_TASK full blocks of queries
     groups = -(-whole.asking // (QUERY_BLOCK * BLOCKS_PER_TASK)) or 1
 
     def ask(batches):
-        """Blocks of a chunk's queries, each with the chunks that its bounds don't rule out."""
+        """Blocks of a chunk's queries, each with the annuli that its bounds don't rule out."""
         g = shared.value
         names, at, low, high = bounds.value
         for batch in batches:
@@ -209,9 +210,10 @@ def top_k(table: DataFrame, queries: "F.Column", id_col: str = "vec_id", vector_
                     m = len(group)
                     blob = np.column_stack((np.array(row["ids"])[own], floors, v[own])).astype("<i8").tobytes()
                     task = (row["chunk"] + i) % groups
-                    yield pa.RecordBatch.from_arrays([group, pa.array([task] * m, pa.int32()), pa.array([blob] * m, pa.binary())], ["chunk", "task", "queries"])
+                    yield pa.RecordBatch.from_arrays([group, pa.array([task] * m, pa.int32()), pa.array([blob] * m, pa.binary())], ["annulus", "task", "queries"])
 
-    asked = staged(chunks.select("chunk", "ids", "v", "is_query", "floors").mapInArrow(ask, "chunk long, task int, queries binary"), "asked")
+    open_ = chunks.select("chunk", "ids", "v", "is_query", "floors").mapInArrow(ask, "annulus long, task int, queries binary")
+    asked = staged(open_.join(chunks.select("annulus", "chunk"), "annulus").drop("annulus"), "asked")
     tasks = asked.select("chunk", "task").distinct().join(chunks.select("chunk", "pivot", "ids", "r", "v"), "chunk").toDF("of", "turn", "pivot", "ids", "r", "v")
 
     def answer(key, left, right):
