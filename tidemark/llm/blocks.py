@@ -19,9 +19,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_folder, staged, text_chunks
+from .common import discard, partitions, shared_folder, staged, text_chunks
 
 BLOCK_BYTES = 4 << 20
+#: Ranges of keys for each shuffle partition: a range is what a task holds at a time, and several in a task even out.
+RANGES = 4
 
 
 def squeeze(data: bytes) -> bytes:
@@ -71,8 +73,17 @@ def build(docs: DataFrame, columns: dict[str, str], limit: int = BLOCK_BYTES) ->
 
     frame = docs.select(*(F.col(old).alias(new) for new, old in columns.items())).mapInArrow(run, "block_id long, blob binary")
     buckets, name = partitions(spark), f"blocks_{uuid.uuid4().hex}"
-    frame.repartition(buckets, "block_id").write.bucketBy(buckets, "block_id").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    path = f"{shared_folder(spark)}/{name}"
+    frame.repartition(buckets, "block_id").write.bucketBy(buckets, "block_id").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.written_to, out.table_name = path, name
+    return out
+
+
+def drop(blocks: DataFrame) -> None:
+    """Drops a table of blocks and its files, once everything that reads it is written itself."""
+    blocks.sparkSession.sql(f"DROP TABLE {blocks.table_name}")
+    discard(blocks)
 
 
 def delta_code(keys: np.ndarray) -> bytes:
@@ -107,7 +118,7 @@ def recurring(blocks: DataFrame, keys: Callable[[pa.RecordBatch], tuple[np.ndarr
     keys gives a block's (64-bit key, document number) pairs, in any order and with repeats. A key
     recurs if it is in two documents of a block or in two blocks.
     """
-    ranges = ranges or partitions(blocks.sparkSession)
+    ranges = ranges or RANGES * partitions(blocks.sparkSession)
 
     def ask(batches):
         for batch in batches:
@@ -150,6 +161,90 @@ def recurring(blocks: DataFrame, keys: Callable[[pa.RecordBatch], tuple[np.ndarr
     return staged(each, "marks")
 
 
+def columns_blob(arrays: list[np.ndarray]) -> bytes:
+    """Several integer arrays of a length, small numbers mostly, as one compressed piece."""
+    return squeeze(b"".join(x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in arrays))
+
+
+def blob_columns(blob: bytes, n: int) -> list[np.ndarray]:
+    raw = np.frombuffer(expand(blob), np.uint8).reshape(n, 8, -1)
+    return [np.ascontiguousarray(x.T).view("<i8").ravel() for x in raw]
+
+
+def first_holders(blocks: DataFrame, keys: Callable[[dict], tuple[np.ndarray, np.ndarray, np.ndarray]], ranges: int | None = None) -> DataFrame:
+    """(block_id, holders): for the sorted unique keys of each block, who holds each key first in the whole corpus.
+
+    keys gives a block's (64-bit key, id, place) in any order, repeats included. The holder of a key
+    is its smallest (id, place); keys with one id alone have none. `holders_of` reads the result.
+    As in `recurring`, a key is one number per block, however often it occurs.
+    """
+    ranges = ranges or RANGES * partitions(blocks.sparkSession)
+
+    def ask(batches):
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            key, owner, place = keys(row)
+            order = np.lexsort((place, owner, key))
+            key, owner, place = key[order], owner[order], place[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+            several = owner[np.append(first[1:], len(key)) - 1] != owner[first] if len(key) else np.zeros(0, bool)
+            key, owner, place = key[first], owner[first], place[first]
+            bounds = np.concatenate(([0], np.searchsorted(key, _cuts(ranges)), [len(key)])).tolist()
+            parts = [(i, a, b) for i, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([i for i, _, _ in parts], pa.int32()),
+                    pa.array([row["block_id"]] * len(parts), pa.int64()),
+                    pa.array([delta_code(key[a:b]) for _, a, b in parts], pa.binary()),
+                    pa.array([columns_blob([owner[a:b], 2 * place[a:b] + several[a:b]]) for _, a, b in parts], pa.binary()),
+                ],
+                ["part", "block_id", "keys", "held"],
+            )
+
+    def answer(key, table):
+        owned = [delta_decode(x) for x in table.column("keys").to_pylist()]
+        sizes = [len(x) for x in owned]
+        flat = np.concatenate(owned)
+        del owned
+        owner, place = (np.concatenate(x) for x in zip(*(blob_columns(x, 2) for x in table.column("held").to_pylist())))
+        order = np.lexsort((place, owner, flat))
+        k, o = flat[order], owner[order]
+        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(k))))
+        several = np.logical_or.reduceat((place[order] & 1).astype(bool), first) | (o[np.append(first[1:], len(k)) - 1] != o[first])
+        at = np.empty(len(k), np.int64)
+        at[order] = order[first][group]
+        shared = np.empty(len(k), bool)
+        shared[order] = several[group]
+        best, where = owner[at], place[at] >> 1
+        cuts = np.cumsum([0, *sizes])
+        pieces = [(shared[a:b], best[a:b], where[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        return pa.table(
+            {
+                "block_id": table.column("block_id"),
+                "part": table.column("part"),
+                "n": pa.array(sizes, pa.int64()),
+                "marks": pa.array([np.packbits(m).tobytes() for m, _, _ in pieces], pa.binary()),
+                "held": pa.array([columns_blob([x[m], y[m]]) for m, x, y in pieces], pa.binary()),
+            }
+        )
+
+    asked = blocks.mapInArrow(ask, "part int, block_id long, keys binary, held binary")
+    told = asked.groupBy("part").applyInArrow(answer, "block_id long, part int, n long, marks binary, held binary")
+    # a block has one row for each range at most
+    return staged(told.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("part", "n", "marks", "held"))).alias("holders")), "holders")
+
+
+def holders_of(key: np.ndarray, holders: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's keys, as given to `first_holders`: which have a holder, its id, and its place."""
+    if not len(key) or not holders:
+        return np.zeros(len(key), bool), np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+    shared = np.concatenate([np.unpackbits(np.frombuffer(h["marks"], np.uint8), count=h["n"]) for h in holders]).astype(bool)
+    owner, place = np.zeros(len(shared), np.int64), np.zeros(len(shared), np.int64)
+    owner[shared], place[shared] = (np.concatenate(x) for x in zip(*(blob_columns(h["held"], 2) for h in holders)))
+    at = np.searchsorted(np.unique(key), key)
+    return shared[at], owner[at], place[at]
+
+
 def unique_and_shared(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sorted unique keys, and which of them have more than one owner."""
     if not len(key):
