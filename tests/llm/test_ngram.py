@@ -28,7 +28,7 @@ def brute(rows):
     for d, words, held in docs:
         base = full = 0.0
         for a, w in zip(["<s>", *words], words):
-            base += math.log10((uni[w] + 1) / ((n + 1) * (v + 1)))
+            base += math.log10((uni[w] + 1) / (n + 1 * (v + 1)))
             smooth = (uni[w] + 1) / (n + v + 1)
             p = smooth if not total[a] else (max(pair[a, w] - lm.DISCOUNT, 0) + lm.DISCOUNT * kinds[a] * smooth) / total[a]
             full += math.log10(p)

@@ -24,13 +24,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import _cuts, build, delta_code, delta_decode, expand, from_blob, squeeze
-from .common import partitions, staged
+from .blocks import RANGES, _cuts, blob_columns, build, columns_blob, delta_code, delta_decode, expand, from_blob, squeeze
+from .common import partitions, split_words, staged
 
 DISCOUNT = 0.75
 #: Steps of a natural-log probability that one code stands for: within 0.0005 of the exact value.
@@ -154,24 +153,18 @@ class Trie:
 
 def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct token hashes, every token's place among them, tokens per document): words, then one end each."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(batch.column("text").fill_null("")).cast(pa.large_string()))
-    coded = lists.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-    real = np.fromiter((bool(w) for w in words), bool, len(words))
-    codes = coded.indices.to_numpy().astype(np.int64)
-    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    kept = real[codes] if len(codes) else np.zeros(0, bool)
-    sizes = np.diff(np.concatenate(([0], np.cumsum(kept)))[np.concatenate(([0], ends)).astype(np.int64)])
-    table, back = np.unique(np.concatenate((hashes[real], [END])), return_inverse=True)
-    number = np.full(len(words), -1, np.int64)
-    number[real] = back[:-1]
-    flat = np.empty(kept.sum() + len(sizes), np.int64)
+    lists = split_words(batch.column("text"))
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    codes: dict[bytes, int] = {}
+    flat_codes = np.fromiter((codes.setdefault(w, len(codes)) for x in lists for w in x), np.int64, int(sizes.sum()))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, codes), np.uint64, len(codes))
+    table, number = np.unique(np.append(hashes, END), return_inverse=True)
+    flat = np.empty(len(flat_codes) + len(sizes), np.int64)
     last = np.cumsum(sizes + 1) - 1
     slot = np.ones(len(flat), bool)
     slot[last] = False
-    flat[slot] = number[codes[kept]]
-    flat[last] = back[-1]
+    flat[slot] = number[flat_codes]
+    flat[last] = number[-1]
     return table, flat, sizes + 1
 
 
@@ -196,16 +189,6 @@ def _bigrams(batch: pa.RecordBatch, numbers: np.ndarray, begin: int) -> tuple[np
     return a[new], b[new], count, which
 
 
-def _ragged(arrays: list[np.ndarray]) -> bytes:
-    """Several integer arrays of a length, small numbers mostly, as one compressed piece."""
-    return squeeze(b"".join(x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in arrays))
-
-
-def _unragged(blob: bytes, n: int) -> list[np.ndarray]:
-    raw = np.frombuffer(expand(blob), np.uint8).reshape(n, 8, -1)
-    return [np.ascontiguousarray(x.T).view("<i8").ravel() for x in raw]
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", step: int = 1 << 40) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
@@ -216,7 +199,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", step:
     """
     spark = docs.sparkSession
     blocks = build(docs.withColumn(id_col, F.col(id_col).cast("long")), {"id": id_col, "text": text_col})
-    ranges = 2 * partitions(spark)
+    ranges = RANGES * partitions(spark)
     cuts = _cuts(ranges)
 
     def ask_words(batches):
@@ -228,21 +211,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", step:
                 bounds = [0, *np.searchsorted(table, cuts).tolist(), len(table)]
                 parts = [(i, a, b) for i, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for i, _, _ in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([delta_code(table[a:b]) for _, a, b in parts], pa.binary()), pa.array([_ragged([count[a:b]]) for _, a, b in parts], pa.binary())],
+                    [pa.array([i for i, _, _ in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([delta_code(table[a:b]) for _, a, b in parts], pa.binary()), pa.array([columns_blob([count[a:b]]) for _, a, b in parts], pa.binary())],
                     ["part", "block_id", "keys", "counts"],
                 )
 
     def number_words(key, table):
         part = table.column("part")[0].as_py()
         keys = [delta_decode(x) for x in table.column("keys").to_pylist()]
-        counts = np.concatenate([_unragged(x, 1)[0] for x in table.column("counts").to_pylist()])
+        counts = np.concatenate([blob_columns(x, 1)[0] for x in table.column("counts").to_pylist()])
         unique, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, counts, len(unique)).astype(np.int64)
         # words that training never saw need no number of their own: 0 stands for all of them
         known = total > 0
         # numbers of a part: from its own place on, so that no part needs to know of others
         number = np.where(known, part * step + np.cumsum(known), 0)
-        blobs = [_ragged([total[a], number[a] - part * step * (number[a] > 0)]) for a in np.split(at, np.cumsum([len(k) for k in keys])[:-1])]
+        blobs = [columns_blob([total[a], number[a] - part * step * (number[a] > 0)]) for a in np.split(at, np.cumsum([len(k) for k in keys])[:-1])]
         n = table.num_rows
         return pa.table(
             {
@@ -264,7 +247,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", step:
 
     def words_of(rows):
         """Counts and numbers of a block's distinct tokens, in the order of their hashes."""
-        pairs = [_unragged(r["words"], 2) for r in rows]
+        pairs = [blob_columns(r["words"], 2) for r in rows]
         return np.concatenate([p[0] for p in pairs]), np.concatenate([np.where(p[1] > 0, p[1] + r["part"] * step, 0) for p, r in zip(pairs, rows)])
 
     # contexts are dealt by a hash of the word's number, as numbers cluster by the range of hashes
@@ -285,7 +268,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", step:
                     [
                         pa.array([i for i, _ in rows_], pa.int32()),
                         pa.array([block] * len(rows_), pa.int64()),
-                        pa.array([_ragged([np.diff(a[own], prepend=0), b[own] // step, b[own] % step, count[own]]) for _, own in rows_], pa.binary()),
+                        pa.array([columns_blob([np.diff(a[own], prepend=0), b[own] // step, b[own] % step, count[own]]) for _, own in rows_], pa.binary()),
                     ],
                     ["part", "block_id", "asked"],
                 )
@@ -293,7 +276,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", step:
     def answer(key, table):
         asked = []
         for blob in table.column("asked").to_pylist():
-            gap, part, number, count = _unragged(blob, 4)
+            gap, part, number, count = blob_columns(blob, 4)
             asked.append((np.cumsum(gap), part * step + number, count))
         a, b, c = (np.concatenate(x) for x in zip(*asked))
         seen = c > 0

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import build, expand, from_blob, marked, recurring, squeeze
+from .blocks import RANGES, build, expand, from_blob, marked, recurring, squeeze
 from .common import partitions
 
 WIDTH = 50
@@ -270,7 +270,7 @@ def marks_of(docs: DataFrame, columns: list[str], id_col: str, text_col: str, wi
         return key, doc
 
     marks = recurring(blocks, keys)
-    cuts = _splitters(blocks, partitions(spark))
+    cuts = _splitters(blocks, RANGES * partitions(spark))
 
     def recurring_contexts(blob, bits):
         batch = from_blob(blob)
