@@ -307,8 +307,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def score(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """The named columns of docs (the id alone by default) with `score` added; text alone decides it.
+def score(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, score_col: str = "score") -> DataFrame:
+    """The named columns of docs (the id alone by default) with score_col added, a name that none of them has; text alone decides it.
 
     Null and wordless texts get the curve's value for no evidence. Every row is kept.
     """
@@ -327,7 +327,7 @@ def score(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s)], [*batch.schema.names[:-1], "score"])
 
     schema = ", ".join(f"c{i} {frame.schema[i].dataType.simpleString()}" for i in range(len(columns)))
-    return frame.mapInArrow(run, f"{schema}, score double").toDF(*columns, "score")
+    return frame.mapInArrow(run, f"{schema}, score double").toDF(*columns, score_col)
 
 
 def train_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
