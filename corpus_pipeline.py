@@ -25,8 +25,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays under the threshold; the models learn from this stage's labelled rows."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity_kn.fit(toxicity_kn.train_rows(docs), toxicity_kn.train_rows(labels))
-    scored = toxicity_kn.score(docs.withColumn("__text", F.col("text")), model, text_col="__text", columns=docs.columns)
-    return scored.where(F.col("score") < toxicity_kn.THRESHOLD).drop("score")
+    own = "_".join(["score", *docs.columns])  # no column has this name
+    scored = toxicity_kn.score(docs, model, columns=docs.columns, score_col=own)
+    return scored.where(F.col(own) < toxicity_kn.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
