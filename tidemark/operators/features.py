@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -122,3 +123,19 @@ def event_tokens(kinds: dict[str, tuple[DataFrame, str]], key: str, start: str,
     at = F.floor((micros(F.col("event_time")) - micros(F.lit(start).cast("timestamp_ntz"))) / 3.6e9)
     rows = rows.withColumn("hour_idx", F.when(at < 0, 0).when(at > hours - 1, hours - 1).otherwise(at).cast("long"))
     return first_per(rows, [key], [F.desc("event_time"), "kind"], most, "rank")
+
+
+def trip_features(identity: DataFrame, trips: DataFrame, start: str, end: str, lookback_days: int = 270, earliest: str | None = None) -> DataFrame:
+    """For every key of a window: round trips that came back in the lookback before its end, how many laden, their share and rate per 30 days.
+
+    identity has mmsi, imo and last_seen: a key stands for the number that it sent last (of those, the
+    largest). trips have imo, west_time and is_laden_return; a share of no trips is null.
+    """
+    last = datetime.date.fromisoformat(end)
+    low = max(d for d in (datetime.date.fromisoformat(earliest) if earliest else last - datetime.timedelta(lookback_days), last - datetime.timedelta(lookback_days)))
+    roster = identity.groupBy("mmsi").agg(F.max_by("imo", F.when(F.col("imo").isNotNull(), F.struct("last_seen", "imo"))).alias("imo"))
+    inside = trips.where((F.col("west_time") >= F.lit(str(low)).cast("timestamp_ntz")) & (F.col("west_time") < F.lit(str(last + datetime.timedelta(1))).cast("timestamp_ntz")))
+    each = inside.groupBy("imo").agg(F.count("*").alias("__n"), F.count_if("is_laden_return").alias("__l"))
+    n, laden = (F.coalesce(c, F.lit(0)) for c in ("__n", "__l"))
+    days = max((last - low).days, 1)
+    return roster.join(each, "imo", "left").select("mmsi", n.alias("n_trips"), laden.alias("n_laden_returns"), ratio(laden, n).alias("laden_share"), (laden / days * 30).alias("laden_per_30d"), F.lit(start).cast("date").alias("window_start"), F.lit(end).cast("date").alias("window_end"))

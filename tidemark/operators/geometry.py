@@ -97,3 +97,10 @@ def on_land(positions: DataFrame, land: DataFrame, point_id: str, lat: str, lon:
     # an edge to the left of the box is no crossing of a ray to the right; others of the box's height may be
     e = e.where(reach(south - erosion, north + erosion, "y1", "y2") & (F.greatest("x1", "x2") >= west - erosion))
     return well_inside(kept, e, point_id, lon, lat, polygon_id, band, erosion).select(point_id).distinct()
+
+
+def fingerprint(df: DataFrame, key: str, ts: str, lat: str, lon: str, tail: float = 0.001) -> DataFrame:
+    """One row that tells a table again: rows, keys, first and last time, and its box without the tails, to two places."""
+    box = tail_box(df, lat, lon, tail, 0.0) or (None,) * 4
+    names = ("south", "west", "north", "east")
+    return df.agg(F.count("*").alias("n_rows"), F.count_distinct(key).alias("n_keys"), F.min(ts).alias("first_time"), F.max(ts).alias("last_time")).withColumns({n: F.round(F.lit(v).cast("double"), 2) for n, v in zip(names, box)})

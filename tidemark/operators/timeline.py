@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import in_range, seconds_between, time_bucket, valid_position
+from tidemark.operators.aggregates import totals_before
 
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int = 1, rank: str | None = None) -> DataFrame:
@@ -95,3 +96,9 @@ def day_islands(df: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(day))
     island = days.withColumn("__island", F.date_sub(F.col(day), number))
     return island.groupBy(*keys, "__island").agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count("*").alias("n_days")).drop("__island")
+
+
+def trip_runs(df: DataFrame, key: str, trip: str, least: int = 2) -> DataFrame:
+    """Each trip of `least` points or more with its number of points, and where it begins when all of them stand end to end by key and trip."""
+    runs = df.groupBy(key, trip).agg(F.count("*").alias("n_points")).where(F.col("n_points") >= least)
+    return totals_before(runs, [key, trip], {"first_point": F.col("n_points")})

@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fn
 from tidemark.operators import detectors as dt
+from tidemark.operators import evaluation as ev
+from tidemark.operators import features as ft
 from tidemark.operators import geometry as geo
 from tidemark.operators import identity as ident
+from tidemark.operators import models as md
 from tidemark.operators import resampling as rs
+from tidemark.operators import timeline as tl
 from tidemark.plans.catalogue import _SCORED, _scored, query, r6
 from tidemark.plans.maritime import _P, _hav, _positions
 
@@ -158,3 +162,36 @@ def during_encounter(read):
     gaps = read("orders").select("o_orderkey", F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("s"), (F.col("o_orderdate") + F.expr("INTERVAL 3 DAYS")).alias("e"))
     met = read("lineitem").select(F.col("l_suppkey").alias("key_a"), (F.col("l_partkey") % 500).alias("key_b"), F.col("l_shipdate").alias("start_time"), (F.col("l_shipdate") + F.expr("INTERVAL 6 HOURS")).alias("end_time"))
     return dt.during_encounter(gaps, met, "o_orderkey", "k", "s", "e").select("o_orderkey")
+
+
+@query("""WITH i AS (SELECT c_custkey AS mmsi, lpad(CAST(x AS VARCHAR), 9, '0') AS imo, d AS last_seen FROM customer, (VALUES (0, DATE '1996-03-01'), (1, DATE '1996-02-01')) v(k, d), LATERAL (SELECT CASE k WHEN 0 THEN c_custkey ELSE c_custkey + 1 END AS x)),
+r AS (SELECT mmsi, arg_max(imo, (last_seen, imo)) AS imo FROM i GROUP BY mmsi), t AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS imo, count(*) AS n, count(*) FILTER (o_totalprice > 200000) AS l FROM orders WHERE o_orderdate >= TIMESTAMP '1995-07-06' AND o_orderdate < TIMESTAMP '1996-04-01' GROUP BY ALL)
+SELECT mmsi, coalesce(n, 0) AS n_trips, coalesce(l, 0) AS n_laden_returns, round(l / n, 6) AS laden_share, round(coalesce(l, 0) / 269.0 * 30, 6) AS laden_per_30d FROM r LEFT JOIN t USING (imo)""")
+def trip_features(read):
+    name = lambda c: F.lpad(c.cast("string"), 9, "0")
+    c = read("customer").select(F.col("c_custkey").alias("mmsi"))
+    day = lambda d: F.lit(d).cast("date").alias("last_seen")
+    identity = c.select("mmsi", name(F.col("mmsi")).alias("imo"), day("1996-03-01")).unionByName(c.select("mmsi", name(F.col("mmsi") + 1).alias("imo"), day("1996-02-01")))
+    trips = read("orders").select(name(F.col("o_custkey")).alias("imo"), F.col("o_orderdate").alias("west_time"), (F.col("o_totalprice") > 200000).alias("is_laden_return"))
+    out = ft.trip_features(identity, trips, "1996-03-01", "1996-03-31", 270, "1995-07-06")
+    return _rounded(out, ("laden_share", "laden_per_30d")).drop("window_start", "window_end")
+
+
+@query("""WITH r AS (SELECT user_id, CAST(ts AS DATE) AS trip, count(*) AS n_points FROM events GROUP BY ALL HAVING count(*) >= 2)
+SELECT user_id, trip, n_points, CAST(coalesce(sum(n_points) OVER (ORDER BY user_id, trip ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_point FROM r""")
+def trip_runs(read):
+    return tl.trip_runs(read("events").withColumn("trip", F.col("ts").cast("date")), "user_id", "trip")
+
+
+@query(f"""WITH {_P} SELECT count(*) AS n_rows, count(DISTINCT mmsi) AS n_keys, min(timestamp) AS first_time, max(timestamp) AS last_time, round(quantile_cont(latitude, 0.001), 2) AS south, round(quantile_cont(longitude, 0.001), 2) AS west,
+ round(quantile_cont(latitude, 0.999), 2) AS north, round(quantile_cont(longitude, 0.999), 2) AS east FROM p""")
+def fingerprint(read):
+    return geo.fingerprint(_positions(read), "mmsi", "timestamp", "latitude", "longitude")
+
+
+@query()
+def cross_validated_auc(read):
+    """AUC of out-of-fold scores; three documents make a group."""
+    d = read("documents").join(read("labels"), "doc_id").select(F.floor(F.col("doc_id") / 3).alias("vessel"), F.col("quality").alias("y"), "n_chars", F.size(F.split("text", "\n")).alias("lines"))
+    scored = md.cross_validated_scores(d, ["n_chars", "lines"], "y", "vessel")
+    return ev.auc(scored.select("y", F.round("score", 9).alias("score")), "score", "y").withColumn("auc", r6("auc"))
