@@ -24,10 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, text_chunks
+from .common import crc32_of_id, discard, staged, text_chunks
 
 #: Labelled documents of a class that the models are fitted on, at most: the smallest hashes of doc_id.
-DOCS_PER_CLASS = 3_000
+DOCS_PER_CLASS = 2_000
 ORDER = 7
 DISCOUNT = 0.75
 THRESHOLD = 0.3
@@ -130,9 +130,11 @@ class KneserNey:
         longest = lambda p: min(p, order - 1)
         gram, context = gather(lambda p, live: _grams(codes[live], p + 1, longest(p) + 1), lambda p, live: _grams(codes[live], p, longest(p)))
         t, o = gather(lambda p, live: toxic[live], lambda p, live: ordinary[live])
-        self.top, self.context = _Counts(gram, t, o), _Counts(context, t, o)
+        self.top = _Counts(gram, t, o)
         first = np.unique(gram, return_index=True)[1]
-        self.kinds = _Counts(context[first], *(np.minimum(c, 1) for c in self.top.get(gram[first])))
+        some, none = [np.minimum(c, 1) for c in self.top.get(gram[first])], np.zeros(len(context))
+        #: Of each context: counts by class, then different n-grams by class.
+        self.context = _Counts(np.concatenate((context, context[first])), *(np.concatenate((c, none[: len(first)])) for c in (t, o)), *(np.concatenate((none, c)) for c in some))
         self.shared = []
         for size in range(order - 1):
             # types of the one longer n-gram count for the shorter
@@ -143,16 +145,16 @@ class KneserNey:
             )
             one = np.unique(wide ^ (gram * np.uint64(3)), return_index=True)[1]
             once = np.unique(gram, return_index=True)[1]
-            self.shared.append((_Counts(gram[one], np.ones(len(one))), _Counts(context[one], np.ones(len(one))), _Counts(context[once], np.ones(len(once)))))
+            flags = np.arange(len(one) + len(once)) < len(one)
+            self.shared.append((_Counts(gram[one], np.ones(len(one))), _Counts(np.concatenate((context[one], context[once])), flags, ~flags)))
         self.alphabet = max(256, len(np.unique(codes)))
         self.curve = np.zeros(4)
 
     def _backoff(self, own: np.ndarray, p: int, longest: int) -> np.ndarray:
         value = np.full(len(own), 1.0 / self.alphabet)
         for size in range(min(longest, len(self.shared))):
-            count, total, kinds = self.shared[size]
-            (c,), key = count.get(_grams(own, p + 1, size + 1)), _grams(own, p, size)
-            (t,), (n,) = total.get(key), kinds.get(key)
+            count, contexts = self.shared[size]
+            (c,), (t, n) = count.get(_grams(own, p + 1, size + 1)), contexts.get(_grams(own, p, size))
             safe = np.maximum(t, 1)
             value = np.where(t > 0, np.maximum(c - DISCOUNT, 0) / safe + DISCOUNT * n / safe * value, value)
         return value
@@ -170,9 +172,8 @@ class KneserNey:
             own = codes[live]
             longest = min(p, self.order - 1)
             shared = self._backoff(own, p, longest)
-            key = _grams(own, p, longest)
-            logs = []
-            for c, t, n in zip(self.top.get(_grams(own, p + 1, longest + 1)), self.context.get(key), self.kinds.get(key)):
+            logs, contexts = [], self.context.get(_grams(own, p, longest))
+            for c, t, n in zip(self.top.get(_grams(own, p + 1, longest + 1)), contexts[:2], contexts[2:]):
                 safe = np.maximum(t, 1)
                 logs.append(np.log(np.where(t > 0, np.maximum(c - DISCOUNT, 0) / safe + np.minimum(DISCOUNT * n, t) / safe * shared, shared)))
             out[live] += logs[0] - logs[1]
@@ -233,11 +234,11 @@ class _Lookup(dict):
 _LOOKUPS: dict[str, _Lookup] = {}
 
 
-def _models(rows: DataFrame) -> list[KneserNey]:
-    """The models of fold 1, of fold 0 and of both, from rows of a word and its counts n00, n01, n10, n11 by class and fold.
+def _models(rows: DataFrame) -> DataFrame:
+    """(turn, model): of fold 1, of fold 0 and of both, from rows of a word and its counts n00, n01, n10, n11 by class and fold.
 
-    The counts of a bounded sample are bounded; one task makes the models, so that the driver only
-    ever holds the finished ones.
+    The counts of a bounded sample are bounded; one task makes the models, and the driver fetches
+    the last one only.
     """
 
     def make(batches):
@@ -254,8 +255,7 @@ def _models(rows: DataFrame) -> list[KneserNey]:
             yield pa.RecordBatch.from_arrays([pa.array([turn], pa.int32()), pa.array([pickle.dumps(made)], pa.binary())], ["turn", "model"])
 
     schema = pa.schema([("w", pa.string()), *((f"n{y}{f}", pa.int64()) for y in (0, 1) for f in (0, 1))])
-    made = rows.select(*schema.names).repartition(1).mapInArrow(make, "turn int, model binary").collect()
-    return [pickle.loads(r.model) for r in sorted(made)]
+    return staged(rows.select(*schema.names).repartition(1).mapInArrow(make, "turn int, model binary"), "models")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_class: int = DOCS_PER_CLASS) -> KneserNey:
@@ -279,25 +279,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     strip = F.regexp_replace("w", r"^[.,;:!?\"'()\[\]{}#*$%&|<>]+|[.,;:!?\"'()\[\]{}#*$%&|<>]+$", "")
     of = [F.count_if((F.col("y") == y) & (F.col("fold") == f)).alias(f"n{y}{f}") for y in (0, 1) for f in (0, 1)]
     rows = sample.select("y", "fold", words).select("y", "fold", strip.alias("w")).where("w <> ''").groupBy("w").agg(*of)
-    models = _models(rows) if set(totals) >= {0, 1} else [KneserNey([], np.zeros(0), np.zeros(0))] * 3
-
     known, n = set(totals), {y: min(totals.get(y, 0), docs_per_class) for y in (0, 1)}
     seen = None
     if known >= {0, 1}:
-        # the curve is fitted on evidence from the model of the other half, that has not seen the text
-        shared = docs.sparkSession.sparkContext.broadcast(models[:2])
-
-        def run(batches):
-            looks = _Lookup(), _Lookup()
-            for batch in text_chunks(batches):
-                fold = batch.column("fold").to_numpy()
-                both = [m.evidence(look.rows(m, batch.column("text"))) for m, look in zip(shared.value, looks)]
-                e = np.where((fold == 0)[:, None], *both)
-                yield pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array(c) for c in e.T)], ["y", "mean", "top", "share"])
-
-        seen = sample.select("y", "fold", "text").mapInArrow(run, "y int, mean double, top double, share double").toPandas()
-        shared.destroy()
-    model = models[2]
+        models = _models(rows)
+
+        def evidence(key, texts, own):
+            """Of the sample's texts of a fold, from the model of the other one, that has not seen them."""
+            if not texts.num_rows or not own.num_rows:
+                return schema.empty_table()
+            model, look = pickle.loads(own.column("model")[0].as_py()), _Lookup()
+            parts = []
+            for batch in text_chunks(texts.to_batches()):
+                e = model.evidence(look.rows(model, batch.column("text")))
+                parts.append(pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array(c) for c in e.T)], schema=schema))
+            return pa.Table.from_batches(parts)
+
+        schema = pa.schema([("y", pa.int32()), ("mean", pa.float64()), ("top", pa.float64()), ("share", pa.float64())])
+        each = sample.select("y", "fold", "text").groupBy("fold").cogroup(models.where("turn < 2").groupBy("turn"))
+        seen = each.applyInArrow(evidence, "y int, mean double, top double, share double").toPandas()
+        model = pickle.loads(models.where("turn = 2").select("model").first().model)
+        discard(models)
+    else:
+        model = KneserNey([], np.zeros(0), np.zeros(0))
     if seen is not None:
         y = seen.y.to_numpy(float)
         # the sample has its own share of toxic rows; weights restore the labels'
