@@ -107,6 +107,11 @@ class _Counts:
         self.keys, at = np.unique(keys, return_inverse=True)
         self.columns = [np.bincount(at, c, len(self.keys)).astype(np.float32) for c in columns]
 
+    def add(self, keys: np.ndarray, *columns: np.ndarray) -> None:
+        """Further columns, of keys that are all known."""
+        at = np.searchsorted(self.keys, keys)
+        self.columns += [np.bincount(at, c, len(self.keys)).astype(np.float32) for c in columns]
+
     def get(self, keys: np.ndarray) -> list[np.ndarray]:
         if not len(self.keys):
             return [np.zeros(len(keys)) for _ in self.columns]
@@ -132,9 +137,10 @@ class KneserNey:
         t, o = gather(lambda p, live: toxic[live], lambda p, live: ordinary[live])
         self.top = _Counts(gram, t, o)
         first = np.unique(gram, return_index=True)[1]
-        some, none = [np.minimum(c, 1) for c in self.top.get(gram[first])], np.zeros(len(context))
         #: Of each context: counts by class, then different n-grams by class.
-        self.context = _Counts(np.concatenate((context, context[first])), *(np.concatenate((c, none[: len(first)])) for c in (t, o)), *(np.concatenate((none, c)) for c in some))
+        self.context = _Counts(context, t, o)
+        del t, o
+        self.context.add(context[first], *(np.minimum(c, 1) for c in self.top.get(gram[first])))
         self.shared = []
         for size in range(order - 1):
             # types of the one longer n-gram count for the shorter
@@ -145,8 +151,10 @@ class KneserNey:
             )
             one = np.unique(wide ^ (gram * np.uint64(3)), return_index=True)[1]
             once = np.unique(gram, return_index=True)[1]
-            flags = np.arange(len(one) + len(once)) < len(one)
-            self.shared.append((_Counts(gram[one], np.ones(len(one))), _Counts(np.concatenate((context[one], context[once])), flags, ~flags)))
+            del wide
+            contexts = _Counts(context[one], np.ones(len(one), np.float32))
+            contexts.add(context[once], np.ones(len(once), np.float32))
+            self.shared.append((_Counts(gram[one], np.ones(len(one), np.float32)), contexts))
         self.alphabet = max(256, len(np.unique(codes)))
         self.curve = np.zeros(4)
 
@@ -248,10 +256,11 @@ def _models(rows: DataFrame) -> DataFrame:
         at = np.repeat(np.arange(len(words)), [len(p) for p in pieces])
         words, keep = [p for x in pieces for p in x], np.array([bool(p) for x in pieces for p in x], bool)
         words, at = [w for w in words if w], at[keep]
+        del table, pieces, keep
         for turn, folds in enumerate(((1,), (0,), (0, 1))):
             o, t = (sum(counts[f"n{y}{f}"][at] for f in folds) for y in (0, 1))
             some = np.flatnonzero(o + t > 0)
-            made = KneserNey([words[i] for i in some], t[some], o[some])
+            made = KneserNey([words[i] for i in some], t[some].astype(np.float32), o[some].astype(np.float32))
             yield pa.RecordBatch.from_arrays([pa.array([turn], pa.int32()), pa.array([pickle.dumps(made)], pa.binary())], ["turn", "model"])
 
     schema = pa.schema([("w", pa.string()), *((f"n{y}{f}", pa.int64()) for y in (0, 1) for f in (0, 1))])
