@@ -189,3 +189,19 @@ def test_known_checksums_and_bootstrap_limits(spark):
     assert b.n_replicates == 200 and b.low < 0.25 < b.high and b.high - b.low < 0.6
     one = rs.bootstrap_precision(df.withColumn("y", F.lit(1)), "f", "y", "c").first()
     assert (one.low, one.high) == (1.0, 1.0)
+
+
+def test_totals_before_per_key_over_ranges(spark):
+    """A key of a third of the rows lies over several ranges; null keys are a key, names that helpers would take stay."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice([None, "a", "b", "hot", "hot", "hot"]), rng.randrange(60), i, f"p{i}", 7) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, t int, id int, __part string, at int").repartition(5)
+    out = ag.totals_before(df, ["t", "id"], {"n": F.lit(1), "s": F.col("t")}, ["k"])
+    assert out.columns == [*df.columns, "n", "s"]
+    got = {r.id: (r.n, r.s, r["__part"], r["at"]) for r in out.collect()}
+    for k, t, i, p, seven in rows:
+        before = [x for x in rows if x[0] == k and (x[1], x[2]) < (t, i)]
+        assert got[i] == (len(before), sum(x[1] for x in before), p, seven)
+    assert ag.totals_before(df.limit(0), ["t"], {"n": F.lit(1)}, ["k"]).collect() == []

@@ -77,13 +77,14 @@ def ordered_ntile(df: DataFrame, k: int, order: Sequence[str | Column], name: st
     A global window would pull all rows into one task; instead rows are range-partitioned and their
     rank is the partition's offset plus the rank inside it.
     """
-    ranked = global_rank(df, order, "__rank")
-    n = df.count()
+    [rank] = unused(df, "rank")
+    ranked = global_rank(df, order, rank)
+    n = ranked.count()
     size, extra = divmod(n, k)
-    r = F.col("__rank") - 1
+    r = F.col(rank) - 1
     big = extra * (size + 1)
     tile = F.when(r < big, F.floor(r / (size + 1))).otherwise(extra + F.floor((r - big) / max(size, 1))) + 1
-    return ranked.withColumn(name, tile.cast("long")).drop("__rank")
+    return ranked.withColumn(name, tile.cast("long")).drop(rank)
 
 
 def global_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rank") -> DataFrame:
@@ -94,22 +95,34 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rank"
 def totals_before(df: DataFrame, order: Sequence[str | Column], sums: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:
     """df with sums over all rows before each in an order, per key or over the whole table.
 
-    Without keys a window would pull all rows into one task. Instead rows are dealt to ranges of the
-    order and written once, so that counts and rows agree whatever is recomputed; a row's sum is that
-    of its own range so far and of all ranges before, of which there is one row each.
+    A window would pull a key's rows, or all of them, into one task. Instead rows are dealt to ranges
+    of (keys, order) and written once, so that counts and rows agree whatever is recomputed; a row's
+    sum is that of its key in its own range so far and in all ranges before. Ranges are contiguous, so
+    at most one key goes on from one to the next, and what is broadcast has under two rows a range.
     """
-    names = {f"__v_{n}": c for n, c in sums.items()}
-    valued = df.withColumns(names)
-    if keys:
-        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return valued.withColumns({n: F.coalesce(F.sum(f"__v_{n}").over(before), F.lit(0)) for n in sums}).drop(*names)
+    part, at, *others = unused(df, "part", "at", *(f"{w}_{n}" for w in ("v", "before") for n in sums), *(f"key_{k}" for k in keys))
+    values, sooner, held = dict(zip(sums, others)), dict(zip(sums, others[len(sums) :])), others[2 * len(sums) :]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = written(valued.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
-    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    offsets = dealt.groupBy("__part").agg(*(F.sum(v).alias(v) for v in names)).select("__part", *(F.coalesce(F.sum(v).over(ranges), F.lit(0)).alias(f"{v}_before") for v in names))
-    rows = dealt.withColumns({n: F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0)) for n in sums}).join(F.broadcast(offsets), "__part")
-    return rows.withColumns({n: F.col(n) + F.col(f"__v_{n}_before") for n in sums}).drop("__part", *names, *(f"{v}_before" for v in names))
+    dealt = written(df.withColumns({values[n]: c for n, c in sums.items()}).repartitionByRange(parts, *keys, *order).withColumn(part, F.spark_partition_id()), "ranges")
+    each = dealt.groupBy(F.col(part).alias(at), *(F.col(k).alias(h) for k, h in zip(keys, held))).agg(*(F.sum(v).alias(v) for v in values.values()))
+    if keys:
+        several = each.groupBy(*held).agg(F.count("*").alias("n")).where("n > 1")
+        each = each.alias("l").join(several.alias("r"), [F.col(f"l.{h}").eqNullSafe(F.col(f"r.{h}")) for h in held], "left_semi")
+    earlier = Window.partitionBy(*held).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = each.select(at, *held, *(F.sum(values[n]).over(earlier).alias(sooner[n]) for n in sums))
+    inside = Window.partitionBy(part, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    same = [F.col(part) == F.col(at), *(F.col(k).eqNullSafe(F.col(h)) for k, h in zip(keys, held))]
+    rows = dealt.withColumns({n: F.coalesce(F.sum(v).over(inside), F.lit(0)) for n, v in values.items()}).join(F.broadcast(offsets), same, "left")
+    return rows.withColumns({n: F.col(n) + F.coalesce(sooner[n], F.lit(0)) for n in sums}).select(*df.columns, *(n for n in sums if n not in df.columns))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    line = "__"
+    while any(f"{line}{n}".lower() in taken for n in names):
+        line += "_"
+    return [line + n for n in names]
 
 
 def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
