@@ -89,7 +89,10 @@ def ordered_ntile(df: DataFrame, k: int, order: Sequence[str | Column], name: st
 
 def global_rank(df: DataFrame, order: Sequence[str | Column], name: str = "rank") -> DataFrame:
     """1, 2, ... over the whole table in a total order, without one task that holds all rows."""
-    return totals_before(df, order, {name: F.lit(1)}).withColumn(name, (F.col(name) + 1).cast("long"))
+    before = totals_before(df, order, {name: F.lit(1)})
+    out = before.withColumn(name, (F.col(name) + 1).cast("long"))
+    out.written_to = before.written_to
+    return out
 
 
 def totals_before(df: DataFrame, order: Sequence[str | Column], sums: dict[str, Column], keys: Sequence[str] = ()) -> DataFrame:
@@ -99,6 +102,7 @@ def totals_before(df: DataFrame, order: Sequence[str | Column], sums: dict[str,
     of (keys, order) and written once, so that counts and rows agree whatever is recomputed; a row's
     sum is that of its key in its own range so far and in all ranges before. Ranges are contiguous, so
     at most one key goes on from one to the next, and what is broadcast has under two rows a range.
+    The table of ranges can be discarded once the result has been written.
     """
     part, at, *others = unused(df, "part", "at", *(f"{w}_{n}" for w in ("v", "before") for n in sums), *(f"key_{k}" for k in keys))
     values, sooner, held = dict(zip(sums, others)), dict(zip(sums, others[len(sums) :])), others[2 * len(sums) :]
@@ -113,7 +117,9 @@ def totals_before(df: DataFrame, order: Sequence[str | Column], sums: dict[str,
     inside = Window.partitionBy(part, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     same = [F.col(part) == F.col(at), *(F.col(k).eqNullSafe(F.col(h)) for k, h in zip(keys, held))]
     rows = dealt.withColumns({n: F.coalesce(F.sum(v).over(inside), F.lit(0)) for n, v in values.items()}).join(F.broadcast(offsets), same, "left")
-    return rows.withColumns({n: F.col(n) + F.coalesce(sooner[n], F.lit(0)) for n in sums}).select(*df.columns, *(n for n in sums if n not in df.columns))
+    out = rows.withColumns({n: F.col(n) + F.coalesce(sooner[n], F.lit(0)) for n in sums}).select(*df.columns, *(n for n in sums if n not in df.columns))
+    out.written_to = dealt.written_to
+    return out
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
