@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .common import read
 from .bpe_rank_queue import round_trip
 from .compact_windows import near_duplicate_passages
+from .hard_negatives import hard_negatives
 from .html_content import op5_html_content
 from .ngram_trie import score as lm_score
 from .packing import pack
@@ -44,6 +47,11 @@ def op7_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, label=label)
+
+
 QUERIES = {
     "op1_pivot_top_k": op1_pivot_top_k,
     "op2_line_quality": op2_line_quality,
@@ -55,6 +63,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_toxicity": op10_toxicity,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -67,4 +76,13 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """,
     "op2_line_quality": QUALITY_SQL,
+    "op13_hard_negatives": """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x : floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, c.r, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score FROM v a JOIN v c ON a.r <> c.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, anchor_id, r AS p, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, r) <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.a, p ORDER BY score DESC, vec_id, r) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s ON s.a = p.a AND NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score) WHERE rank <= 10
+""",
 }
