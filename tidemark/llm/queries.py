@@ -11,6 +11,8 @@ from .hard_negatives import hard_negatives
 from .html_content import op5_html_content
 from .ngram_trie import score as lm_score
 from .packing import pack
+from .prefix_trie import ORACLE as TRIE_SQL
+from .prefix_trie import prefix_trie
 from .quality_rules import ORACLE as QUALITY_SQL
 from .quality_rules import op2_line_quality
 from .simhash_covering import near_duplicates
@@ -47,6 +49,10 @@ def op7_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def op13_hard_negatives(spark, sf_dir):
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, label=label)
@@ -63,6 +69,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_toxicity": op10_toxicity,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -76,6 +83,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """,
     "op2_line_quality": QUALITY_SQL,
+    "op12_prefix_trie": TRIE_SQL,
     "op13_hard_negatives": """
 WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x : floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0),
