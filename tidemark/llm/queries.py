@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .bpe_rank_queue import round_trip
+from .chat_format import ORACLE as CHAT_SQL
+from .chat_format import op11_chat_template as formatted_conversations
 from .compact_windows import near_duplicate_passages
 from .hard_negatives import hard_negatives
 from .html_content import op5_html_content
@@ -49,6 +51,10 @@ def op7_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_chat_template(spark, sf_dir):
+    return formatted_conversations(read(spark, sf_dir, "conversations"))
+
+
 def op12_prefix_trie(spark, sf_dir):
     return prefix_trie(read(spark, sf_dir, "conversations"))
 
@@ -69,6 +75,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_chat_template": op11_chat_template,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -83,6 +90,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """,
     "op2_line_quality": QUALITY_SQL,
+    "op11_chat_template": CHAT_SQL,
     "op12_prefix_trie": TRIE_SQL,
     "op13_hard_negatives": """
 WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x : floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
