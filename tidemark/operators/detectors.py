@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import angle_between, bearing_deg, boundaries_crossed, clip, grid_cell, haversine_m, known_text, micros, normal_text, seconds_between, time_bucket, valid_imo
 from tidemark.operators.aggregates import fit_circles, supported_ratio
+from tidemark.operators.geometry import distance_to_land
 from tidemark.operators.joins import asof_join, next_event, overlapping_pairs, points_in_intervals, proximity_pairs
 from tidemark.operators.timeline import pair_with_previous, sessionize
 from tidemark.storage import written
@@ -132,6 +133,14 @@ def anchorages(df: DataFrame, key: str, ts: str, lat: str, lon: str, sog: str, c
     return found.select(F.col("cell.cell_lat").alias("cell_lat"), F.col("cell.cell_lon").alias("cell_lon"), (F.col("cell.cell_lat") + cell_deg / 2).alias("center_latitude"), (F.col("cell.cell_lon") + cell_deg / 2).alias("center_longitude"), "n_vessels", "n_vessel_days", "total_hours", "members")
 
 
+def coastal_flag(cells: DataFrame, land: DataFrame, max_m: float = 10_000.0, polygon_id: str = "polygon", rings: str = "rings") -> DataFrame:
+    """anchorages with distance_to_land_m from their centres (0 on land, null beyond max_m) and is_coastal, within max_m of it."""
+    places = cells.select(F.struct("cell_lat", "cell_lon").alias("place"), "center_latitude", "center_longitude")
+    far = distance_to_land(places, land, "place", "center_latitude", "center_longitude", max_m, polygon_id, rings)
+    near = far.select("place.cell_lat", "place.cell_lon", F.col("distance_m").alias("distance_to_land_m"))
+    return cells.join(near, ["cell_lat", "cell_lon"], "left").withColumn("is_coastal", F.coalesce(F.col("distance_to_land_m") <= max_m, F.lit(False)))
+
+
 def slots(df: DataFrame, key: str, ts: str, lat: str, lon: str, sog: str, minutes: int = 10) -> DataFrame:
     """Medians of position and speed per key and time slot, and the highest speed."""
     slot = time_bucket(F.col(ts), minutes * 60).alias("slot")

@@ -1,14 +1,17 @@
-"""Points against polygons and against each other, as equi-joins on bands and cells."""
+"""Points against polygons, their outlines and each other, as equi-joins on cells."""
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import haversine_m
+from tidemark.functions.columns import EARTH_RADIUS_M, haversine_m
 from tidemark.operators.aggregates import exact_quantiles
+from tidemark.storage import discard, written
 
 
 def polygon_edges(polygons: DataFrame, id_col: str, rings: str) -> DataFrame:
@@ -18,20 +21,148 @@ def polygon_edges(polygons: DataFrame, id_col: str, rings: str) -> DataFrame:
     return ring.where("size(r) > 1").select(id_col, edge.alias("e")).select(id_col, "e.*")
 
 
-def points_in_polygons(points: DataFrame, edges: DataFrame, point_id: str, x: str, y: str, polygon_id: str, band: float) -> DataFrame:
-    """(point, polygon) for every polygon that holds a point, by the even-odd rule.
+#: Where a cell's reference point lies in it, in shares of its sides: off the round numbers that outlines like.
+REFERENCE = 0.381966011250105
+METRES_PER_DEGREE = math.radians(EARTH_RADIUS_M)
 
-    A ray to the right crosses only edges that span the point's y. Edges list the bands of y that
-    they span, and points meet those of their own band: an equi-join, with nothing broadcast.
-    Points on a lower or left border are inside, on an upper or right border outside.
+
+def touched_cells(edges: DataFrame, cell: float, margin: float = 0.0) -> DataFrame:
+    """edges (x1, y1, x2, y2, ...) with (cx, cy) of every cell that each touches, or comes near to by a margin.
+
+    Columns are listed first and then, of each, the rows that the edge spans in it, so that a long
+    edge lists cells along it and not those of its box.
+    """
+    slack = margin + 1e-9 * cell
+    west, east, column = F.least("x1", "x2"), F.greatest("x1", "x2"), F.col("cx") * cell
+    e = edges.withColumn("cx", F.explode(F.sequence(F.floor((west - slack) / cell), F.floor((east + slack) / cell))))
+    height = lambda x: F.when(F.col("x1") == F.col("x2"), None).otherwise(F.col("y1") + (x - F.col("x1")) / (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
+    a, b = height(F.least(F.greatest(column - slack, west), east)), height(F.greatest(F.least(column + cell + slack, east), west))
+    low, high = F.least(F.coalesce(a, "y1"), F.coalesce(b, "y2")) - slack, F.greatest(F.coalesce(a, "y1"), F.coalesce(b, "y2")) + slack
+    return e.withColumn("cy", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
+
+
+def tiles(edges: DataFrame, polygon_id: str, cell: float, margin: float = 0.0, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Polygons cut to cells: (polygon, cx, cy, inside, edges).
+
+    A cell has the edges that touch it (or come near by a margin), none if it is full, and whether
+    its reference point is inside the polygon: even-odd, from the places where the polygon's edges
+    cross the row of reference points. Only cells of `box` (south, west, north, east) are made; a
+    cell's edges are as many as the outline has there, so cells have to be small where it is fine.
+    """
+    e = edges.select(F.col(polygon_id).alias("polygon"), "x1", "y1", "x2", "y2")
+    (south, north), (west, east) = ((None, None), (None, None)) if box is None else (tuple(math.floor(v / cell) for v in pair) for pair in ((box[0], box[2]), (box[1], box[3])))
+    kept = F.lit(True) if box is None else F.col("cx").between(west, east) & F.col("cy").between(south, north)
+    border = touched_cells(e, cell, margin).where(kept).groupBy("polygon", "cx", "cy").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+    low, high = F.floor(F.least("y1", "y2") / cell) - 1, F.floor(F.greatest("y1", "y2") / cell) + 1
+    rows = (low, high) if box is None else (F.greatest(low, F.lit(south)), F.least(high, F.lit(north)))
+    spanned = e.withColumn("cy", F.explode(F.when(rows[0] <= rows[1], F.sequence(*rows))))
+    y = (F.col("cy") + REFERENCE) * cell
+    crossed = spanned.where((F.col("y1") > y) != (F.col("y2") > y)).select("polygon", "cy", ((F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")).alias("x"))
+    along = Window.partitionBy("polygon", "cy").orderBy("x")
+    runs = crossed.withColumns({"n": F.row_number().over(along), "until": F.lead("x").over(along)}).where("n % 2 = 1")
+    low, high = F.floor(F.col("x") / cell) - 1, F.floor(F.col("until") / cell) + 1
+    run = (low, high) if box is None else (F.greatest(low, F.lit(west)), F.least(high, F.lit(east)))
+    at = (F.col("cx") + REFERENCE) * cell
+    filled = runs.withColumn("cx", F.explode(F.when(run[0] <= run[1], F.sequence(*run)))).where((at >= F.col("x")) & (at < F.col("until"))).select("polygon", "cx", "cy", F.lit(True).alias("inside"))
+    both = border.join(filled, ["polygon", "cx", "cy"], "full")
+    return both.select("polygon", "cx", "cy", F.coalesce("inside", F.lit(False)).alias("inside"), F.coalesce("edges", F.array().cast(border.schema["edges"].dataType)).alias("edges"))
+
+
+def points_in_tiles(points: DataFrame, tiled: DataFrame, point_id: str, x: str, y: str, polygon_id: str, cell: float, margin: float = 0.0) -> DataFrame:
+    """(point, polygon) for every polygon that holds a point, and holds it more than a margin away from its edges.
+
+    The way from a cell's reference point to the point, first along the row and then up or down,
+    stays in the cell; each of the cell's edges that it crosses changes sides. Points on a lower or
+    left border are inside, on an upper or right border outside; points without a place are nowhere.
+    """
+    px, py = F.col("px"), F.col("py")
+    p = points.select(F.col(point_id).alias("point"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")).where(~F.isnan("px") & ~F.isnan("py"))
+    met = p.withColumns({"cx": F.floor(px / cell), "cy": F.floor(py / cell)}).join(tiled, ["cx", "cy"])
+    rx, ry = (F.col("cx") + REFERENCE) * cell, (F.col("cy") + REFERENCE) * cell
+
+    def crossings(n, e):
+        across = (e.x2 - e.x1) * (ry - e.y1) / F.nullif(e.y2 - e.y1, F.lit(0.0)) + e.x1
+        up = (e.y2 - e.y1) * (px - e.x1) / F.nullif(e.x2 - e.x1, F.lit(0.0)) + e.y1
+        rising = (e.y2 > e.y1) == (e.x2 > e.x1)
+        above = lambda h: (up > h) | ((up == h) & rising & (e.y1 != e.y2))
+        row = ((e.y1 > ry) != (e.y2 > ry)) & ((across > px) != (across > rx))
+        column = ((e.x1 > px) != (e.x2 > px)) & (above(py) != above(ry))
+        return n + row.cast("int") + column.cast("int")
+
+    found = met.where(F.aggregate("edges", F.col("inside").cast("int"), crossings) % 2 == 1)
+    if margin:
+
+        def away(e):
+            dx, dy = e.x2 - e.x1, e.y2 - e.y1
+            along = ((px - e.x1) * dx + (py - e.y1) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+            t = F.least(F.greatest(F.coalesce(along, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+            return F.hypot(px - e.x1 - t * dx, py - e.y1 - t * dy)
+
+        found = found.where(~F.exists("edges", lambda e: away(e) <= margin))
+    return found.select(F.col("point").alias(point_id), F.col("polygon").alias(polygon_id))
+
+
+def points_in_polygons(points: DataFrame, edges: DataFrame, point_id: str, x: str, y: str, polygon_id: str, cell: float) -> DataFrame:
+    """(point, polygon) for every polygon that holds a point, by the even-odd rule, over cells of a size."""
+    return points_in_tiles(points, tiles(edges, polygon_id, cell), point_id, x, y, polygon_id, cell)
+
+
+def nearest_outline(points: DataFrame, edges: DataFrame, point_id: str, lat: str, lon: str, cell: float, reach_m: float) -> DataFrame:
+    """(point, distance_m): from each point to the nearest segment of any outline; null beyond the reach.
+
+    Segments (x1, y1, x2, y2) are straight in longitude and latitude; the nearest place on one is
+    that on a plane with the point's scale, and its distance is taken on the sphere. Points look at
+    the cells around their own; who finds nothing as near as a cell is high looks again over cells
+    twice the size. So a point meets only what lies about as far away as its nearest segment, and an
+    open sea costs a round for each doubling up to the reach. Points repeat as they are given, those
+    without a place have no distance; latitudes beyond 88 degrees, and outlines across the
+    antimeridian, aren't wrapped.
     """
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    e = edges.where("y1 <> y2").withColumn("__b", F.explode(F.sequence(F.floor(low / band), F.floor(high / band))))
-    p = points.select(point_id, F.col(x).alias("__x"), F.col(y).alias("__y")).withColumn("__b", F.floor(F.col("__y") / band))
-    spans = (F.col("y1") > F.col("__y")) != (F.col("y2") > F.col("__y"))
-    right = F.col("__x") < (F.col("x2") - F.col("x1")) * (F.col("__y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    crossed = p.join(e, "__b").where(spans & right).groupBy(point_id, polygon_id).agg(F.count("*").alias("n"))
-    return crossed.where("n % 2 = 1").select(point_id, polygon_id)
+    e = edges.select("x1", "y1", "x2", "y2")
+    every = points.select(F.col(point_id).alias("point"), F.col(lat).cast("double").alias("y"), F.col(lon).cast("double").alias("x"))
+    open_ = written(every.where(~F.isnan("y") & ~F.isnan("x")).distinct(), "open")
+    size, found = cell, []
+    while True:
+        near_m, wide = size * METRES_PER_DEGREE, F.ceil(1 / F.cos(F.radians(F.least(F.abs("y") + size, F.lit(89.0))))).cast("long")
+        spread = open_.withColumn("dx", F.explode(F.sequence(-wide, wide))).withColumn("dy", F.explode(F.sequence(F.lit(-1), F.lit(1))))
+        cells = spread.select("point", "x", "y", (F.floor(F.col("x") / size) + F.col("dx")).alias("cx"), (F.floor(F.col("y") / size) + F.col("dy")).alias("cy"))
+        scale = F.cos(F.radians("y"))
+        dx, dy, ax, ay = (F.col("x2") - F.col("x1")) * scale, F.col("y2") - F.col("y1"), (F.col("x") - F.col("x1")) * scale, F.col("y") - F.col("y1")
+        t = F.least(F.greatest(F.coalesce((ax * dx + ay * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+        metres = haversine_m(F.col("y"), F.col("x"), F.col("y1") + t * (F.col("y2") - F.col("y1")), F.col("x1") + t * (F.col("x2") - F.col("x1")))
+        near = cells.join(touched_cells(e, size), ["cx", "cy"]).groupBy("point", "x", "y").agg(F.min(metres).alias("distance_m"))
+        measured = written(open_.alias("o").join(near.alias("n"), (F.col("o.point").eqNullSafe(F.col("n.point"))) & (F.col("o.x") == F.col("n.x")) & (F.col("o.y") == F.col("n.y")), "left").select("o.point", "o.x", "o.y", "distance_m"), "measured")
+        found.append(measured.where(F.col("distance_m") <= min(near_m, reach_m)))
+        discard(open_)
+        if near_m >= reach_m:
+            break
+        open_ = written(measured.where(F.col("distance_m").isNull() | (F.col("distance_m") > near_m)).select("point", "x", "y"), "open")
+        if open_.isEmpty():
+            discard(open_)
+            break
+        size *= 2
+    near = functools.reduce(DataFrame.unionByName, found)
+    same = (F.col("p.point").eqNullSafe(F.col("f.point"))) & (F.col("p.x") == F.col("f.x")) & (F.col("p.y") == F.col("f.y"))
+    return every.alias("p").join(near.alias("f"), same, "left").select(F.col("p.point").alias(point_id), "distance_m")
+
+
+def distance_to_land(points: DataFrame, land: DataFrame, point_id: str, lat: str, lon: str, reach_m: float, polygon_id: str = "polygon", rings: str = "rings", cell: float = 0.1) -> DataFrame:
+    """(point, on_land, distance_m): 0 on land, else to the nearest outline, null beyond the reach. A row for each point id."""
+    edges = written(polygon_edges(land, polygon_id, rings), "edges")
+    held = written(points_in_tiles(points, tiles(edges, polygon_id, cell), point_id, lon, lat, polygon_id, cell).select(F.col(point_id).alias("point")).distinct(), "held")
+    every = points.select(F.col(point_id).alias("point"), F.col(lat).alias("y"), F.col(lon).alias("x"))
+    sea = nearest_outline(every.join(held, "point", "left_anti"), edges, "point", "y", "x", cell, reach_m)
+    least = sea.groupBy("point").agg(F.min("distance_m").alias("distance_m")).select(F.col("point").alias(point_id), F.lit(False).alias("on_land"), "distance_m")
+    return least.unionByName(held.select(F.col("point").alias(point_id), F.lit(True).alias("on_land"), F.lit(0.0).alias("distance_m")))
+
+
+def land_distance_grid(land: DataFrame, box: tuple[float, float, float, float], step: float, cap_km: float = 50.0, polygon_id: str = "polygon", rings: str = "rings", cell: float = 0.1) -> DataFrame:
+    """(lat_i, lon_i, on_land, dist_land_km) of every cell of a grid over box (south, west, north, east): its centre's distance to land, 0 on it and at most the cap."""
+    south, west, north, east = box
+    rows, columns = round((north - south) / step), round((east - west) / step)
+    centres = land.sparkSession.range(rows * columns).select("id", (south + (F.floor(F.col("id") / columns) + 0.5) * step).alias("lat"), (west + (F.col("id") % columns + 0.5) * step).alias("lon"))
+    far = distance_to_land(centres, land, "id", "lat", "lon", cap_km * 1000, polygon_id, rings, cell)
+    return far.select(F.floor(F.col("id") / columns).alias("lat_i"), (F.col("id") % columns).alias("lon_i"), "on_land", F.least(F.coalesce(F.col("distance_m") / 1000, F.lit(cap_km)), F.lit(cap_km)).alias("dist_land_km"))
 
 
 def nearest_within(points: DataFrame, targets: DataFrame, point_id: str, target_id: str, lat: str, lon: str, radius_m: float, columns: Sequence[str] = ()) -> DataFrame:
@@ -65,23 +196,6 @@ def tail_box(df: DataFrame, lat: str, lon: str, tail: float = 0.001, margin: flo
     return None if south is None or west is None else (south - margin, west - margin, north + margin, east + margin)
 
 
-def well_inside(points: DataFrame, edges: DataFrame, point_id: str, x: str, y: str, polygon_id: str, band: float, margin: float) -> DataFrame:
-    """(point, polygon) for points inside and more than a margin away from every edge of the polygon.
-
-    Edges list the cells that they may come near to, and only points of those cells are measured.
-    """
-    inside = points_in_polygons(points, edges, point_id, x, y, polygon_id, band)
-    span = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - margin) / band), F.floor((F.greatest(a, b) + margin) / band)))
-    e = edges.withColumn("__cx", span("x1", "x2")).withColumn("__cy", span("y1", "y2"))
-    p = inside.join(points.select(point_id, F.col(x).alias("__x"), F.col(y).alias("__y")), point_id).withColumns({"__cx": F.floor(F.col("__x") / band), "__cy": F.floor(F.col("__y") / band)})
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    along = ((F.col("__x") - F.col("x1")) * dx + (F.col("__y") - F.col("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
-    t = F.least(F.greatest(F.coalesce(along, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    away = F.hypot(F.col("__x") - F.col("x1") - t * dx, F.col("__y") - F.col("y1") - t * dy)
-    near = p.join(e, [polygon_id, "__cx", "__cy"]).where(away <= margin).select(point_id, polygon_id).distinct()
-    return inside.join(near, [point_id, polygon_id], "left_anti")
-
-
 def on_land(positions: DataFrame, land: DataFrame, point_id: str, lat: str, lon: str, polygon_id: str = "polygon", rings: str = "rings", erosion: float = 0.01, band: float = 0.1) -> DataFrame:
     """Positions solidly inside land, once each: inside a polygon by more than `erosion` degrees, and not among the corrupt ones.
 
@@ -92,11 +206,8 @@ def on_land(positions: DataFrame, land: DataFrame, point_id: str, lat: str, lon:
         return positions.select(point_id).limit(0)
     south, west, north, east = box
     kept = positions.where(F.col(lat).between(south, north) & F.col(lon).between(west, east))
-    e = polygon_edges(land, polygon_id, rings)
-    reach = lambda low, high, a, b: (F.greatest(a, b) >= low) & (F.least(a, b) <= high)
-    # an edge to the left of the box is no crossing of a ray to the right; others of the box's height may be
-    e = e.where(reach(south - erosion, north + erosion, "y1", "y2") & (F.greatest("x1", "x2") >= west - erosion))
-    return well_inside(kept, e, point_id, lon, lat, polygon_id, band, erosion).select(point_id).distinct()
+    tiled = tiles(polygon_edges(land, polygon_id, rings), polygon_id, band, erosion, box)
+    return points_in_tiles(kept, tiled, point_id, lon, lat, polygon_id, band, erosion).select(point_id).distinct()
 
 
 def fingerprint(df: DataFrame, key: str, ts: str, lat: str, lon: str, tail: float = 0.001) -> DataFrame:

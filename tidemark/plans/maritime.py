@@ -324,6 +324,59 @@ def point_in_polygon(read):
     return points_in_polygons(points, polygon_edges(polygons, "s_suppkey", "rings"), "p_partkey", "x", "y", "s_suppkey", 4.0)
 
 
+_LAND = """c AS (SELECT s_suppkey AS polygon, 8 + (s_acctbal * 13 % 1200) / 100 AS cx, 54 + (s_acctbal * 7 % 400) / 100 AS cy FROM supplier),
+k AS (SELECT * FROM (VALUES (0.2, 0.1, 1), (0.05, 0.03, 2)) k(a, b, ring)),
+v AS (SELECT polygon, ring, unnest([1, 2, 3, 4]) AS i, unnest([cx + a, cx, cx - a, cx]) AS x1, unnest([cy, cy + b, cy, cy - b]) AS y1, unnest([cx, cx - a, cx, cx + a]) AS x2, unnest([cy + b, cy, cy - b, cy]) AS y2 FROM c, k)"""
+
+
+def _to_land(points: str, reach: str) -> str:
+    """SQL for each row (id, px, py) of points: whether land holds it, and metres to the nearest outline."""
+    t = "CASE WHEN l = 0 THEN 0 ELSE greatest(0, least(1, (ax * dx + ay * dy) / l)) END"
+    return f"""m AS (SELECT *, dx * dx + dy * dy AS l FROM (SELECT p.*, v.*, (x2 - x1) * cos(radians(py)) AS dx, y2 - y1 AS dy, (px - x1) * cos(radians(py)) AS ax, py - y1 AS ay FROM {points} p, v)),
+n AS (SELECT id, polygon, sum(CAST((y1 > py) <> (y2 > py) AND px < (x2 - x1) * (py - y1) / (y2 - y1) + x1 AS INT)) % 2 = 1 AS held, min({_hav("py", "px", f"(y1 + {t} * (y2 - y1))", f"(x1 + {t} * (x2 - x1))")}) AS far FROM m GROUP BY id, polygon),
+d AS (SELECT id, bool_or(held) AS on_land, CASE WHEN bool_or(held) THEN 0 WHEN min(far) <= {reach} THEN min(far) END AS distance_m FROM n GROUP BY id)"""
+
+
+def _land(read):
+    """Diamonds with a diamond hole, one for each supplier."""
+    b = F.col("s_acctbal")
+    cx, cy = 8 + (b * 13 % 1200) / 100, 54 + (b * 7 % 400) / 100
+    at = lambda dx, dy: F.struct((cx + dx).alias("x"), (cy + dy).alias("y"))
+    diamond = lambda a, b: F.array(at(a, 0.0), at(0.0, b), at(-a, 0.0), at(0.0, -b), at(a, 0.0))
+    return read("supplier").select(F.col("s_suppkey").alias("polygon"), F.array(diamond(0.2, 0.1), diamond(0.05, 0.03)).alias("rings"))
+
+
+@query(f"""WITH {_LAND}, p AS (SELECT p_partkey AS id, 8 + (p_partkey * 17 % 1200) / 100 + 0.003 AS px, 54 + (p_retailprice * 7 % 400) / 100 + 0.001 AS py FROM part), {_to_land("p", "30000")}
+SELECT id AS p_partkey, on_land, round(distance_m, 3) AS distance_m FROM d""")
+def land_distance(read):
+    """Each part's distance to the nearest of the suppliers' lands."""
+    from tidemark.operators.geometry import distance_to_land
+
+    points = read("part").select("p_partkey", (8 + (F.col("p_partkey") * 17 % 1200) / 100 + 0.003).alias("x"), (54 + (F.col("p_retailprice") * 7 % 400) / 100 + 0.001).alias("y"))
+    return distance_to_land(points, _land(read), "p_partkey", "y", "x", 30_000.0).withColumn("distance_m", F.round("distance_m", 3))
+
+
+@query(f"""WITH {_LAND}, p AS (SELECT lat_i * 60 + lon_i AS id, 8.7 + (lon_i + 0.5) * 0.05 AS px, 54.5 + (lat_i + 0.5) * 0.05 AS py FROM range(40) a(lat_i), range(60) b(lon_i)), {_to_land("p", "50000")}
+SELECT id // 60 AS lat_i, id % 60 AS lon_i, on_land, round(least(coalesce(distance_m / 1000, 50), 50), 6) AS dist_land_km FROM d""")
+def land_grid(read):
+    """A grid of 0.05 degrees over part of the suppliers' lands."""
+    from tidemark.operators.geometry import land_distance_grid
+
+    return land_distance_grid(_land(read), (54.5, 8.7, 56.5, 11.7), 0.05).withColumn("dist_land_km", r6("dist_land_km"))
+
+
+@query(f"""WITH {_P}, {_LAND}, z AS (SELECT DISTINCT round(floor(latitude / 0.5 + 1e-9) * 0.5, 6) AS cell_lat, round(floor(longitude / 0.5 + 1e-9) * 0.5, 6) AS cell_lon FROM p),
+q AS (SELECT row_number() OVER (ORDER BY cell_lat, cell_lon) AS id, cell_lat, cell_lon, cell_lon + 0.25 AS px, cell_lat + 0.25 AS py FROM z), {_to_land("q", "10000")}
+SELECT cell_lat, cell_lon, round(distance_m, 3) AS distance_to_land_m, coalesce(distance_m <= 10000, false) AS is_coastal FROM d JOIN q USING (id)""")
+def coastal_cells(read):
+    """Which cells of half a degree that positions lie in are coastal."""
+    half = lambda c: fn.grid_cell(F.col(c), 0.5)
+    cells = _positions(read).select(half("latitude").alias("cell_lat"), half("longitude").alias("cell_lon")).distinct()
+    cells = cells.withColumns({"center_latitude": F.col("cell_lat") + 0.25, "center_longitude": F.col("cell_lon") + 0.25})
+    out = dt.coastal_flag(cells, _land(read))
+    return out.select("cell_lat", "cell_lon", F.round("distance_to_land_m", 3).alias("distance_to_land_m"), "is_coastal")
+
+
 @query(f"""WITH {_P}, t AS (SELECT s_suppkey, 54 + (s_acctbal * 7 % 400) / 100 AS la, 8 + (s_acctbal * 13 % 1200) / 100 AS lo FROM supplier),
 d AS (SELECT event_id, s_suppkey, {_hav("latitude", "longitude", "la", "lo")} AS m FROM p, t)
 SELECT event_id, arg_min(s_suppkey, (m, s_suppkey)) AS s_suppkey, round(min(m), 3) AS distance_m FROM d WHERE m <= 20000 GROUP BY event_id""")
