@@ -10,7 +10,6 @@ from tokenizers import Tokenizer
 from tidemark.llm import packing as pk
 
 TOKENIZER = Tokenizer.from_file(P.path(pk.VOCABULARY))
-TOKENIZER.encode_special_tokens = True
 
 
 def check(rows, texts, capacity=1024):
@@ -88,3 +87,11 @@ def test_nulls_repeats_and_empty(spark):
     assert sum(r.length for r in out) == 1 + 1 + 1 + 3 + len(TOKENIZER.encode("word " * 5000, add_special_tokens=False).ids) + 1
     assert sum(r.doc_id is None for r in out) == 1 and sum(r.doc_id == 2 for r in out) == 2
     assert pk.pack(docs.limit(0)).collect() == []
+
+
+def test_strings_of_special_tokens_get_their_ids():
+    own = Tokenizer.from_file(P.path(pk.VOCABULARY))
+    texts = ["hi <|endoftext|> there", "plain", None, "", "<|endoftext|>", "a" + "".join(t.content for t in own.get_added_tokens_decoder().values()) + " b", "<|endof text|>"]
+    got = pk.TokenIds(P.path(pk.VOCABULARY)).encode(texts)
+    for text, ids in zip(texts, got):
+        assert [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)] == own.encode(text or "", add_special_tokens=False).ids

@@ -32,22 +32,29 @@ ROUNDS = 3
 
 
 class TokenIds:
-    """Ids of a text as little-endian 32-bit integers, by a tokenizers file; special tokens' strings are ordinary text.
+    """Ids of a text as little-endian 32-bit integers, by a tokenizers file without its added ends; special tokens' strings get their ids.
 
-    Byte-level pre-tokenization has a border at every chunk border, so chunks are encoded once and kept.
+    Byte-level pre-tokenization has a border at every chunk border, so chunks are encoded once and
+    kept. Texts that hold the string of an added token are encoded whole, as it may stand across borders.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core already
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.chunks = ChunkIds(self.many)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def many(self, texts: list[str]) -> list[bytes]:
         return [pack_ids(f"<{len(x.ids)}I", *x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return self.chunks.encode(texts)
+        whole = [i for i, t in enumerate(texts) if t and any(a in t for a in self.added)]
+        if not whole:
+            return self.chunks.encode(texts)
+        out = self.chunks.encode(["" if i in set(whole) else t for i, t in enumerate(texts)])
+        for i, ids in zip(whole, self.many([texts[i] for i in whole])):
+            out[i] = ids
+        return out
 
 
 _TOKENIZERS: dict[str, TokenIds] = {}
