@@ -14,8 +14,6 @@ on the same bounded sample turns both into a score.
 from __future__ import annotations
 
 import pickle
-import re
-import unicodedata
 import uuid
 
 import numpy as np
@@ -36,15 +34,18 @@ STANDS_OUT = 2.0
 CACHE_ENTRIES = 400_000
 #: Code points that the model reads at a time; longer words are read in pieces that share ORDER - 1 of them.
 MAX_WORD = 40
-#: What parts the words of such a run: white space beyond ASCII's, and punctuation.
-_PARTS = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(1 << 16)) if unicodedata.category(c)[0] in "PZ" or unicodedata.category(c) == "Cc") + "]+")
-_EDGES = ".,;:!?\"'()[]{}#*$%&|<>"
+#: What parts words, in Java and in RE2: white space of any kind, controls and punctuation.
+PARTS = r"[\p{Z}\p{Cc}\p{P}]+"
+#: ASCII symbols that aren't punctuation, dropped at the ends of words.
+EDGES = "$+<=>^`|~"
+#: Stands where a piece of a long word has no border: a control, so in no word.
+OPEN = "\0"
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _words(texts: pa.Array) -> pa.ListArray:
-    """Lower-case words of each text, without the ASCII punctuation around them; longer runs in pieces."""
-    lists = pc.ascii_split_whitespace(pc.utf8_lower(texts).cast(pa.large_string()))
+    """Lower-case words of each text; long ones in pieces."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(texts).cast(pa.large_string()), PARTS)
     flat = lists.flatten()
     long = pc.greater(pc.utf8_length(flat), MAX_WORD)
     if not pc.any(long).as_py():
@@ -66,28 +67,31 @@ def _words(texts: pa.Array) -> pa.ListArray:
 
 
 def _pieces(word: str) -> list[str]:
-    """A word as the model reads it: a run of over MAX_WORD code points by its parts, long parts by overlapping pieces."""
-    if len(word.strip(_EDGES)) <= MAX_WORD:
+    """A word as the model reads it: a long one in pieces, each place of which is predicted in one of them and from as much as in the whole word."""
+    word = word.strip(EDGES)
+    if len(word) <= MAX_WORD:
         return [word]
-    out = []
-    for part in _PARTS.split(word):
-        step = MAX_WORD - ORDER + 1
-        out += [part[i : i + MAX_WORD] for i in range(0, max(len(part) - ORDER + 1, 1), step)] if part else []
-    return out or [""]
+    step = MAX_WORD - ORDER + 1
+    starts = range(0, len(word) - ORDER + 1, step)
+    return [OPEN * (i > 0) + word[i : i + MAX_WORD] + OPEN * (i < starts[-1]) for i in starts]
 
 
-def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A matrix of code points (1 begins and 2 ends a word) and the rows' lengths."""
-    cut = [w.strip(_EDGES) for w in words]
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A matrix of code points (1 begins and 2 ends a word, unless it is open there), the rows' lengths and the first place of each that is predicted."""
+    cut = [w.strip(EDGES) for w in words]
+    open_ = np.array([[w.startswith(OPEN), w.endswith(OPEN) and len(w) > 1] for w in cut], bool).reshape(len(cut), 2)
+    cut = [w.strip(OPEN) for w in cut]
     sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+    begins = 1 - open_[:, 0].astype(np.int64)
     codes = np.zeros((len(cut), (int(sizes.max()) if len(cut) else 0) + 2), np.uint32)
     codes[:, 0] = 1
     flat = np.frombuffer("".join(cut).encode("utf-32-le", "surrogatepass"), "<u4")
     rows = np.repeat(np.arange(len(cut)), sizes)
-    columns = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    columns = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begins[rows]
     codes[rows, columns] = flat + np.uint32(3)
-    codes[np.arange(len(cut)), sizes + 1] = 2
-    return codes, sizes + 2
+    closed = np.flatnonzero(~open_[:, 1])
+    codes[closed, (sizes + begins)[closed]] = 2
+    return codes, sizes + begins + ~open_[:, 1], np.where(open_[:, 0], ORDER - 1, 1)
 
 
 def _grams(codes: np.ndarray, position: int, size: int) -> np.ndarray:
@@ -125,8 +129,8 @@ class KneserNey:
 
     def __init__(self, words: list[str], toxic: np.ndarray, ordinary: np.ndarray, order: int = ORDER) -> None:
         self.order = order
-        codes, sizes = _codes(words)
-        places = [(p, np.flatnonzero(sizes > p)) for p in range(1, codes.shape[1])]
+        codes, sizes, starts = _codes(words)
+        places = [(p, np.flatnonzero((sizes > p) & (starts <= p))) for p in range(1, codes.shape[1])]
 
         def gather(*parts):
             """Columns over every place of every word; a few at a time, as they are what takes memory."""
@@ -171,12 +175,12 @@ class KneserNey:
         """log P(word | toxic) - log P(word | ordinary) of each word."""
         if not words or not len(self.top.keys):
             return np.zeros(len(words))
-        codes, sizes = _codes(words)
+        codes, sizes, starts = _codes(words)
         out = np.zeros(len(words))
         for p in range(1, codes.shape[1]):
-            live = np.flatnonzero(sizes > p)
+            live = np.flatnonzero((sizes > p) & (starts <= p))
             if not len(live):
-                break
+                continue
             own = codes[live]
             longest = min(p, self.order - 1)
             shared = self._backoff(own, p, longest)
@@ -283,9 +287,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         chosen = own if chosen is None else chosen.unionByName(own)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # one text per id, without a key's rows all meeting: the sample's ids are few and unique
-    sample = texts.join(chosen, "id").groupBy("id", "y").agg(F.min("text").alias("text")).withColumn("fold", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(2)).cast("int"))
-    words = F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("w")
-    strip = F.regexp_replace("w", r"^[.,;:!?\"'()\[\]{}#*$%&|<>]+|[.,;:!?\"'()\[\]{}#*$%&|<>]+$", "")
+    sample = staged(texts.join(chosen, "id").groupBy("id", "y").agg(F.min("text").alias("text")).withColumn("fold", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(2)).cast("int")), "sample")
+    words = F.explode(F.split(F.lower("text"), PARTS)).alias("w")
+    strip = F.regexp_replace("w", r"^[$+<=>^`|~]+|[$+<=>^`|~]+$", "")
     of = [F.count_if((F.col("y") == y) & (F.col("fold") == f)).alias(f"n{y}{f}") for y in (0, 1) for f in (0, 1)]
     rows = sample.select("y", "fold", words).select("y", "fold", strip.alias("w")).where("w <> ''").groupBy("w").agg(*of)
     known, n = set(totals), {y: min(totals.get(y, 0), docs_per_class) for y in (0, 1)}
@@ -311,6 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         discard(models)
     else:
         model = KneserNey([], np.zeros(0), np.zeros(0))
+    discard(sample)
     if seen is not None:
         y = seen.y.to_numpy(float)
         # the sample has its own share of toxic rows; weights restore the labels'
