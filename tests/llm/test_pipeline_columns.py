@@ -2,12 +2,12 @@
 
 import corpus_pipeline as cp
 
-SCHEMA = "doc_id long, text string, score double, id long, fp long, component_id long, __text string, c0 string, row int, n_chars long"
+SCHEMA = "doc_id long, text string, score double, id long, fp long, component_id long, __text string, c0 string, row int, n_chars long, quality int, __rank string, __qt int, key int, rank int, id2 int"
 
 
 def table(spark):
     words = " ".join(f"word{i}" for i in range(80))
-    rows = [(i, t, 0.5, 9, 9, 9, "t", "c", 1, 3) for i, t in [(1, words), (2, words), (3, words + " more"), (4, None), (5, ""), (None, "lone text"), (None, None), (6, "other " * 60), (6, "other " * 60)]]
+    rows = [(i, t, 0.5, 9, 9, 9, "t", "c", 1, 3, 4, "r", 5, 6, 7, 8) for i, t in [(1, words), (2, words), (3, words + " more"), (4, None), (5, ""), (None, "lone text"), (None, None), (6, "other " * 60), (6, "other " * 60)]]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -22,7 +22,7 @@ def test_further_columns_pass_through(spark, tmp_path):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns, name
         for r in out.collect():
-            assert (r.score, r.id, r.fp, r.component_id, r["__text"], r.c0, r.row) == (0.5, 9, 9, 9, "t", "c", 1), name
+            assert (r.score, r.id, r.fp, r.component_id, r["__text"], r.c0, r.row, r.quality, r["__rank"], r["__qt"], r.key, r["rank"]) == (0.5, 9, 9, 9, "t", "c", 1, 4, "r", 5, 6, 7), name
         empty = stage(spark, docs.limit(0), sf)
         assert empty.columns == docs.columns and empty.collect() == [], name
 
@@ -38,3 +38,11 @@ def test_packing_reads_id_and_text_alone(spark, tmp_path):
     out = cp.pack(spark, table(spark), labels(spark, tmp_path)).collect()
     assert {r.doc_id for r in out} == {1, 2, 3, 4, 5, 6, None}
     assert all(0 <= r.offset and r.offset + r.length <= 1024 for r in out)
+
+
+def test_rows_that_repeat_an_id_with_other_texts_stay(spark, tmp_path):
+    words = [" ".join(f"{k}{i}" for i in range(80)) for k in ("river", "stone", "garden")]
+    rows = [(7, words[0]), (7, words[1]), (7, words[1]), (7, None), (8, words[0]), (9, words[2]), (9, words[1])]
+    docs = spark.createDataFrame([(i, t, 0.0, 1, 1, 1, "", "", 1, 1, 1, "", 1, 1, 1, 1) for i, t in rows], SCHEMA)
+    out = cp.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=repr) == sorted([(7, words[0]), (7, words[1]), (7, None), (9, words[2])], key=repr)

@@ -110,12 +110,13 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep_clean(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their cleaned text and its n_chars; other columns as they were."""
-    columns = docs.columns
-    kept = judge(docs).where("quality.kept").withColumn("text", F.col("quality.clean_text"))
-    if "n_chars" in columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*columns)
+    """The documents that pass, with their cleaned text and its n_chars; other columns as they were, whatever their names."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    kept = judge(docs.select(row, "text")).where("quality.kept")
+    new = {"text": F.col("quality.clean_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("quality.clean_text").cast(docs.schema["n_chars"].dataType)
+    return kept.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 #: The same as DuckDB SQL.

@@ -79,7 +79,7 @@ def majority(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(id, fp long) of every row; null and wordless texts get zero. chunk_bytes: text that a task handles at a time."""
+    """(id, key long, fp long) of every row; key is a digest of the text, and null and wordless texts get fingerprint zero. chunk_bytes: text that a task handles at a time."""
 
     def run(batches):
         for batch in text_chunks(batches, limit=chunk_bytes):
@@ -87,9 +87,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             own = [shingle_hashes(t) if t else [] for t in texts.to_pylist()]
             lengths = np.fromiter(map(len, own), np.int64, len(own))
             hashes = np.fromiter((h for x in own for h in x), np.uint64, int(lengths.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array(majority(hashes, lengths).view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("key"), pa.array(majority(hashes, lengths).view(np.int64))], ["id", "key", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(run, "id long, key long, fp long")
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -112,9 +112,10 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return groups.select(F.explode("all").alias("a"), "b").where("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(id_col, fingerprint, component_id) of every row of docs.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, chunk_bytes: int = CHUNK_BYTES, keys: bool = False) -> DataFrame:
+    """(id_col, fingerprint, component_id) of every row of docs; text_key and group_key too, if asked for.
 
+    text_key is XXH64 of the text (seed 42), group_key a fingerprint of the component: the same for all of it, and for no other.
     component_id is the smallest id reachable over links between fingerprints of `radius` or fewer
     differing bits. Null and wordless texts share fingerprint zero and link like any other. A row
     whose id is null gets its fingerprint and the component of its group, null if the group has no
@@ -126,5 +127,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group = components(links(least, radius))
     labelled = least.join(group, least.fp == group.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("label"))
     label = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    own = staged(labelled.join(label, "label").select("fp", "component_id"), "components")
-    return prints.join(own, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    own = staged(labelled.join(label, "label").select("fp", "component_id", "label"), "components")
+    more = (F.col("key").alias("text_key"), F.col("label").alias("group_key")) if keys else ()
+    return prints.join(own, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *more)
