@@ -33,15 +33,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies by SimHash: the one with the smallest doc_id.
 
-    Of rows that repeat a kept doc_id, the one with the smallest text stays. Rows with a null
-    doc_id can't be told apart by id; they all stay.
+    Rows that repeat a doc_id are documents of their own: they stay if their texts are no near-copies,
+    else the one whose text has the smallest digest does. Rows with a null doc_id can't be told apart
+    by id; they all stay.
     """
-    groups = simhash_covering.near_duplicates(docs).select("doc_id", "component_id")
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    own = docs.join(kept, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    one = own.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank")
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    groups = simhash_covering.near_duplicates(docs, keys=True)
+    kept = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("id"), "group_key").agg(F.min("text_key").alias("key")).select("id", "key")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    own = docs.select(row, F.col("doc_id").alias("id"), F.xxhash64("text").alias("key")).join(kept, ["id", "key"], "left_semi")
+    first = Window.partitionBy("id", "key").orderBy("id")  # of rows with one id and text any will do
+    one = own.withColumn("rank", F.row_number().over(first)).where("rank = 1").select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    return one.unionByName(docs.where("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
