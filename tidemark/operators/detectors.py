@@ -304,6 +304,33 @@ def draught_changes(trips: DataFrame, positions: DataFrame, key: str, ts: str, d
     return rows.where(F.abs("change_m") >= min_m).select(key, "prev_voyage_id", "voyage_id", "prev_end_time", F.col("start_time").alias("event_time"), "change_m")
 
 
+def unexplained_draught_changes(
+    trips: DataFrame, positions: DataFrame, places: DataFrame, encounters: DataFrame, key: str, ts: str, draught: str, least: int = 3, min_m: float = 2.0,
+    full_m: float = 5.0, radius_m: float = 10_000.0, least_others: int = 5,
+) -> DataFrame:
+    """Changes of median draught from a trip to the very next one that neither an anchorage nor an encounter explains.
+
+    trips have voyage_id, start_time, end_time and the latitude and longitude of both ends. A change is
+    explained where either end of the silence lies within a radius of an anchorage that stays one
+    without the vessel itself, or an encounter overlaps the silence. Trips with under `least` readings have no
+    draught, and are no neighbours of any. Confidence is full from a change of full_m on. places are the anchorages that
+    may be known (coastal ones, of windows that have ended).
+    """
+    inside = points_in_intervals(positions.where(F.col(draught) > 0), trips.select(key, "voyage_id", "start_time", "end_time"), key, ts, "start_time", "end_time")
+    mid = inside.groupBy("voyage_id").agg(F.count("*").alias("n"), F.median(draught).alias("median_draught")).where(F.col("n") >= least).select("voyage_id", "median_draught")
+    order = Window.partitionBy(key).orderBy("start_time", "voyage_id")
+    ahead = {f"next_{c}": F.lead(c).over(order) for c in ("voyage_id", "start_time", "start_latitude", "start_longitude")}
+    pairs = trips.withColumns(ahead).where(F.col("next_voyage_id").isNotNull())
+    after = mid.select(F.col("voyage_id").alias("next_voyage_id"), F.col("median_draught").alias("new_draught"))
+    changes = pairs.join(mid.withColumnRenamed("median_draught", "old_draught"), "voyage_id").join(after, "next_voyage_id").withColumn("change_m", F.col("new_draught") - F.col("old_draught")).where(F.abs("change_m") >= min_m)
+    ends = F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(y).alias("y"), F.col(x).alias("x")) for side, y, x in ((0, "end_latitude", "end_longitude"), (1, "next_start_latitude", "next_start_longitude")))))
+    points = changes.select(key, "voyage_id", ends.alias("e")).select(key, "voyage_id", F.struct("voyage_id", "e.side").alias("point"), "e.y", "e.x")
+    moored = near_anchorage(points, places, "point", key, "y", "x", radius_m, least_others).select("voyage_id").distinct()
+    met = during_encounter(changes.select("voyage_id", key, "end_time", "next_start_time"), encounters, "voyage_id", key, "end_time", "next_start_time").select("voyage_id")
+    left = changes.join(moored, "voyage_id", "left_anti").join(met, "voyage_id", "left_anti")
+    return left.select(key, "voyage_id", "next_voyage_id", F.col("end_time").alias("event_time"), F.col("end_latitude").alias("latitude"), F.col("end_longitude").alias("longitude"), "old_draught", "new_draught", "change_m", F.least(F.abs("change_m") / full_m, F.lit(1.0)).alias("confidence"))
+
+
 def gate_crossings(df: DataFrame, key: str, ts: str, lat: str, lon: str, gate: float = 14.0, lat_low: float = 54.3, lat_high: float = 56.0, max_hours: float = 2.0) -> DataFrame:
     """Consecutive positions on both sides of a meridian, at most max_hours apart: E for eastward, W for westward."""
     p = pair_with_previous(df.where(F.col(lat).between(lat_low, lat_high)), [key], ts, [lon])

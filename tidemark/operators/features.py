@@ -76,6 +76,20 @@ def identity_history(segments: DataFrame, cutoffs: DataFrame, key: str, since: s
     return active.groupBy(key, "cutoff").agg(*stats, (seconds_between(F.col("cutoff"), last) / 86400).alias("state_age_days"))
 
 
+def switched_into(segments: DataFrame, cutoffs: DataFrame, key: str, since: str, value: str, group: Sequence[str], tie: str | None = None, lookback_days: int = 730, name: str = "switched") -> DataFrame:
+    """Per key and cutoff, whether a segment that began in the lookback has a value of the group while the one before it has none.
+
+    The first segment of all is no switch; an unknown value is none of the group. Segments that begin
+    at one time go by the tie column.
+    """
+    rows = segments.join(cutoffs, key).where(F.col(since) < F.col("cutoff"))
+    order = Window.partitionBy(key, "cutoff").orderBy(since, *([tie] if tie else []))
+    inside = lambda c: F.coalesce(c.isin(*group), F.lit(False))
+    near = F.col(since) >= F.col("cutoff") - F.expr(f"INTERVAL {lookback_days} DAYS")
+    marked = rows.select(key, "cutoff", (near & inside(F.col(value)) & ~inside(F.lag(value).over(order)) & F.lag(F.lit(True), 1, False).over(order)).alias("s"))
+    return marked.groupBy(key, "cutoff").agg(F.bool_or("s").alias(name))
+
+
 def visit_features(visits: DataFrame, cutoffs: DataFrame, key: str, end: str, flag: str, groups: dict[str, Sequence[str]], confidence: str | None = None, least_confidence: int = 3, lookback_days: int = 270) -> DataFrame:
     """Per key and cutoff, visits that ended in the lookback before it: all, distinct flags, and by flag group with days since the last."""
     if confidence:

@@ -73,6 +73,23 @@ def next_period_target(df: DataFrame, key: str, month: str, value: str) -> DataF
     return df.join(later, [key, month], "left")
 
 
+def as_of_labels(df: DataFrame, window_end: str, event: str, cutoff: str, name: str = "label") -> DataFrame:
+    """df with whether the event fell after a row's own window and before the cutoff: what was known then."""
+    known = (F.col(event) > F.col(window_end)) & (F.col(event) < F.lit(cutoff).cast("date"))
+    return df.withColumn(name, F.coalesce(known, F.lit(False)))
+
+
+def hazard_labels(df: DataFrame, window_end: str, event: str, cutoff: str, horizon_days: int = 182, name: str = "label") -> DataFrame:
+    """Rows of windows before the cutoff, with whether the event fell within the horizon after their window and before the cutoff.
+
+    A row without it stays only if its whole horizon had passed by the cutoff; else it is censored.
+    """
+    at = F.lit(cutoff).cast("date")
+    until = F.date_add(window_end, horizon_days)
+    hit = F.coalesce((F.col(event) > F.col(window_end)) & (F.col(event) <= until) & (F.col(event) < at), F.lit(False))
+    return df.where(F.col(window_end) < at).withColumn(name, hit).where(F.col(name) | (until < at))
+
+
 def cross_validated_scores(df: DataFrame, features: Sequence[str], label: str, group: str, folds: int = 5, seed: int = 0) -> DataFrame:
     """Out-of-fold logistic scores: every row is scored by a model that saw neither it nor its group.
 

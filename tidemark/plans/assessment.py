@@ -8,13 +8,14 @@ from tidemark.functions import columns as fn
 from tidemark.operators import detectors as dt
 from tidemark.operators import evaluation as ev
 from tidemark.operators import features as ft
+from tidemark.operators import forests as fo
 from tidemark.operators import geometry as geo
 from tidemark.operators import identity as ident
 from tidemark.operators import models as md
 from tidemark.operators import resampling as rs
 from tidemark.operators import timeline as tl
-from tidemark.plans.catalogue import _SCORED, _scored, query, r6
-from tidemark.plans.maritime import _P, _hav, _positions
+from tidemark.plans.catalogue import _SCORED, _scored, _sessions, query, r6
+from tidemark.plans.maritime import _P, _TRIPS, _hav, _positions
 
 REPLICATES = 20
 
@@ -195,3 +196,94 @@ def cross_validated_auc(read):
     d = read("documents").join(read("labels"), "doc_id").select(F.floor(F.col("doc_id") / 3).alias("vessel"), F.col("quality").alias("y"), "n_chars", F.size(F.split("text", "\n")).alias("lines"))
     scored = md.cross_validated_scores(d, ["n_chars", "lines"], "y", "vessel")
     return ev.auc(scored.select("y", F.round("score", 9).alias("score")), "score", "y").withColumn("auc", r6("auc"))
+
+
+_FISHER = """f AS (SELECT rule, CASE WHEN known > 0 THEN (SELECT least(1.0, sum(exp(q)) FILTER (q <= own + 1e-7)) FROM (SELECT q, max(q) FILTER (k = c.tp) OVER () AS own FROM (
+  SELECT k, lgamma(flagged + 1) - lgamma(k + 1) - lgamma(flagged - k + 1) + lgamma(n - flagged + 1) - lgamma(p - k + 1) - lgamma(n - flagged - p + k + 1) - lgamma(n + 1) + lgamma(p + 1) + lgamma(n - p + 1) AS q
+  FROM (SELECT unnest(range(greatest(0, flagged + p - n), least(flagged, p) + 1)) AS k)))) END AS fisher_p FROM c)"""
+
+
+@query(f"""WITH {_SCORED}, m AS (SELECT doc_id, y, unnest(['long', 'dealt', 'unknown']) AS rule, unnest([score > 10, doc_id % 3 = 0, NULL]) AS r FROM d),
+c AS (SELECT rule, count(*) AS n, CAST(sum(y) AS BIGINT) AS p, count(r) AS known, count(*) FILTER (r AND y = 1) AS tp, count(*) FILTER (r) AS flagged FROM m GROUP BY rule),
+t AS (SELECT rule, avg(y) AS hit, bool_and(coalesce(r, false)) AS all_fired FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY coalesce(r, false) DESC, doc_id) AS rn FROM m) WHERE rn <= 20 GROUP BY rule), {_FISHER}
+SELECT rule, CASE WHEN known > 0 THEN flagged END AS n_flagged, CASE WHEN known > 0 THEN tp END AS tp, CASE WHEN known > 0 THEN flagged - tp END AS fp, CASE WHEN known > 0 THEN round(tp / flagged, 6) END AS precision, CASE WHEN known > 0 THEN round(tp / p, 6) END AS recall,
+  CASE WHEN known > 0 THEN round((tp / flagged) / (p / n), 6) END AS lift, CASE WHEN known > 0 THEN round((tp / p + (n - flagged - p + tp) / (n - p)) / 2, 6) END AS auc, round(fisher_p, 6) AS fisher_p, CASE WHEN known > 0 THEN round(hit, 6) END AS precision_at_k,
+  CASE WHEN known > 0 THEN CASE WHEN all_fired THEN flagged ELSE n - flagged END END AS n_ties_at_cut, CASE WHEN known > 0 THEN 'evaluated' ELSE 'blocked_by_gate' END AS verdict FROM c JOIN t USING (rule) JOIN f USING (rule)""")
+def rule_reports(read):
+    d = _scored(read).withColumns({"long": F.col("score") > 10, "dealt": F.col("doc_id") % 3 == 0, "unknown": F.lit(None).cast("boolean")})
+    out = ev.rule_reports(d, ["long", "dealt", "unknown"], "y", "doc_id")
+    return out.withColumns({c: r6(c) for c in ("precision", "recall", "lift", "auc", "fisher_p", "precision_at_k")})
+
+
+@query("""WITH c AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Tanker' WHEN 1 THEN 'Cargo' END AS ship_type, CASE c_nationkey % 4 WHEN 0 THEN 'Panama' WHEN 1 THEN 'Denmark' WHEN 2 THEN 'Liberia' END AS flag, CASE WHEN c_custkey % 5 > 0 THEN 1980 + c_custkey % 40 END AS built FROM customer),
+r AS (SELECT *, coalesce(ship_type = 'Tanker', false) AS r1, coalesce(ship_type = 'Tanker' AND flag IN ('Panama', 'Liberia'), false) AS r2 FROM c) SELECT c_custkey, r1, r2, r2 AND coalesce(2024 - built > 15, false) AS r3 FROM r""")
+def tanker_rules(read):
+    k = F.col("c_custkey")
+    c = read("customer").select("c_custkey", F.when(k % 3 == 0, "Tanker").when(k % 3 == 1, "Cargo").alias("ship_type"), F.when(F.col("c_nationkey") % 4 == 0, "Panama").when(F.col("c_nationkey") % 4 == 1, "Denmark").when(F.col("c_nationkey") % 4 == 2, "Liberia").alias("flag"), F.when(k % 5 > 0, 1980 + k % 40).alias("built"), F.lit("2024-06-30").cast("date").alias("window_end"))
+    return ev.tanker_rules(c, "ship_type", "flag", "window_end", "built").select("c_custkey", "r1", "r2", "r3")
+
+
+@query("""WITH o AS (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS window_end, CAST(min(o_orderdate) FILTER (o_totalprice > 150000) AS DATE) AS event FROM orders GROUP BY o_custkey),
+h AS (SELECT *, coalesce(event > window_end AND event <= window_end + 90 AND event < DATE '1998-01-01', false) AS hazard, coalesce(event > window_end AND event < DATE '1998-01-01', false) AS known FROM o WHERE window_end < DATE '1998-01-01')
+SELECT o_custkey, hazard, known FROM h WHERE hazard OR window_end + 90 < DATE '1998-01-01'""")
+def hazard_labels(read):
+    o = read("orders").groupBy("o_custkey").agg(F.min("o_orderdate").cast("date").alias("window_end"), F.min(F.when(F.col("o_totalprice") > 150000, F.col("o_orderdate"))).cast("date").alias("event"))
+    out = md.hazard_labels(o, "window_end", "event", "1998-01-01", 90, "hazard")
+    return md.as_of_labels(out, "window_end", "event", "1998-01-01", "known").select("o_custkey", "hazard", "known")
+
+
+@query("""WITH c AS (SELECT *, TIMESTAMP '2024-01-20' AS cutoff, lag(event_type) OVER w AS before, row_number() OVER w AS n FROM events WHERE ts < TIMESTAMP '2024-01-20' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, cutoff, bool_or(ts >= TIMESTAMP '2024-01-10' AND coalesce(event_type IN ('purchase', 'signup'), false) AND NOT coalesce(before IN ('purchase', 'signup'), false) AND n > 1) AS switched FROM c GROUP BY user_id, cutoff""")
+def foc_switch(read):
+    """A switch into a group of values, as into a flag of convenience."""
+    e = read("events").select("user_id", "ts", "event_type", "event_id")
+    cut = e.select("user_id").distinct().withColumn("cutoff", F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    return ft.switched_into(e, cut, "user_id", "ts", "event_type", ["purchase", "signup"], "event_id", 10)
+
+
+@query(f"""WITH {_TRIPS}, {_P}, tp AS (SELECT 219000000 + user_id AS mmsi, (219000000 + user_id) || '-' || session_seq AS voyage_id, start_time, end_time, 54 + (start_value * 37 % 400) / 100 AS sla, 8 + (start_value * 53 % 1200) / 100 AS slo, 54 + (end_value * 37 % 400) / 100 AS ela, 8 + (end_value * 53 % 1200) / 100 AS elo FROM v),
+m AS (SELECT tr.voyage_id, median(draught) AS d FROM tr JOIN p ON p.mmsi = tr.mmsi AND p.timestamp BETWEEN tr.start_time AND tr.end_time WHERE draught > 0 GROUP BY tr.voyage_id HAVING count(*) >= 2),
+n AS (SELECT *, lead(voyage_id) OVER w AS next_voyage_id, lead(start_time) OVER w AS ns, lead(sla) OVER w AS nla, lead(slo) OVER w AS nlo FROM tp WINDOW w AS (PARTITION BY mmsi ORDER BY start_time, voyage_id)),
+c AS (SELECT n.*, a.d AS old_draught, b.d AS new_draught FROM n JOIN m a ON a.voyage_id = n.voyage_id JOIN m b ON b.voyage_id = n.next_voyage_id WHERE abs(b.d - a.d) >= 1),
+k AS (SELECT 54 + (s_acctbal * 7 % 400) / 100 AS la, 8 + (s_acctbal * 13 % 1200) / 100 AS lo, [219000000 + s_suppkey % 50, 219000000 + s_suppkey % 7, 219000000 + s_suppkey % 11 + 100] AS members FROM supplier),
+x AS (SELECT 219000000 + p_partkey % 90 AS a, 219000100 + p_partkey % 70 AS b, TIMESTAMP '2024-01-01' + to_hours(CAST(p_partkey * 7 % 720 AS BIGINT)) AS s, TIMESTAMP '2024-01-01' + to_hours(CAST(p_partkey * 7 % 720 + 4 AS BIGINT)) AS e FROM part)
+SELECT mmsi, voyage_id, next_voyage_id, end_time AS event_time, round(ela, 6) AS latitude, round(elo, 6) AS longitude, round(old_draught, 6) AS old_draught, round(new_draught, 6) AS new_draught, round(new_draught - old_draught, 6) AS change_m, round(least(abs(new_draught - old_draught) / 5, 1), 6) AS confidence FROM c
+WHERE NOT EXISTS (SELECT 1 FROM k WHERE len(members) - CAST(list_contains(members, mmsi) AS INT) >= 3 AND ({_hav("ela", "elo", "la", "lo")} <= 8000 OR {_hav("nla", "nlo", "la", "lo")} <= 8000))
+AND NOT EXISTS (SELECT 1 FROM x WHERE x.a = c.mmsi AND x.s <= c.ns AND x.e >= c.end_time) AND NOT EXISTS (SELECT 1 FROM x WHERE x.b = c.mmsi AND x.s <= c.ns AND x.e >= c.end_time)""")
+def unexplained_draughts(read):
+    key, place = F.col("user_id") + 219000000, lambda v: ((54 + (F.col(v) * 37 % 400) / 100), (8 + (F.col(v) * 53 % 1200) / 100))
+    trips = _sessions(read).select(key.alias("mmsi"), F.concat(key.cast("string"), F.lit("-"), F.col("session_seq").cast("string")).alias("voyage_id"), "start_time", "end_time", *(c.alias(f"{end}_{n}") for end in ("start", "end") for c, n in zip(place(f"{end}_value"), ("latitude", "longitude"))))
+    s, b, k = F.col("s_suppkey"), F.col("s_acctbal"), F.col("p_partkey")
+    places = read("supplier").select((54 + (b * 7 % 400) / 100).alias("center_latitude"), (8 + (b * 13 % 1200) / 100).alias("center_longitude"), F.array(*(x + 219_000_000 for x in (s % 50, s % 7, s % 11 + 100))).alias("members"))
+    at = lambda hours: F.timestamp_micros(F.lit(1_704_067_200_000_000) + hours * 3_600_000_000).cast("timestamp_ntz")
+    met = read("part").select((219_000_000 + k % 90).alias("key_a"), (219_000_100 + k % 70).alias("key_b"), at(k * 7 % 720).alias("start_time"), at(k * 7 % 720 + 4).alias("end_time"))
+    out = dt.unexplained_draught_changes(trips, _positions(read), places, met, "mmsi", "timestamp", "draught", 2, 1.0, 5.0, 8_000.0, 3)
+    return out.withColumns({c: r6(c) for c in ("latitude", "longitude", "old_draught", "new_draught", "change_m", "confidence")})
+
+
+def _weeks(read):
+    """A row for each user and week of January, with counts, and whether the user buys in the week after."""
+    week = F.floor(F.dayofmonth("ts") / 7).cast("int")
+    kinds = ("view", "click", "purchase")
+    w = read("events").groupBy("user_id", week.alias("week")).agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("largest"), *(F.count_if(F.col("event_type") == k).alias(k) for k in kinds))
+    later = w.select("user_id", (F.col("week") - 1).alias("week"), (F.col("purchase") > 0).cast("int").alias("y"))
+    return w.join(later, ["user_id", "week"], "left").withColumn("y", F.coalesce("y", F.lit(0))).where("week < 4"), ["n", "total", "largest", *kinds]
+
+
+@query()
+def boosted_risk(read):
+    """AUC forward in time: trees learn from the weeks before the last, with and without bags of unlabelled rows."""
+    d, features = _weeks(read)
+    out = None
+    for name, more in (("boosting", {}), ("bagging", {"bags": 5, "ratio": 2.0})):
+        model, _ = fo.fit_boosting(d.where("week < 3"), features, "y", ["user_id", "week"], trees=12, depth=2, rate=0.2, subsample=0.8, columns=0.8, **more)
+        part = ev.auc(fo.boosted_scores(model, d.where("week = 3")).withColumn("score", F.round("score", 9)), "score", "y").select(F.lit(name).alias("model"), "n_positive", "n_negative", r6("auc").alias("auc"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def isolation_ranks(read):
+    """How far apart from the weeks before each of the last week's rows is."""
+    d, features = _weeks(read)
+    return fo.isolation_scores(d.where("week < 3"), d.where("week = 3"), features, ["user_id", "week"]).select("user_id", r6("anomaly").alias("anomaly"))
