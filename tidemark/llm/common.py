@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import contextlib
+import ctypes
+import functools
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,42 @@ def split_words(texts: pa.Array) -> list[list[bytes]]:
     return [t.split() for t in pc.ascii_lower(texts.fill_null("")).cast(pa.binary()).to_pylist()]  # bytes.split() parts at ASCII white space only
 
 
+_KEPT: dict = {}
+
+
+def give_back() -> None:
+    """Returns what the allocators of a Python worker no longer use to the machine; workers stay for a while after their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not in every C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function of batches that gives its memory back when it is done."""
+
+    @functools.wraps(run)
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidy
+
+
+def kept(key: Hashable, make: Callable):
+    """What a Python worker keeps from task to task, such as a cache: one thing at a time.
+
+    Workers outlive the stages that they serve. What the last stage kept is freed when another one
+    asks for something of its own, if only for None.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        give_back()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 class WordHashes(dict):
     """XXH64 of words, each computed once."""
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe_rank_queue import ChunkIds
-from .common import staged, text_chunks
+from .common import kept, staged, text_chunks, trimmed
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 1024
@@ -57,13 +57,8 @@ class TokenIds:
         return out
 
 
-_TOKENIZERS: dict[str, TokenIds] = {}
-
-
 def _tokenizer(name: str) -> TokenIds:
-    if name not in _TOKENIZERS:
-        _TOKENIZERS[name] = TokenIds(public_tokenizers.path(name))
-    return _TOKENIZERS[name]
+    return kept(("tokenizer", name), lambda: TokenIds(public_tokenizers.path(name)))
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -94,7 +89,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
             )
 
     frame = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    return frame.mapInArrow(run, "id long, row long, piece int, start long, length long, ids_crc32 long")
+    return frame.mapInArrow(trimmed(run), "id long, row long, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, components, staged, text_chunks
+from .common import CHUNK_BYTES, components, kept, staged, text_chunks, trimmed
 
 SHINGLE = 3
 RADIUS = 2
@@ -82,6 +82,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, key long, fp long) of every row; key is a digest of the text, and null and wordless texts get fingerprint zero. chunk_bytes: text that a task handles at a time."""
 
     def run(batches):
+        kept("fingerprints", lambda: None)
         for batch in text_chunks(batches, limit=chunk_bytes):
             texts = pc.ascii_lower(batch.column("text")).cast(pa.binary())
             own = [shingle_hashes(t) if t else [] for t in texts.to_pylist()]
@@ -89,7 +90,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             hashes = np.fromiter((h for x in own for h in x), np.uint64, int(lengths.sum()))
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("key"), pa.array(majority(hashes, lengths).view(np.int64))], ["id", "key", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(run, "id long, key long, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "id long, key long, fp long")
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, discard, staged, text_chunks
+from .common import crc32_of_id, discard, kept, staged, text_chunks, trimmed
 
 #: Labelled documents of a class that the models are fitted on, at most: the smallest hashes of doc_id.
 DOCS_PER_CLASS = 2_000
@@ -243,9 +243,6 @@ class _Lookup(dict):
         return out
 
 
-_LOOKUPS: dict[str, _Lookup] = {}
-
-
 def _models(rows: DataFrame) -> DataFrame:
     """(turn, model): of fold 1, of fold 0 and of both, from rows of a word and its counts n00, n01, n10, n11 by class and fold.
 
@@ -268,7 +265,7 @@ def _models(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([turn], pa.int32()), pa.array([pickle.dumps(made)], pa.binary())], ["turn", "model"])
 
     schema = pa.schema([("w", pa.string()), *((f"n{y}{f}", pa.int64()) for y in (0, 1) for f in (0, 1))])
-    return staged(rows.select(*schema.names).repartition(1).mapInArrow(make, "turn int, model binary"), "models")
+    return staged(rows.select(*schema.names).repartition(1).mapInArrow(trimmed(make), "turn int, model binary"), "models")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_class: int = DOCS_PER_CLASS) -> KneserNey:
@@ -336,16 +333,13 @@ def score(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: s
     frame = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), F.col(text_col).alias("text"))
 
     def run(batches):
-        look = _LOOKUPS.get(name)
-        if look is None:
-            _LOOKUPS.clear()
-            look = _LOOKUPS[name] = _Lookup()
+        look = kept(("toxicity", name), _Lookup)
         for batch in text_chunks(batches):
             s = shared.value.scores(shared.value.evidence(look.rows(shared.value, batch.column("text"))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s)], [*batch.schema.names[:-1], "score"])
 
     schema = ", ".join(f"c{i} {frame.schema[i].dataType.simpleString()}" for i in range(len(columns)))
-    return frame.mapInArrow(run, f"{schema}, score double").toDF(*columns, score_col)
+    return frame.mapInArrow(trimmed(run), f"{schema}, score double").toDF(*columns, score_col)
 
 
 def train_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
