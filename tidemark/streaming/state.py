@@ -25,6 +25,7 @@ Message struct<
 RECORD = "mmsi long, latitude double, longitude double, sog double, cog double, heading int, name string, callsign string, imo long, ship_type int, destination string, draught double, position_time timestamp, static_time timestamp"
 _FIELDS = [f.split()[0] for f in RECORD.split(", ")]
 _POSITION, _STATIC = _FIELDS[1:6], _FIELDS[6:12]
+_WHOLE = [f.split()[0] for f in RECORD.split(", ") if f.split()[1] in ("int", "long")]
 
 
 def decode_messages(raw: DataFrame, column: str = "value") -> DataFrame:
@@ -94,7 +95,8 @@ def last_known_state(updates: DataFrame, stale_seconds: int = STALE_SECONDS, wat
         record = dict(zip(_FIELDS, state.get)) if state.exists else None
         rows = pd.concat(list(batches)).sort_values("event_time", kind="stable")
         for row in rows.astype(object).where(rows.notna(), None).to_dict("records"):
-            record = fold(record, row)
+            # pandas has numbers with gaps as floats, which the state would keep as nulls
+            record = fold(record, row | {f: int(row[f]) for f in _WHOLE if row[f] is not None})
         state.update(tuple(record[f] for f in _FIELDS))
         seen = record["position_time"] or record["static_time"] or rows["event_time"].max()
         due = int(pd.Timestamp(seen).timestamp() * 1000) + stale_seconds * 1000
