@@ -430,9 +430,10 @@ def shares_that_overlap(ours: DataFrame, theirs: DataFrame, key: str, start: str
 def laden_threshold(trips: DataFrame, change: str, bins: int = 60, smooth: int = 5, least: int = 30, fallback: float = 0.2) -> float:
     """The valley between the two highest peaks of a smoothed histogram of changes; the fallback without enough trips or peaks.
 
-    Bins are counted on the cluster; a count for each bin reaches the driver.
+    Bins are counted on the cluster; a count for each bin reaches the driver. Changes that are null,
+    NaN or infinite, as from a draught of zero, are none.
     """
-    values = trips.where(F.col(change).isNotNull() & ~F.isnan(F.col(change).cast("double"))).select(F.col(change).cast("double").alias("v"))
+    values = trips.select(F.col(change).cast("double").alias("v")).where(~F.isnan("v") & (F.abs("v") < float("inf")))
     whole = values.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
     if whole.n < least or whole.low == whole.high:
         return fallback

@@ -287,3 +287,20 @@ def isolation_ranks(read):
     """How far apart from the weeks before each of the last week's rows is."""
     d, features = _weeks(read)
     return fo.isolation_scores(d.where("week < 3"), d.where("week = 3"), features, ["user_id", "week"]).select("user_id", r6("anomaly").alias("anomaly"))
+
+
+@query("""WITH r AS (SELECT lpad(CAST(o_custkey * 97 % 3000 AS VARCHAR), 6, '0') AS serial, CASE WHEN o_orderkey % 3 > 0 THEN year(o_orderdate) END AS a, CASE WHEN o_orderkey % 4 > 0 THEN year(o_orderdate) - CAST(o_orderkey % 5 AS INT) END AS b FROM orders WHERE o_orderkey % 2 = 0 OR o_custkey % 3 = 0),
+v AS (SELECT serial || CAST(list_sum(list_transform(range(1, 7), lambda i: (8 - i) * CAST(serial[i] AS INT))) % 10 AS VARCHAR) AS imo, coalesce(a, b) AS y, coalesce(abs(a - b) > 1, false) AS c, a, b FROM r WHERE serial <> '000000'),
+g AS (SELECT imo, count(*) AS n_items, CASE WHEN count(a) > 0 THEN 'P729' WHEN count(b) > 0 THEN 'P571' END AS date_source, bool_or(c) AS has_date_conflict, min(y) AS low, max(y) AS high FROM v GROUP BY imo)
+SELECT imo, n_items, date_source, has_date_conflict, CAST(CASE WHEN high - low <= 1 THEN low END AS INT) AS build_year, coalesce(high - low > 1, false) AS is_ambiguous FROM g""")
+def build_years(read):
+    """Registry entries of one ship reconciled; those whose check digit fails are left out."""
+    from tidemark.sources.lists import reconcile_build_years
+
+    o = read("orders").where((F.col("o_orderkey") % 2 == 0) | (F.col("o_custkey") % 3 == 0)).withColumn("serial", F.lpad((F.col("o_custkey") * 97 % 3000).cast("string"), 6, "0"))
+    check = sum(((8 - i) * F.substring("serial", i, 1).cast("int") for i in range(1, 7)), F.lit(0)) % 10
+    year, k = F.year("o_orderdate"), F.col("o_orderkey")
+    dated = lambda c: F.make_date(c, F.lit(5), F.lit(1))
+    right = o.select(F.concat("serial", check.cast("string")).alias("imo"), F.when(k % 3 > 0, dated(year)).alias("service_entry"), F.when(k % 4 > 0, dated(year - (k % 5).cast("int"))).alias("inception"))
+    wrong = o.select(F.concat("serial", ((check + 1) % 10).cast("string")).alias("imo"), dated(year).alias("service_entry"), dated(year).alias("inception"))
+    return reconcile_build_years(right.unionByName(wrong))
