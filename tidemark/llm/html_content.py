@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 from html import unescape
 
@@ -44,10 +45,11 @@ BARRIER = frozenset("table td th article section div body".split())
 NEGATIVE = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form gdpr header login menu masthead meta nav navbar navigation newsletter notice pagination popup privacy promo promoted recommended related reply responses search share sharing sidebar signup site skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget".split())
 POSITIVE = frozenset("article articlebody body content entry main page post story text".split())
 KNOWN_TAGS = "html body div section article main header footer nav aside form p h1 h2 h3 h4 h5 h6 ul ol li table tr td th dl dt dd blockquote pre figure figcaption details summary dialog button select option fieldset address center menu".split()
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>]).*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>]).*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+#: What stands between a tag's name and its >: a quote opens a string right after = only, and if it is closed.
+STRING = r"""=\s*+(?:"[^"]*+"|'[^']*+')"""
+ATTRIBUTES = re.compile(rf"(?:[^>=]++|{STRING}|=)*+", re.S)
+STRINGS = re.compile(STRING, re.S)
 #: Elements removed with what they hold, if they end; without an end tag they are as any other.
 REMOVED = {name: re.compile(rf"</{name}\s*>", re.I) for name in "noscript template textarea title svg iframe select head".split()}
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -59,6 +61,28 @@ N_TAGS = len(KNOWN_TAGS) + 1
 FAMILIES = (N_TAGS, 2, 2, 8, 5, 3, 6)
 
 
+class TagEnds:
+    """Where tags end, in time linear in the page: what a scan without an end has passed isn't scanned again."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.last, self.dead = html, html.rfind(">"), []
+
+    def after(self, at: int) -> int:
+        """The place after the > of a tag whose name ends at a place, or -1 if it has none."""
+        if at > self.last:
+            return -1
+        for start, begins, closes in self.dead:  # outside that scan's strings a scan from here would go the same way
+            k = bisect_right(begins, at) - 1
+            if at >= start and (k < 0 or at >= closes[k]):
+                return -1
+        end = ATTRIBUTES.match(self.html, at).end()
+        if end < len(self.html):
+            return end + 1
+        strings = [m.span() for m in STRINGS.finditer(self.html, at)]
+        self.dead.append((at, [a for a, _ in strings], [b for _, b in strings]))
+        return -1
+
+
 class Trees:
     """The nodes of several pages, in page order, and the runs of text that belong to them."""
 
@@ -114,25 +138,32 @@ class Trees:
                     self.ends[at] += len(ENDS.findall(text))
                 linked = 0
 
-        last = 0
+        last = at = 0
         endless = set()
-        while m := TOKEN.search(html, last):
-            start = m.start()
+        ends = TagEnds(html)
+        while m := TOKEN.search(html, at):
+            start, end = m.span()
+            attributes = ""
+            if m[3] is not None:
+                end = ends.after(end)
+                if end < 0:  # no tag: its text is text
+                    at = start + 1
+                    continue
+                attributes = html[m.end() : end - 1]
             if start > last:
                 text = html[last:start]
                 pending.append(text)
                 if in_link:
                     linked += len(text)
-            last = m.end()
-            name = m[3]
-            if name is None:
+            last = at = end
+            if m[3] is None:
                 continue
-            name = name.lower()
-            if name in ("svg", "math") and m[4].endswith("/"):
+            name = m[3].lower()
+            if name in ("svg", "math") and attributes.endswith("/"):
                 continue
             if name in REMOVED and not m[2] and name not in endless:
                 if end := REMOVED[name].search(html, last):
-                    last = end.end()
+                    last = at = end.end()
                     continue
                 endless.add(name)
             if name in INLINE:
@@ -159,7 +190,7 @@ class Trees:
                     break
                 if stack[i][0] in BARRIER or stack[i][0] in ("ul", "ol", "dl"):
                     break
-            stack.append((name, self.node(stack[-1][1], name, m[4])))
+            stack.append((name, self.node(stack[-1][1], name, attributes)))
             inside[name] += 1
         if last < len(html):
             pending.append(html[last:])
