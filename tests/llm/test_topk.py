@@ -7,16 +7,15 @@ SCHEMA = "vec_id long, embedding array<float>, v string, id string, rank int"
 
 
 def brute(rows, k=20, every=20):
-    data = {}
+    data = []
     for i, x in rows:
         if i is None or not x or any(c is None or not math.isfinite(c) for c in x):
             continue
-        v = [math.floor(64 * c) for c in x]
-        data[i] = min(v, data.get(i, v))
+        data.append((i, [math.floor(64 * c) for c in x]))
     out = []
-    for q, x in data.items():
+    for a, (q, x) in enumerate(data):
         if q % every == 0:
-            scores = sorted(((-sum(a * b for a, b in zip(x, y)), i) for i, y in data.items() if i != q))[:k]
+            scores = sorted(((-sum(p * r for p, r in zip(x, y)), i) for b, (i, y) in enumerate(data) if b != a))[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
     return sorted(out)
 
@@ -41,3 +40,12 @@ def test_edges(spark):
     assert run(spark, df) == brute(rows)
     assert run(spark, df.where("vec_id in (0, 1, 2)")) == brute([r for r in rows if r[0] in (0, 1, 2)])
     assert run(spark, df.limit(0)) == []
+
+
+def test_repeated_ids_and_large_values(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (1, [3.0, -1.0]), (20, [0.5, 0.5]), (20, [2.0, 0.0]), (2, [2.0**20, -(2.0**20)])]
+    df = lambda r: spark.createDataFrame([(i, x, "", "", 0) for i, x in r], SCHEMA.replace("float", "double"))
+    assert run(spark, df(rows)) == brute(rows)
+    assert [r[2] for r in run(spark, df(rows[:3]))] == [1, 1]  # rows of one id, each a candidate
+    large = [(3, [1e12, 0.0]), (40, [1e300, 1.0]), (4, [-(2.0**40), 2.0**40])]
+    assert run(spark, df(rows + large)) == brute(rows)  # beyond 64 bits: no part

@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from tidemark.operators.aggregates import global_rank
+
+from .common import discard, staged
 
 TOP = 20
 SCALE = 64
@@ -32,15 +34,22 @@ PIVOT_SAMPLE = 20_000
 #: Vectors of a chunk and of an annulus within it; chunks grow when there would be over MAX_CHUNKS of them.
 CHUNK, ANNULUS, MAX_CHUNKS = 4096, 512, 8192
 QUERY_BLOCK, BLOCKS_PER_TASK = 256, 32
+#: From this norm on, a score need not fit in 64 bits.
+LARGEST_NORM = float(2**31)
 
 
 def whole_numbers(table: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v array<long>) of every id: floor(scale * x); ids or vectors that are null, empty or hold null or non-finite components are left out."""
+    """(row, id, v array<long>) of every row: its number in the order of id and vector, and floor(scale * x).
+
+    Ids or vectors that are null, empty or hold null or non-finite components are left out, and so
+    are vectors whose scaled norm is LARGEST_NORM or more.
+    """
     x = F.col("x")
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = rows.where(F.col("id").isNotNull() & (F.size(x) > 0) & fine)
-    return rows.groupBy("id").agg(F.min(F.transform(x, lambda c: F.floor(c * scale))).alias("v"))
+    norm = F.aggregate(F.transform(x, lambda c: F.floor(c * scale).cast("double")), F.lit(0.0), lambda a, c: a + c * c)
+    rows = rows.where(F.col("id").isNotNull() & (F.size(x) > 0) & fine).where(norm < LARGEST_NORM**2)
+    return global_rank(rows.select("id", F.transform(x, lambda c: F.floor(c * scale)).alias("v")), ["id", "v"], "row")
 
 
 def fit_pivots(sample: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
@@ -132,16 +141,19 @@ def top_k(table: DataFrame, queries: "F.Column", id_col: str = "vec_id", vector_
 
     queries is a condition on id_col. Ties go to smaller ids; a query gets fewer rows if there are
     fewer others. Vectors that are null, empty, or hold null or non-finite components take no part,
-    nor do null ids. Rows that repeat an id count once (the smallest vector). Shorter vectors count
-    as filled with zeros. An empty table gives none. Only the two columns named are read.
+    nor do null ids, nor vectors whose scaled norm is 2^31 or more, as their scores need not fit in
+    64 bits. Rows that repeat an id stay apart: each is a query and a candidate of its own, and its
+    copies are among its other rows. Shorter vectors count as filled with zeros. An empty table gives
+    none. Only the two columns named are read.
     """
     spark = table.sparkSession
-    rows = staged(whole_numbers(table, id_col, vector_col, scale).withColumn("is_query", queries_on(queries, id_col)), "vectors")
+    numbered = whole_numbers(table, id_col, vector_col, scale)
+    rows = staged(numbered.withColumn("is_query", queries_on(queries, id_col)), "vectors")
     square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
     whole = rows.agg(F.count("*").alias("n"), F.max(square).alias("top"), F.max(F.size("v")).alias("width"), F.count_if("is_query").alias("asking")).first()
     n, width = whole.n, whole.width or 1
     # a share of all hashes that holds about half of the bound; any sample gives the same results
-    few = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < (1 << 30) * min(1.0, PIVOT_SAMPLE / 2 / max(n, 1))
+    few = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < (1 << 30) * min(1.0, PIVOT_SAMPLE / 2 / max(n, 1))
     sample = rows.where(few).select("v").limit(PIVOT_SAMPLE).toArrow().column("v").combine_chunks() if n else None
     geometry = Geometry(np.zeros((1, width + 1)), whole.top or 0, width)
     if n:
@@ -157,7 +169,7 @@ def top_k(table: DataFrame, queries: "F.Column", id_col: str = "vec_id", vector_
                 near = d.argmin(1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(near)), near])], [*batch.schema.names, "pivot", "r"])
 
-    keyed = staged(rows.mapInArrow(key, "id long, v array<long>, is_query boolean, pivot int, r double"), "keyed")
+    keyed = staged(rows.mapInArrow(key, "id long, v array<long>, row long, is_query boolean, pivot int, r double"), "keyed")
     # annuli of equal width per pivot, as many over all as the driver's summary may have; one that holds more
     # than a chunk is dealt over several, so that no chunk grows with the table
     chunk = max(CHUNK, -(-n // MAX_CHUNKS))
@@ -165,12 +177,12 @@ def top_k(table: DataFrame, queries: "F.Column", id_col: str = "vec_id", vector_
     ring = F.when(F.col("r1") > F.col("r0"), F.least(F.floor((F.col("r") - F.col("r0")) / (F.col("r1") - F.col("r0")) * F.ceil(F.col("m") / chunk)), F.ceil(F.col("m") / chunk) - 1)).otherwise(0).cast("int")
     ringed = keyed.join(F.broadcast(cells), "pivot").withColumn("ring", ring).drop("m", "r0", "r1")  # a row for each pivot
     sizes = ringed.groupBy("pivot", "ring").agg(F.count("*").alias("m"))
-    chunked = ringed.join(sizes, ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / CHUNK)).cast("int")).drop("m")
+    chunked = ringed.join(sizes, ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("row"), F.ceil(F.col("m") / CHUNK)).cast("int")).drop("m")
 
     def pack(key, table):
         g = shared.value
-        table = table.sort_by([("r", "ascending"), ("id", "ascending")]).combine_chunks()
-        ids, r = table.column("id").to_numpy(), table.column("r").to_numpy()
+        table = table.sort_by([("r", "ascending"), ("row", "ascending")]).combine_chunks()
+        ids, names, r = (table.column(c).to_numpy() for c in ("row", "id", "r"))
         v = _matrix(table.column("v").chunk(0), g.width)
         pivot, ask = table.column("pivot")[0].as_py(), table.column("is_query").to_numpy()
         ring, name = (int(uuid.uuid5(uuid.NAMESPACE_OID, "-".join(str(x) for x in part)).int & (1 << 62) - 1) for part in (key[:2], key))
@@ -183,10 +195,11 @@ def top_k(table: DataFrame, queries: "F.Column", id_col: str = "vec_id", vector_
             first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
             full = np.diff(np.append(first, len(row))) >= k
             floors[np.flatnonzero(ask)[row[first[full]]]] = s[first[full]]
-        return pa.table({"annulus": pa.array([ring], pa.int64()), "chunk": pa.array([name], pa.int64()), "pivot": pa.array([pivot], pa.int32()), "low": pa.array([r[0]]), "high": pa.array([r[-1]]), "ids": pa.array([ids]), "r": pa.array([r]), "v": pa.array([v.astype("<i8").tobytes()], pa.binary()), "is_query": pa.array([ask.tolist()]), "floors": pa.array([floors])})
+        return pa.table({"annulus": pa.array([ring], pa.int64()), "chunk": pa.array([name], pa.int64()), "pivot": pa.array([pivot], pa.int32()), "low": pa.array([r[0]]), "high": pa.array([r[-1]]), "ids": pa.array([ids]), "names": pa.array([names]), "r": pa.array([r]), "v": pa.array([v.astype("<i8").tobytes()], pa.binary()), "is_query": pa.array([ask.tolist()]), "floors": pa.array([floors])})
 
-    schema = "annulus long, chunk long, pivot int, low double, high double, ids array<long>, r array<double>, v binary, is_query array<boolean>, floors array<long>"
+    schema = "annulus long, chunk long, pivot int, low double, high double, ids array<long>, names array<long>, r array<double>, v binary, is_query array<boolean>, floors array<long>"
     chunks = staged(chunked.groupBy("pivot", "ring", "part").applyInArrow(pack, schema), "chunks")
+    discard(numbered, rows, keyed)
     # a row for each annulus, at most MAX_CHUNKS + PIVOTS
     summary = chunks.groupBy("annulus", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas().sort_values("annulus")
     bounds = spark.sparkContext.broadcast(tuple(summary[c].to_numpy() for c in ("annulus", "pivot", "low", "high")))
@@ -208,31 +221,31 @@ def top_k(table: DataFrame, queries: "F.Column", id_col: str = "vec_id", vector_
                     open_ = (g.ceiling(norms[:, None], d[:, at], low, high) >= floors[:, None]).any(0)
                     group = pa.array(names[open_])
                     m = len(group)
-                    blob = np.column_stack((np.array(row["ids"])[own], floors, v[own])).astype("<i8").tobytes()
+                    blob = np.column_stack((np.array(row["ids"])[own], np.array(row["names"])[own], floors, v[own])).astype("<i8").tobytes()
                     task = (row["chunk"] + i) % groups
                     yield pa.RecordBatch.from_arrays([group, pa.array([task] * m, pa.int32()), pa.array([blob] * m, pa.binary())], ["annulus", "task", "queries"])
 
-    open_ = chunks.select("chunk", "ids", "v", "is_query", "floors").mapInArrow(ask, "annulus long, task int, queries binary")
+    open_ = chunks.select("chunk", "ids", "names", "v", "is_query", "floors").mapInArrow(ask, "annulus long, task int, queries binary")
     asked = staged(open_.join(chunks.select("annulus", "chunk"), "annulus").drop("annulus"), "asked")
-    tasks = asked.select("chunk", "task").distinct().join(chunks.select("chunk", "pivot", "ids", "r", "v"), "chunk").toDF("of", "turn", "pivot", "ids", "r", "v")
+    tasks = asked.select("chunk", "task").distinct().join(chunks.select("chunk", "pivot", "ids", "names", "r", "v"), "chunk").toDF("of", "turn", "pivot", "ids", "names", "r", "v")
 
     def answer(key, left, right):
         g = shared.value
-        out = [[], [], []]
+        out = [np.zeros((0, 5), np.int64)]
         if left.num_rows and right.num_rows:
             row = right.slice(0, 1).to_pylist()[0]
-            ids, r = np.array(row["ids"]), np.array(row["r"])
+            ids, names, r = (np.array(row[c]) for c in ("ids", "names", "r"))
             v = np.frombuffer(row["v"], "<i8").reshape(len(ids), -1)
+            order = np.argsort(ids)
             for blob in left.column("queries").to_pylist():
-                own = np.frombuffer(blob, "<i8").reshape(-1, g.width + 2)
-                q = {"id": own[:, 0], "floor": own[:, 1], "v": own[:, 2:], "norm": (own[:, 2:].astype(float) ** 2).sum(1), "d": g.of_queries(own[:, 2:])}
+                own = np.frombuffer(blob, "<i8").reshape(-1, g.width + 3)
+                q = {"id": own[:, 0], "floor": own[:, 2], "v": own[:, 3:], "norm": (own[:, 3:].astype(float) ** 2).sum(1), "d": g.of_queries(own[:, 3:])}
                 place, i, s = search_chunk(g, q, ids, v, r, row["pivot"], k)
-                for to, x in zip(out, (q["id"][place], i, s)):
-                    to.append(x)
-        return pa.table({c: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for c, x in zip(("query_id", "id", "score"), out)})
+                out.append(np.column_stack((own[place, :2], i, names[order[np.searchsorted(ids[order], i)]], s)))
+        return pa.table(list(np.concatenate(out).T.copy()), ["query", "query_id", "row", "id", "score"])
 
-    found = asked.groupBy("chunk", "task").cogroup(tasks.groupBy("of", "turn")).applyInArrow(answer, "query_id long, id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    found = asked.groupBy("chunk", "task").cogroup(tasks.groupBy("of", "turn")).applyInArrow(answer, "query long, query_id long, row long, id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "row")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
