@@ -226,7 +226,7 @@ def presence_hour(read):
 
 
 @query(f"""WITH {_SESSIONS}, g AS (SELECT user_id, session_seq, end_time AS gap_start, lead(start_time) OVER (PARTITION BY user_id ORDER BY session_seq) AS gap_end FROM v),
-q AS (SELECT * FROM g WHERE gap_end IS NOT NULL AND gap_start >= TIMESTAMP '2024-01-15' AND gap_start < TIMESTAMP '2024-01-25'),
+q AS (SELECT * FROM g WHERE gap_end IS NOT NULL),
 c AS (SELECT q.user_id, q.session_seq, e.event_type, floor(e.value) AS cell FROM q JOIN events e ON e.user_id = q.user_id AND e.ts = q.gap_start),
 p AS (SELECT event_type, floor(value) AS cell, date_trunc('hour', ts) AS h, user_id, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY ALL),
 j AS (SELECT q.user_id, q.session_seq, count(DISTINCT p.user_id) FILTER (p.last_seen >= q.gap_start AND p.first_seen <= q.gap_end) AS n_corroborators,
@@ -240,7 +240,7 @@ def corroboration_verdict(read):
     from tidemark.operators.detectors import liveness_verdict, presence
 
     e = read("events").withColumn("cell", F.floor("value"))
-    gaps = tl.session_gaps(_sessions(read), "user_id").where("gap_start >= timestamp_ntz'2024-01-15' and gap_start < timestamp_ntz'2024-01-25'")
+    gaps = tl.session_gaps(_sessions(read), "user_id")
     cells = gaps.join(e.select("user_id", F.col("ts").alias("gap_start"), "event_type", "cell"), ["user_id", "gap_start"]).select("user_id", "session_seq", "event_type", "cell")
     out = liveness_verdict(gaps, cells, presence(e, ["event_type", "cell"], "ts", "user_id"), ["user_id", "session_seq"], ["event_type", "cell"], "user_id", baseline_days=10)
     return out.select("user_id", "session_seq", "n_corroborators", "n_baseline", r6("expected").alias("expected"), "verdict")
