@@ -173,3 +173,19 @@ def test_gates_of_retention_and_rates(spark):
     events = spark.createDataFrame([("a",)] * 30 + [("b",)] * 2, "kind string")
     got = {r.kind: (r.observed, r.passes) for r in manifest.rate_gate(events, "kind", {"a": 1.0, "b": 3.0, "c": 0.01, "d": 1.0, "e": 0.0}, 10).collect()}
     assert got == {"a": (30, True), "b": (2, False), "c": (0, True), "d": (0, False), "e": (0, True)}
+
+
+def test_lists_in_csv_with_line_breaks_and_semicolons(spark, tmp_path):
+    from tidemark.sources.readers import read_uk_list
+
+    uk = tmp_path / "uk.csv"
+    uk.write_text('Report Date: 01-Jun-2024\nUnique ID,Name 6,Name type,Designation Type,IMO number,Current believed flag of ship,Date Designated,Other Information\n1,TORN,Alias,Ship,9074729,Panama,05/06/2023,"a note\nof two lines, with a ""quote"""\n1,WHOLE,Primary name,Ship,9074729,,01/02/2022,\n2,PERSON,Primary name,Individual,,,01/01/2020,"x\ny"\n')
+    got = [tuple(r) for r in read_uk_list(spark, str(uk)).select("source_id", "vessel_name", "imo", "flag", "designation_date").collect()]
+    assert got == [("1", "WHOLE", "9074729", "Panama", dt.date(2022, 2, 1))]
+    eu = tmp_path / "eu.csv"
+    eu.write_text("﻿Vessel name;IMO number ;Subject to;Date of application\nLATER;IMO 9074729;Article 3s of 833/2014;01.07.2024\nFIRST;9074729;Article 3s of 833/2014;24.06.2024\nOTHER;9187629;DPRK;01.01.2018\nUNDATED;8814275;Article 3s;soon\n")
+    got = {r.imo: tuple(r)[1:] for r in lists.read_eu_vessels(spark, str(eu)).collect()}
+    assert got == {"9074729": ("dma-eu-9074729", "FIRST", "9074729", None, "Article 3s of 833/2014", dt.date(2024, 6, 24)), "8814275": ("dma-eu-8814275", "UNDATED", "8814275", None, "Article 3s", None)}
+    eu.write_text("a;b\n1;2\n")
+    with pytest.raises(ListError, match="lacks"):
+        lists.read_eu_vessels(spark, str(eu))

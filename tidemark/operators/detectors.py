@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import angle_between, bearing_deg, boundaries_crossed, clip, grid_cell, haversine_m, known_text, micros, normal_text, seconds_between, time_bucket, valid_imo
-from tidemark.operators.aggregates import fit_circles, supported_ratio
+from tidemark.operators.aggregates import fit_circles, modal_value, supported_ratio
 from tidemark.operators.geometry import distance_to_land
 from tidemark.operators.joins import asof_join, next_event, overlapping_pairs, points_in_intervals, proximity_pairs
 from tidemark.operators.timeline import pair_with_previous, sessionize
@@ -141,9 +141,12 @@ def coastal_flag(cells: DataFrame, land: DataFrame, max_m: float = 10_000.0, pol
     return cells.join(near, ["cell_lat", "cell_lon"], "left").withColumn("is_coastal", F.coalesce(F.col("distance_to_land_m") <= max_m, F.lit(False)))
 
 
-def slots(df: DataFrame, key: str, ts: str, lat: str, lon: str, sog: str, minutes: int = 10) -> DataFrame:
-    """Medians of position and speed per key and time slot, and the highest speed."""
+def slots(df: DataFrame, key: str, ts: str, lat: str, lon: str, sog: str, minutes: int = 10, status: str | None = None) -> DataFrame:
+    """Medians of position and speed per key and time slot, and the highest speed; with a status its most frequent value, ties to the smallest."""
     slot = time_bucket(F.col(ts), minutes * 60).alias("slot")
+    if status:
+        modal = modal_value(df.select(key, slot, status), [key, "slot"], status).drop("n")
+        return slots(df, key, ts, lat, lon, sog, minutes).join(modal, [key, "slot"], "left")
     return df.groupBy(key, slot).agg(F.median(lat).alias("latitude"), F.median(lon).alias("longitude"), F.median(sog).alias("sog"), F.max(sog).alias("max_sog"))
 
 
@@ -331,6 +334,25 @@ def unexplained_draught_changes(
     return left.select(key, "voyage_id", "next_voyage_id", F.col("end_time").alias("event_time"), F.col("end_latitude").alias("latitude"), F.col("end_longitude").alias("longitude"), "old_draught", "new_draught", "change_m", F.least(F.abs("change_m") / full_m, F.lit(1.0)).alias("confidence"))
 
 
+def fleet_dossiers(presence: DataFrame, identity: DataFrame, sanctions: DataFrame, events: DataFrame, key: str = "mmsi") -> DataFrame:
+    """A row for each sanctioned vessel that was heard, by its number or else its key: when, under which keys and flags, and what it did.
+
+    identity has key, imo, flag and name; sanctions imo, source and designation_date; events key and
+    kind. Keys go by hours heard, flags by when they were first heard; lead_days are those from the
+    first day heard to the earliest designation, positive if it came after.
+    """
+    ids = identity.groupBy(key).agg(F.max("imo").alias("imo"), F.max("flag").alias("flag"), F.max("name").alias("name"))
+    listed = sanctions.where(F.col("imo").isNotNull()).groupBy("imo").agg(F.min("designation_date").alias("designated"), F.array_sort(F.collect_set(F.struct("designation_date", "source"))).alias("designations"))
+    seen = presence.groupBy(key).agg(F.count_distinct("cell_hour").alias("hours"), F.min(F.col("cell_hour").cast("date")).alias("first"), F.max(F.col("cell_hour").cast("date")).alias("last"))
+    did = events.groupBy(key).agg(F.count("*").alias("n_events"))
+    each = ids.join(listed, "imo").join(seen, key).join(did, key, "left")
+    days = presence.join(ids.select(key, "imo"), key).groupBy("imo").agg(F.count_distinct(F.col("cell_hour").cast("date")).alias("n_days"))
+    by_hours, by_time = F.array_sort(F.collect_list(F.struct((-F.col("hours")).alias("h"), F.col(key).alias("k")))), F.array_sort(F.collect_list(F.struct("first", "flag")))
+    out = each.groupBy("imo", "designated", "designations").agg(by_hours.alias("keys"), by_time.alias("flags"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("hours").alias("hours"), F.sum(F.coalesce("n_events", F.lit(0))).alias("n_events"), F.min_by("name", F.struct(-F.col("hours"), key)).alias("name"))
+    told = F.array_distinct(F.filter(F.transform("flags", lambda x: x.flag), lambda x: x.isNotNull()))
+    return out.join(days, "imo").select("imo", "name", F.transform("keys", lambda x: x.k).alias(f"{key}s"), told.alias("flags"), "first", "last", "n_days", "hours", "n_events", "designated", F.transform("designations", lambda x: F.concat_ws(" ", x.designation_date, x.source)).alias("designations"), F.date_diff("designated", "first").alias("lead_days"))
+
+
 def gate_crossings(df: DataFrame, key: str, ts: str, lat: str, lon: str, gate: float = 14.0, lat_low: float = 54.3, lat_high: float = 56.0, max_hours: float = 2.0) -> DataFrame:
     """Consecutive positions on both sides of a meridian, at most max_hours apart: E for eastward, W for westward."""
     p = pair_with_previous(df.where(F.col(lat).between(lat_low, lat_high)), [key], ts, [lon])

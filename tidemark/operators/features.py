@@ -52,6 +52,60 @@ def panel(spine: DataFrame, key: str, counts: dict[str, tuple[DataFrame, str, Co
     return out.drop("cutoff")
 
 
+#: The kinds of events that a vessel's panel counts, the counts that get rates, and the probability from which a gap counts as deliberate.
+SPOOFING_KINDS = ("impossible_speed", "on_land", "synthetic_circle", "simultaneous_position")
+IDENTITY_KINDS = ("no_valid_imo", "name_change", "name_flapping", "callsign_change", "callsign_flapping", "reused_mmsi", "shared_imo", "shared_identity")
+BEHAVIOUR_KINDS = ("destination_course_mismatch", "draught_change_unexplained")
+RATED = ("n_gaps", "n_gaps_high_probability", "n_spoofing_events_total", "n_sts_episodes", "n_identity_anomalies_total", "n_destination_course_mismatch", "n_draught_change_unexplained")
+HIGH_PROBABILITY = 0.6
+
+
+def vessel_panel(
+    spine: DataFrame, roster: DataFrame, flags: DataFrame, types: DataFrame, voyages: DataFrame, presence: DataFrame, gaps: DataFrame, spoofing: DataFrame,
+    encounters: DataFrame, identity: DataFrame, behaviour: DataFrame, matches: DataFrame, window_end: str, key: str = "mmsi",
+) -> DataFrame:
+    """A row for each vessel of the roster and month of the spine: who it is, what was knowable of it by the month's end, rates, and labels.
+
+    Counts, means and maxima are of gaps by their end, spoofing by its time, encounters of either side
+    by their end, identity and behaviour by when they were knowable: all in one sorted sequence for
+    each vessel, not a join for each table. A rate is a count by voyages, by days heard, and by
+    thousands of messages, and null where nothing divides it. Labels, all named label_, are by the
+    roster's number; what isn't known is no event, and what has no events has zero counts and null means.
+    """
+    row = lambda df, k, ts, table, kind, value: df.select(F.col(k).alias(key), F.col(ts).alias("at"), F.lit(table).alias("table"), kind.alias("kind"), value.cast("double").alias("value"))
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    longest = F.struct("gap_end", "probability", "duration_hours")
+    g = gaps.select(key, longest.alias("g"), F.explode(F.array(F.struct(F.lit("gap").alias("t"), F.col("probability").cast("double").alias("v")), F.struct(F.lit("length").alias("t"), F.col("duration_hours").cast("double").alias("v")))).alias("e"))
+    events = g.select(key, F.col("g.gap_end").alias("at"), F.col("e.t").alias("table"), text.alias("kind"), F.col("e.v").alias("value"))
+    sides = encounters.select(F.explode(F.array_distinct(F.array("mmsi_a", "mmsi_b"))).alias("side"), "end_time", "confidence")
+    for part in (row(spoofing, key, "event_time", "spoofing", F.col("kind"), none), row(sides, "side", "end_time", "sts", text, F.col("confidence")), row(identity, key, "knowable_at", "identity", F.col("kind"), none), row(behaviour, key, "knowable_at", "behaviour", F.col("kind"), none)):
+        events = events.unionByName(part)
+    of = lambda table, kind=None: (F.col("table") == table) if kind is None else (F.col("table") == table) & (F.col("kind") == kind)
+    value = lambda table: F.when(of(table), F.col("value"))
+    wanted = {
+        "n_gaps": ("count", of("gap")), "n_gaps_high_probability": ("count", of("gap") & (F.col("value") >= HIGH_PROBABILITY)), "gap_total": ("sum", value("gap")), "max_gap_duration_hours": ("max", value("length")),
+        **{f"n_{k}": ("count", of("spoofing", k)) for k in SPOOFING_KINDS}, "n_spoofing_events_total": ("count", of("spoofing")),
+        "n_sts_episodes": ("count", of("sts")), "sts_total": ("sum", value("sts")), "max_sts_confidence": ("max", value("sts")),
+        **{f"n_{k}": ("count", of("identity", k)) for k in IDENTITY_KINDS}, "n_identity_anomalies_total": ("count", of("identity")), **{f"n_{k}": ("count", of("behaviour", k)) for k in BEHAVIOUR_KINDS},
+    }
+    counted = running_counts_at(spine.join(roster.select(key), key, "left_semi"), events, [key], "cutoff", "at", wanted)
+    counted = counted.withColumns({"mean_gap_probability": ratio(F.col("gap_total"), F.col("n_gaps")), "mean_sts_confidence": ratio(F.col("sts_total"), F.col("n_sts_episodes"))}).drop("gap_total", "sts_total", "cutoff")
+    heard = exposure(presence, key).select(key, "year_month", F.col("hours_present").alias("n_observed_hours"), F.col("days_present").alias("n_observed_days"))
+    who = roster.select(key, "imo", "is_orphaned", "is_reused", F.col("message_count").alias("total_message_count"))
+    trips = voyages.groupBy(key).agg(F.count("*").alias("voyage_count"))
+    out = counted.join(who, key).join(flags.select(key, "flag_country"), key, "left").join(types.select(key, "ship_type"), key, "left").join(trips, key, "left").join(heard, [key, "year_month"], "left")
+    out = out.fillna(0, ["voyage_count", "n_observed_hours", "n_observed_days"])
+    per = {"voyage": F.col("voyage_count"), "observed_day": F.col("n_observed_days"), "1000_messages": F.col("total_message_count") / 1000}
+    out = out.withColumns({f"rate_{c.removeprefix('n_')}_per_{name}": ratio(F.col(c), by) for c in RATED for name, by in per.items()})
+    listed = matches.where(F.col("imo").isNotNull()).groupBy("imo").agg(F.min("designation_date").alias("label_earliest_designation_date"), F.count_distinct(F.concat_ws(":", "source", "source_id")).alias("label_n_sanctions_sources"), F.lit(True).alias("label_is_sanctioned_ever"))
+    first, end = F.col("label_earliest_designation_date"), F.lit(window_end).cast("date")
+    no = F.lit(False)
+    return out.join(listed, "imo", "left").withColumns({
+        "label_is_sanctioned_ever": F.coalesce("label_is_sanctioned_ever", no), "label_n_sanctions_sources": F.coalesce("label_n_sanctions_sources", F.lit(0)),
+        "label_is_sanctioned_as_of_window_end": F.coalesce(first <= end, no), "label_is_sanctioned_after_window_end": F.coalesce(first > end, no),
+    })
+
+
 def static_features(df: DataFrame, key: str, length: str, width: str, draught: str, destination: str) -> DataFrame:
     """Medians of plausible sizes, and whether any destination matches a pattern or is blank."""
     positive = lambda c: F.median(F.when(F.col(c) > 0, F.col(c)))

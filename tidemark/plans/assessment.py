@@ -304,3 +304,71 @@ def build_years(read):
     right = o.select(F.concat("serial", check.cast("string")).alias("imo"), F.when(k % 3 > 0, dated(year)).alias("service_entry"), F.when(k % 4 > 0, dated(year - (k % 5).cast("int"))).alias("inception"))
     wrong = o.select(F.concat("serial", ((check + 1) % 10).cast("string")).alias("imo"), dated(year).alias("service_entry"), dated(year).alias("inception"))
     return reconcile_build_years(right.unionByName(wrong))
+
+
+_KINDS = {"spoofing": ft.SPOOFING_KINDS, "identity": ft.IDENTITY_KINDS, "behaviour": ft.BEHAVIOUR_KINDS}
+_TYPES = {"spoofing": "error", "identity": "click", "behaviour": "view"}
+
+
+def _kind_sql(table: str) -> str:
+    kinds = _KINDS[table]
+    return f"[{', '.join(repr(k) for k in kinds)}][event_id % {len(kinds)} + 1]"
+
+
+_PANEL = f"""WITH {_TRIPS}, {_P}, w AS (SELECT mmsi, imo, ship_type, count(*) AS message_count, mmsi % 7 = 0 AS is_orphaned, mmsi % 5 = 0 AS is_reused, CASE mmsi % 3 WHEN 0 THEN 'Panama' WHEN 1 THEN 'Denmark' END AS flag_country FROM p GROUP BY ALL),
+mo AS (SELECT mmsi, CAST(ym AS DATE) AS year_month, least(last_day(ym), DATE '2024-02-20') AS month_end FROM w, (SELECT unnest(generate_series(DATE '2023-12-01', DATE '2024-02-01', INTERVAL 1 MONTH)) AS ym)),
+gp AS (SELECT mmsi, lead(start_time) OVER (PARTITION BY mmsi ORDER BY start_time) AS knew, (epoch_us(lead(start_time) OVER (PARTITION BY mmsi ORDER BY start_time)) - epoch_us(end_time)) / 3.6e9 AS hours, (mmsi % 10) / 10.0 AS probability FROM tr QUALIFY knew IS NOT NULL),
+ev AS (SELECT mmsi, knew, 'gap' AS t, NULL AS kind, probability AS v, hours AS h FROM gp
+  UNION ALL SELECT mmsi, timestamp, 'spoofing', {_kind_sql("spoofing")}, NULL, NULL FROM p WHERE name = 'error' UNION ALL SELECT mmsi, timestamp, 'identity', {_kind_sql("identity")}, NULL, NULL FROM p WHERE name = 'click'
+  UNION ALL SELECT mmsi, timestamp, 'behaviour', {_kind_sql("behaviour")}, NULL, NULL FROM p WHERE name = 'view'
+  UNION ALL SELECT unnest(list_distinct([mmsi, 219000000 + mmsi * 3 % 97])), timestamp, 'sts', NULL, (event_id % 10) / 10.0, NULL FROM p WHERE name = 'purchase'),
+c AS (SELECT m.mmsi, m.year_month, m.month_end, count(*) FILTER (t = 'gap') AS n_gaps, count(*) FILTER (t = 'gap' AND v >= 0.6) AS n_gaps_high_probability, round(avg(v) FILTER (t = 'gap'), 6) AS mean_gap_probability, round(max(h), 6) AS max_gap_duration_hours,
+  {", ".join(f"count(*) FILTER (t = '{t}' AND kind = '{k}') AS n_{k}" for t, ks in _KINDS.items() for k in ks)}, count(*) FILTER (t = 'spoofing') AS n_spoofing_events_total, count(*) FILTER (t = 'identity') AS n_identity_anomalies_total,
+  count(*) FILTER (t = 'sts') AS n_sts_episodes, round(avg(v) FILTER (t = 'sts'), 6) AS mean_sts_confidence, round(max(v) FILTER (t = 'sts'), 6) AS max_sts_confidence FROM mo m LEFT JOIN ev ON ev.mmsi = m.mmsi AND ev.knew < CAST(month_end AS TIMESTAMP) + INTERVAL 1 DAY GROUP BY ALL),
+x AS (SELECT mmsi, CAST(date_trunc('month', timestamp) AS DATE) AS year_month, count(DISTINCT date_trunc('hour', timestamp)) AS n_observed_hours, count(DISTINCT date) AS n_observed_days FROM p GROUP BY ALL),
+vc AS (SELECT mmsi, count(*) AS voyage_count FROM tr GROUP BY mmsi),
+l AS (SELECT imo, min(DATE '2024-01-05' + CAST(mmsi % 60 AS INT)) AS d, count(DISTINCT mmsi % 2) AS k FROM w WHERE mmsi % 6 = 0 GROUP BY imo),
+f AS (SELECT c.*, w.imo, is_orphaned, is_reused, message_count AS total_message_count, flag_country, ship_type, coalesce(voyage_count, 0) AS voyage_count, coalesce(n_observed_hours, 0) AS n_observed_hours, coalesce(n_observed_days, 0) AS n_observed_days,
+  d IS NOT NULL AS label_is_sanctioned_ever, d AS label_earliest_designation_date, coalesce(d <= DATE '2024-02-01', false) AS label_is_sanctioned_as_of_window_end, coalesce(d > DATE '2024-02-01', false) AS label_is_sanctioned_after_window_end, coalesce(k, 0) AS label_n_sanctions_sources
+  FROM c JOIN w USING (mmsi) LEFT JOIN vc USING (mmsi) LEFT JOIN x USING (mmsi, year_month) LEFT JOIN l ON l.imo = w.imo)
+SELECT *, {", ".join(f"round({c} / nullif({d}, 0), 6) AS rate_{c.removeprefix('n_')}_per_{n}" for c in ft.RATED for n, d in (("voyage", "voyage_count"), ("observed_day", "n_observed_days"), ("1000_messages", "total_message_count / 1000.0")))} FROM f"""
+
+
+@query(_PANEL)
+def vessel_panel(read):
+    """The whole panel: identity, counts, means, maxima, rates and labels of every vessel and month."""
+    p = _positions(read)
+    who = p.groupBy("mmsi", "imo", "ship_type").agg(F.count("*").alias("message_count"))
+    k = F.col("mmsi")
+    roster = who.withColumns({"is_orphaned": k % 7 == 0, "is_reused": k % 5 == 0, "flag_country": F.when(k % 3 == 0, "Panama").when(k % 3 == 1, "Denmark")})
+    trips = _sessions(read).select((F.col("user_id") + 219000000).alias("mmsi"), "start_time", "end_time")
+    gaps = tl.session_gaps(_sessions(read), "user_id").select((F.col("user_id") + 219000000).alias("mmsi"), "gap_end", ((F.unix_micros(F.col("gap_end").cast("timestamp")) - F.unix_micros(F.col("gap_start").cast("timestamp"))) / 3.6e9).alias("duration_hours")).withColumn("probability", k % 10 / 10)
+    pick = lambda t: F.get(F.array(*(F.lit(x) for x in _KINDS[t])), (F.col("event_id") % len(_KINDS[t])).cast("int")).alias("kind")
+    of = lambda t, ts: p.where(F.col("name") == _TYPES[t]).select("mmsi", pick(t), F.col("timestamp").alias(ts))
+    met = p.where("name = 'purchase'").select(k.alias("mmsi_a"), (219000000 + k * 3 % 97).alias("mmsi_b"), F.col("timestamp").alias("end_time"), (F.col("event_id") % 10 / 10).alias("confidence"))
+    matches = roster.where(k % 6 == 0).select("imo", (k % 2).cast("string").alias("source"), F.lit("1").alias("source_id"), F.date_add(F.lit("2024-01-05").cast("date"), (k % 60).cast("int")).alias("designation_date"))
+    spine = ft.month_spine(roster.select("mmsi"), "2023-12-01", "2024-02-20")
+    out = ft.vessel_panel(spine, roster, roster, roster, trips, dt.presence(p, [], "timestamp", "mmsi"), gaps, of("spoofing", "event_time"), met, of("identity", "knowable_at"), of("behaviour", "knowable_at"), matches, "2024-02-01")
+    return _rounded(out, [c for c in out.columns if c.startswith(("rate_", "mean_", "max_"))])
+
+
+@query(f"""WITH {_P}, h AS (SELECT mmsi, date_trunc('hour', timestamp) AS hour, CAST(timestamp AS DATE) AS day FROM p GROUP BY ALL), i AS (SELECT mmsi, imo, CASE mmsi % 3 WHEN 0 THEN 'PA' WHEN 1 THEN 'DK' END AS flag, 'SHIP ' || (mmsi % 40) AS name FROM p GROUP BY ALL),
+s AS (SELECT imo, unnest(['a', 'b']) AS source, unnest([DATE '2024-01-02', DATE '2024-02-02']) + CAST(mmsi % 30 AS INT) AS d FROM i WHERE mmsi % 4 = 0), l AS (SELECT imo, min(d) AS designated, array_to_string(list_sort(list_distinct(list(CAST(d AS VARCHAR) || ' ' || source))), ',') AS designations FROM s GROUP BY imo),
+k AS (SELECT mmsi, count(DISTINCT hour) AS hours, min(day) AS first, max(day) AS last FROM h GROUP BY mmsi), e AS (SELECT mmsi, count(*) AS n FROM p WHERE name = 'error' GROUP BY mmsi), j AS (SELECT imo, count(DISTINCT day) AS n_days FROM h JOIN i USING (mmsi) GROUP BY imo),
+f AS (SELECT imo, flag, min(first) AS first FROM k JOIN i USING (mmsi) WHERE flag IS NOT NULL GROUP BY ALL)
+SELECT imo, arg_min(name, (-hours, mmsi)) AS name, string_agg(mmsi, ',' ORDER BY hours DESC, mmsi) AS mmsis, coalesce((SELECT string_agg(flag, ',' ORDER BY f.first, flag) FROM f WHERE f.imo = i.imo), '') AS flags, min(first) AS first, max(last) AS last, max(n_days) AS n_days, CAST(sum(hours) AS BIGINT) AS hours, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_events, designated, designations, designated - min(first) AS lead_days
+FROM i JOIN l USING (imo) JOIN k USING (mmsi) JOIN j USING (imo) LEFT JOIN e USING (mmsi) GROUP BY imo, designated, designations""")
+def fleet_dossiers(read):
+    p = _positions(read)
+    k = F.col("mmsi")
+    ids = p.select("mmsi", "imo", F.when(k % 3 == 0, "PA").when(k % 3 == 1, "DK").alias("flag"), F.concat(F.lit("SHIP "), (k % 40).cast("string")).alias("name")).distinct()
+    day = lambda text: F.date_add(F.lit(text).cast("date"), (k % 30).cast("int"))
+    listed = ids.where(k % 4 == 0).select("imo", F.explode(F.array(*(F.struct(F.lit(s).alias("source"), day(d).alias("designation_date")) for s, d in (("a", "2024-01-02"), ("b", "2024-02-02"))))).alias("x")).select("imo", "x.*")
+    out = dt.fleet_dossiers(dt.presence(p, [], "timestamp", "mmsi"), ids, listed, p.where("name = 'error'"))
+    return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("mmsis", "flags", "designations")}).withColumn("lead_days", F.col("lead_days").cast("long"))
+
+
+@query(f"""WITH {_P}, c AS (SELECT mmsi, CAST(time_bucket(INTERVAL 1 DAY, timestamp) AS TIMESTAMP) AS slot, name, count(*) AS n FROM p GROUP BY ALL), m AS (SELECT mmsi, slot, arg_min(name, (-n, name)) AS name FROM c GROUP BY ALL)
+SELECT mmsi, slot, round(median(sog), 6) AS sog, m.name FROM p JOIN m USING (mmsi) WHERE CAST(time_bucket(INTERVAL 1 DAY, timestamp) AS TIMESTAMP) = slot GROUP BY ALL""")
+def slot_status(read):
+    return dt.slots(_positions(read), "mmsi", "timestamp", "latitude", "longitude", "sog", 1440, "name").select("mmsi", "slot", r6("sog").alias("sog"), "name")

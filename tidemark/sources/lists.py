@@ -101,6 +101,22 @@ def read_schedule_list(spark: SparkSession, path: str) -> DataFrame:
     return one.select(F.lit("ca").alias("source"), source_id.alias("source_id"), F.coalesce("name", F.lit("")).alias("vessel_name"), "imo", F.lit(None).cast("string").alias("flag"), F.coalesce(F.concat(F.lit("SEMA Schedule "), F.col("schedule")), F.lit("UNKNOWN")).alias("program"), F.col("date").alias("designation_date"))
 
 
+def read_eu_vessels(spark: SparkSession, path: str, program: str = "Article 3s") -> DataFrame:
+    """A list of designated vessels in CSV with semicolons: those under a program, one row a number, by their earliest date.
+
+    Header names are trimmed. A vessel without any date has a null one, for a gate to drop.
+    """
+    raw = spark.read.option("header", True).option("sep", ";").option("multiLine", True).option("escape", '"').csv(path)
+    rows = raw.toDF(*(c.strip().lstrip("\ufeff") for c in raw.columns))
+    missing = {"IMO number", "Date of application", "Vessel name", "Subject to"} - set(rows.columns)
+    if missing:
+        raise ListError(f"{path} lacks {sorted(missing)}")
+    r = rows.select(F.trim(F.regexp_replace(F.trim(F.coalesce("IMO number", F.lit(""))), "^IMO", "")).alias("imo"), F.try_to_timestamp(F.trim("Date of application"), F.lit("dd.MM.yyyy")).cast("date").alias("date"), F.trim(F.coalesce("Vessel name", F.lit(""))).alias("name"), F.trim("Subject to").alias("program"), F.monotonically_increasing_id().alias("n"))
+    r = r.where(F.col("program").startswith(program))
+    one = r.groupBy("imo").agg(F.min_by(F.struct("date", "name", "program"), F.struct(F.col("date").isNull().alias("undated"), "date", "n")).alias("r")).select("imo", "r.*")
+    return one.select(F.lit("eu_vessels").alias("source"), F.concat(F.lit("dma-eu-"), F.coalesce(blank_to_null(F.col("imo")), F.lit("unknown"))).alias("source_id"), F.col("name").alias("vessel_name"), "imo", F.lit(None).cast("string").alias("flag"), "program", F.col("date").alias("designation_date"))
+
+
 PAGE = "results struct<bindings: array<struct<item: struct<value: string>, imo: struct<value: string>, p729: struct<value: string>, p571: struct<value: string>>>>"
 
 

@@ -15,6 +15,8 @@ from tidemark.sources.sinks import path_exists
 #: The raw position files' columns, after `header_name`, and how they write time.
 POSITION_SCHEMA = "timestamp timestamp_ntz, type_of_mobile string, mmsi long, latitude double, longitude double, navigational_status string, sog double, cog double, ship_type string"
 POSITION_TIME = "dd/MM/yyyy HH:mm:ss"
+#: Columns that a list with a preamble may have.
+MOST_COLUMNS = 100
 
 
 def header_name(name: str) -> str:
@@ -71,11 +73,14 @@ def read_eu_list(spark: SparkSession, path: str) -> DataFrame:
 
 def read_uk_list(spark: SparkSession, path: str) -> DataFrame:
     """A list in CSV under one line of preamble: ships, one row per id with its primary name and its earliest date."""
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
-    head = lines.where(F.col("value").contains("Unique ID")).orderBy("n").limit(1).first()
-    names = next(iter(spark.createDataFrame([(head.value,)], "v string").select(F.from_csv("v", F.lit(", ".join(f"c{i} string" for i in range(head.value.count(",") + 1)))).alias("x")).select("x.*").collect()))
-    schema = ", ".join(f"`{n}` string" for n in names if n)
-    rows = lines.where(F.col("n") > head.n).select(F.from_csv("value", F.lit(schema), {"mode": "PERMISSIVE"}).alias("r")).select("r.*").where(F.col("Designation Type") == "Ship")
+    # a file is read in order by one task, as quoted fields may hold line breaks; the preamble has fewer fields than the rest
+    wide = ", ".join(f"c{i} string" for i in range(MOST_COLUMNS))
+    lines = spark.read.schema(wide).option("multiLine", True).option("escape", '"').csv(path).withColumn("n", F.monotonically_increasing_id())
+    head = lines.where(F.array_contains(F.array(*(f"c{i}" for i in range(MOST_COLUMNS))), "Unique ID")).orderBy("n").limit(1).first()
+    if head is None:
+        raise ValueError(f"{path} has no header with a Unique ID")
+    names = {i: head[f"c{i}"] for i in range(MOST_COLUMNS) if head[f"c{i}"]}
+    rows = lines.where(F.col("n") > head.n).select(*(F.col(f"c{i}").alias(name) for i, name in names.items())).where(F.col("Designation Type") == "Ship")
     date = F.coalesce(F.try_to_timestamp("Date Designated", F.lit("dd/MM/yyyy")).cast("date"), F.col("Date Designated").try_cast("date"))
     primary = F.struct(F.when(F.col("Name type") == "Primary name", 0).otherwise(1).alias("p"), F.col("Name 6").alias("n"))
     return rows.groupBy(F.col("Unique ID").alias("source_id")).agg(F.min_by("Name 6", primary).alias("vessel_name"), F.min("IMO number").alias("imo"), F.first("Current believed flag of ship", ignorenulls=True).alias("flag"), F.min(date).alias("designation_date")).withColumn("source", F.lit("UK"))
