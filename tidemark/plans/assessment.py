@@ -99,7 +99,14 @@ def rank_tests(read):
     return out.select("feature", "n_positive", "n_negative", *(r6(c).alias(c) for c in ("u", "auc", "z")))
 
 
-@query()
+@query(f"""WITH mk AS (SELECT doc_id, quality AS y, unnest(['length', 'lines', 'dealt']) AS feature, unnest([CAST(n_chars AS DOUBLE), len(text) - len(replace(text, chr(10), '')), doc_id * 7 % 101]) AS score FROM documents JOIN labels USING (doc_id)), {_REPLICATES},
+w AS (SELECT *, {_weight("doc_id", "y")} AS w FROM mk, k), l AS (SELECT replicate, feature, score, CAST(sum(w * y) AS DOUBLE) AS p, CAST(sum(w * (1 - y)) AS DOUBLE) AS n FROM w WHERE w > 0 GROUP BY ALL),
+a AS (SELECT replicate, feature, sum(p * (below + n / 2)) / nullif(sum(p) * sum(n), 0) AS auc FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY replicate, feature ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM l) GROUP BY replicate, feature),
+i AS (SELECT feature, quantile_cont(auc, 0.025) AS low, quantile_cont(auc, 0.975) AS high FROM a GROUP BY feature),
+r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY score) + (count(*) OVER (PARTITION BY feature, score) - 1) / 2 AS ar FROM mk),
+g AS (SELECT feature, count(*) FILTER (y = 1) AS n_positive, count(*) FILTER (y = 0) AS n_negative, sum(ar) FILTER (y = 1) AS r FROM r GROUP BY feature)
+SELECT feature, n_positive, n_negative, round((r - n_positive * (n_positive + 1) / 2) / (CAST(n_positive AS DOUBLE) * n_negative), 6) AS auc, round(low, 6) AS low, round(high, 6) AS high,
+  CASE WHEN least(n_positive, n_negative) < 20 THEN 'insufficient_data' WHEN low > 0.5 THEN 'discriminates_as_expected' WHEN high < 0.5 THEN 'discriminates_opposite' ELSE 'no_discrimination' END AS verdict FROM g JOIN i USING (feature)""")
 def feature_verdicts(read):
     out = rs.feature_verdicts(_features(read), ["length", "lines", "dealt"], "y", ["doc_id"], replicates=REPLICATES)
     return out.select("feature", "n_positive", "n_negative", *(r6(c).alias(c) for c in ("auc", "low", "high")), "verdict")

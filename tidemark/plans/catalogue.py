@@ -408,7 +408,8 @@ def matched_groups(read):
     return ev.matched_groups(d, "tile", "grp", "y")
 
 
-@query()
+@query("""WITH s AS (SELECT doc_id, 'salt|' || CAST(doc_id AS VARCHAR) AS s FROM documents)
+SELECT doc_id, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])::BIGINT)), lambda r, b: list_reduce(list_concat([xor(r, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) % 2 AS part FROM s""")
 def crc_split(read):
     salted = F.concat(F.lit("salt|"), F.col("doc_id").cast("string"))
     return read("documents").select("doc_id", (F.crc32(salted.cast("binary")) % 2).alias("part"))
