@@ -58,6 +58,12 @@ def test_sinks(spark, tmp_path):
     t = spark.createDataFrame([(1, dt.datetime(2024, 6, 1), 55.0, 12.0), (1, dt.datetime(2024, 6, 1, 1), 60.0, 14.0)], "k long, t timestamp_ntz, lat double, lon double")
     (r,) = sinks.pack_tracks(t, "k", "t", "lat", "lon", (50.0, 10.0, 60.0, 14.0)).collect()
     assert [int.from_bytes(r.planes[i : i + 2], "little") for i in range(0, 12, 2)] == [32768, 65535, 32768, 65535, 0, 60]
+    long = spark.createDataFrame([(1, dt.datetime(2024, 1, 1) + dt.timedelta(hours=8 * i), 55.0, 12.0) for i in range(300)] + [(None, dt.datetime(2024, 1, 1), 55.0, 12.0)], "k long, t timestamp_ntz, lat double, lon double")
+    parts = sorted(sinks.pack_tracks(long, "k", "t", "lat", "lon", (50.0, 10.0, 60.0, 14.0), 100).collect(), key=lambda r: r.start)
+    assert sum(r.n for r in parts) == 301 and max(r.n for r in parts) <= 100 and all(len(r.planes) == 6 * r.n for r in parts)
+    assert [r.n for r in parts if r.k is None] == [1]
+    minutes = [int.from_bytes(r.planes[-2:], "little") for r in parts]
+    assert all(m == (r.n - 1) * 480 < 65535 for m, r in zip(minutes, parts)) and len(parts) > 3
 
 
 def message(kind, mmsi, at, **body):

@@ -9,6 +9,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.aggregates import totals_before
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path or glob matches anything, in whatever store it names."""
@@ -65,16 +67,26 @@ def export_json(df: DataFrame, path: str, most: int = 1_000_000) -> int:
     return len(rows)
 
 
-def pack_tracks(df: DataFrame, key: str, ts: str, lat: str, lon: str, box: tuple[float, float, float, float]) -> DataFrame:
-    """Each key's track as little-endian 16-bit planes of longitude, latitude and seconds since its start in minutes, over a box."""
+def pack_tracks(df: DataFrame, key: str, ts: str, lat: str, lon: str, box: tuple[float, float, float, float], most: int = 50_000) -> DataFrame:
+    """(key, part, start, n, planes): tracks as little-endian 16-bit planes of longitude, latitude and minutes since the part's start, over a box.
+
+    A part has at most `most` points and spans at most 65,535 minutes of its key's time, so a row is
+    bounded however long a key has been heard.
+    """
     south, west, north, east = box
-    ordered = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))))
+    points = df.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+    first = points.groupBy(F.col("key").alias("own")).agg(F.min("t").alias("first"))
+    placed = totals_before(points, ["t", "lat", "lon"], {"before": F.lit(1)}, ["key"]).join(first, F.col("key").eqNullSafe(F.col("own")))
+    part = F.struct(F.floor((F.col("t") - F.col("first")) / (65_535 * 6e7)).alias("span"), F.floor(F.col("before") / most).alias("block"))
+    ordered = F.array_sort(F.collect_list(F.struct("t", "lat", "lon")))
     scale = lambda x, low, high: F.rint((x - low) / (high - low) * 65535)
 
     def plane(value):
         whole = lambda p: F.greatest(F.least(value(p), F.lit(65535)), F.lit(0)).cast("long")
         byte = lambda v: F.lpad(F.hex(v), 2, "0")
-        return F.array_join(F.transform("__p", lambda p: F.concat(byte(whole(p).bitwiseAND(F.lit(255))), byte(F.call_function("shiftright", whole(p), F.lit(8))))), "")
+        return F.array_join(F.transform("p", lambda p: F.concat(byte(whole(p).bitwiseAND(F.lit(255))), byte(F.call_function("shiftright", whole(p), F.lit(8))))), "")
 
-    planes = F.concat(plane(lambda p: scale(p.lon, west, east)), plane(lambda p: scale(p.lat, south, north)), plane(lambda p: F.floor((p.t - F.col("__p")[0].t) / 6e7)))
-    return df.groupBy(key).agg(F.count("*").alias("n"), ordered.alias("__p")).select(key, "n", F.unhex(planes).alias("planes"))
+    start = F.col("p")[0].t
+    planes = F.concat(plane(lambda p: scale(p.lon, west, east)), plane(lambda p: scale(p.lat, south, north)), plane(lambda p: F.floor((p.t - start) / 6e7)))
+    rows = placed.groupBy("key", part.alias("part")).agg(F.count("*").alias("n"), ordered.alias("p"))
+    return rows.select(F.col("key").alias(key), "part", F.timestamp_micros(start).cast("timestamp_ntz").alias("start"), "n", F.unhex(planes).alias("planes"))
