@@ -49,3 +49,13 @@ def test_repeated_ids_and_large_values(spark):
     assert [r[2] for r in run(spark, df(rows[:3]))] == [1, 1]  # rows of one id, each a candidate
     large = [(3, [1e12, 0.0]), (40, [1e300, 1.0]), (4, [-(2.0**40), 2.0**40])]
     assert run(spark, df(rows + large)) == brute(rows)  # beyond 64 bits: no part
+
+
+def test_ties_in_one_chunk_and_closed_annuli(spark, monkeypatch):
+    rows = [(i, [1.0, 0.0]) for i in range(100)]
+    df = lambda r: spark.createDataFrame([(i, x, "", "", 0) for i, x in r], SCHEMA)
+    assert run(spark, df(rows)) == brute(rows)  # the query's own row takes no place among the 20
+    monkeypatch.setattr(tp, "ANNULUS", 30)
+    rng = random.Random(3)
+    rows = [(i, [rng.randrange(-64, 65) / 64 for _ in range(3)]) for i in range(900)]
+    assert run(spark, df(rows), pivots=2) == brute(rows)  # nor do the rows of annuli that a query skips

@@ -83,7 +83,7 @@ def products(queries: np.ndarray, vectors: np.ndarray, exact_floats: bool) -> np
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of each row's k best scores, ties to smaller ids."""
-    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), ~scores), axis=1)  # ~ as the smallest has no negative and would come first
     return order[:, :k]
 
 
