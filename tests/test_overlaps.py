@@ -27,3 +27,19 @@ def test_rows_that_overlap_make_no_pairs(spark):
     assert sorted(r.id for r in out.collect()) == [i for i, k, s, e in a if k and any(k == q and s <= f + wide and t <= e + wide for _, q, t, f in b)]
     met = spark.createDataFrame(b, schema).selectExpr("k as key_a", "k + 1 as key_b", "s as start_time", "e as end_time")
     assert "sequence" not in plan(d.during_encounter(spark.createDataFrame(a, schema), met, "id", "k", "s", "e"))
+
+
+def test_places_of_a_pair_are_not_broadcast(spark):
+    rng = random.Random(6)
+    rows = [(i, i % 3, 55 + rng.randrange(40) / 100, 10 + rng.randrange(60) / 100) for i in range(150)] + [(200, 1, None, 10.0)]
+    out = d.same_place_counts(spark.createDataFrame(rows, "id long, k long, lat double, lon double"), ["k"], "lat", "lon", 8_000.0)
+    far = lambda p, q: spark_haversine(p[2], p[3], q[2], q[3]) <= 8_000
+    assert {r.id: r.n_same_place for r in out.collect()} == {p[0]: sum(far(p, q) for q in rows[:-1] if p[1] == q[1]) for p in rows[:-1]}
+    assert "BroadcastHashJoin" not in plan(out).split("Generate")[0].split("SortMergeJoin")[-1] and "SortMergeJoin" in plan(out)
+
+
+def spark_haversine(a, b, c, e):
+    import math
+
+    x = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(e - b) / 2) ** 2
+    return 2 * 6_371_000 * math.asin(math.sqrt(x))
