@@ -43,3 +43,11 @@ def spark_haversine(a, b, c, e):
 
     x = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(e - b) / 2) ** 2
     return 2 * 6_371_000 * math.asin(math.sqrt(x))
+
+
+def test_episodes_read_their_pairs_once(spark):
+    rows = [(1, 2, at(h / 6), 100.0 + h, float(h), 2.0 * h, 55.0 + h, 10.0) for h in (0, 1, 2, 30)]
+    pairs = spark.createDataFrame(rows, "key_a long, key_b long, slot timestamp_ntz, separation_m double, sog_a double, sog_b double, latitude double, longitude double")
+    out = d.encounter_episodes(pairs)
+    assert "Join" not in plan(out)
+    assert sorted((r.n_slots, r.median_sog, r.median_separation_m, r.latitude) for r in out.collect()) == [(1, 45.0, 130.0, 85.0), (3, 1.5, 101.0, 56.0)]
