@@ -51,3 +51,14 @@ def test_episodes_read_their_pairs_once(spark):
     out = d.encounter_episodes(pairs)
     assert "Join" not in plan(out)
     assert sorted((r.n_slots, r.median_sog, r.median_separation_m, r.latitude) for r in out.collect()) == [(1, 45.0, 130.0, 85.0), (3, 1.5, 101.0, 56.0)]
+
+
+def test_movement_of_slots_is_what_the_context_join_finds(spark):
+    rng = random.Random(7)
+    rows = [(k, at(h), 55 + rng.randrange(4) / 100, 10.0, float(rng.randrange(5)), float(rng.randrange(5))) for k in range(6) for h in sorted(rng.sample(range(60), 25))]
+    slots = spark.createDataFrame(rows, "mmsi long, slot timestamp_ntz, latitude double, longitude double, sog double, max_sog double")
+    names = ("key_a", "key_b", "start_time", "approach_a", "approach_b", "departure_a", "departure_b")
+    carried = d.encounter_episodes(d.pair_slots(d.slot_movement(slots, "mmsi", 5), "mmsi", 3.0, 2000.0))
+    joined = d.context_slots(d.encounter_episodes(d.pair_slots(slots, "mmsi", 3.0, 2000.0)), slots, "mmsi", 5)
+    got = sorted(map(tuple, carried.select(*names).collect()))
+    assert got and got == sorted(map(tuple, joined.select(*names).collect()))
