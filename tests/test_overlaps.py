@@ -62,3 +62,14 @@ def test_movement_of_slots_is_what_the_context_join_finds(spark):
     joined = d.context_slots(d.encounter_episodes(d.pair_slots(slots, "mmsi", 3.0, 2000.0)), slots, "mmsi", 5)
     got = sorted(map(tuple, carried.select(*names).collect()))
     assert got and got == sorted(map(tuple, joined.select(*names).collect()))
+
+
+def test_pairs_list_five_cells_and_are_not_broadcast(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.uniform(0, 9), rng.uniform(0, 9)) for i in range(200)] + [(7, 1.0, 1.0), (8, 1.0, 1.0)]
+    near = lambda p, q: (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 <= 1
+    from pyspark.sql import functions as F
+
+    out = jn.proximity_pairs(spark.createDataFrame(rows, "id long, x double, y double"), "id", "x", "y", 1.0, F.expr("pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 1"))
+    assert sorted((r.a.id, r.b.id) for r in out.collect()) == sorted((p[0], q[0]) for p in rows for q in rows if p[0] < q[0] and near(p, q))
+    assert "Broadcast" not in plan(out)
