@@ -102,11 +102,36 @@ def points_in_tiles(points: DataFrame, tiled: DataFrame, point_id: str, x: str,
     return found.select(F.col("point").alias(point_id), F.col("polygon").alias(polygon_id))
 
 
+def places_of(points: DataFrame, x: str, y: str) -> DataFrame:
+    """The different places (x, y) of points, as doubles, each once; NaN and null are no places."""
+    return points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(~F.isnan("x") & ~F.isnan("y")).distinct()
+
+
 def points_in_polygons(points: DataFrame, edges: DataFrame, point_id: str, x: str, y: str, polygon_id: str, cell: float) -> DataFrame:
     """(point, polygon) for every polygon that holds a point, by the even-odd rule, over cells of a size."""
     return points_in_tiles(points, tiles(edges, polygon_id, cell), point_id, x, y, polygon_id, cell)
 
 
+def outlines_once(polygons: DataFrame, polygon_id: str, rings: str) -> DataFrame:
+    """polygons with those of one outline as one, of the smallest id."""
+    return polygons.groupBy(rings).agg(F.min(polygon_id).alias(polygon_id))
+
+
+def places_held(places: DataFrame, edges: DataFrame, polygon_id: str, cell: float, margin: float = 0.0, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """The places (x, y) that any polygon holds, more than a margin away from its edges, each once.
+
+    A cell that any polygon fills holds all its places, whatever else lies there; the places of other
+    cells meet the polygons that end in theirs.
+    """
+    tiled = written(tiles(edges, polygon_id, cell, margin, box), "tiles")
+    at = places.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
+    full = written(tiled.where(F.col("inside") & (F.size("edges") == 0)).select("cx", "cy").distinct(), "full")
+    rest = at.join(full, ["cx", "cy"], "left_anti").withColumn("place", F.struct("x", "y"))
+    ends = tiled.where(F.size("edges") > 0).join(full, ["cx", "cy"], "left_anti")
+    met = points_in_tiles(rest, ends, "place", "x", "y", polygon_id, cell, margin).select("place.x", "place.y").distinct()
+    return at.join(full, ["cx", "cy"], "left_semi").select("x", "y").unionByName(met)
+
+
 def nearest_outline(points: DataFrame, edges: DataFrame, point_id: str, lat: str, lon: str, cell: float, reach_m: float) -> DataFrame:
     """(point, distance_m): from each point to the nearest segment of any outline; null beyond the reach.
 
@@ -206,8 +231,10 @@ def on_land(positions: DataFrame, land: DataFrame, point_id: str, lat: str, lon:
         return positions.select(point_id).limit(0)
     south, west, north, east = box
     kept = positions.where(F.col(lat).between(south, north) & F.col(lon).between(west, east))
-    tiled = tiles(polygon_edges(land, polygon_id, rings), polygon_id, band, erosion, box)
-    return points_in_tiles(kept, tiled, point_id, lon, lat, polygon_id, band, erosion).select(point_id).distinct()
+    edges = polygon_edges(outlines_once(land, polygon_id, rings), polygon_id, rings)
+    inside = places_held(places_of(kept, lon, lat), edges, polygon_id, band, erosion, box)
+    at = kept.select(point_id, F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y"))
+    return at.join(inside, ["x", "y"], "left_semi").select(point_id).distinct()
 
 
 def fingerprint(df: DataFrame, key: str, ts: str, lat: str, lon: str, tail: float = 0.001) -> DataFrame:
