@@ -108,8 +108,20 @@ def places_of(points: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def points_in_polygons(points: DataFrame, edges: DataFrame, point_id: str, x: str, y: str, polygon_id: str, cell: float) -> DataFrame:
-    """(point, polygon) for every polygon that holds a point, by the even-odd rule, over cells of a size."""
-    return points_in_tiles(points, tiles(edges, polygon_id, cell), point_id, x, y, polygon_id, cell)
+    """(point, polygon) for every polygon that holds a point, by the even-odd rule, over cells of a size.
+
+    Points of one place and polygons of one outline are tested once, and listed after.
+    """
+    names = ("x1", "y1", "x2", "y2")
+    outlines = edges.groupBy(F.col(polygon_id).alias("polygon")).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("edges"))  # one polygon's
+    outlines = written(outlines.withColumn("outline", F.sha2(F.to_json("edges"), 256)), "outlines")
+    each = outlines.groupBy("outline").agg(F.first("edges").alias("edges")).select("outline", F.explode("edges").alias("e")).select("outline", "e.*")
+    places = places_of(points, x, y).withColumn("place", F.struct("x", "y"))
+    held = written(points_in_tiles(places, tiles(each, "outline", cell), "place", "x", "y", "outline", cell), "held")
+    at = points.select(F.col(point_id).alias("point"), F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).alias("place"))
+    # the pairs are the result: only places and outlines, each once, are small enough to be sent anywhere
+    found = held.join(outlines.select("outline", "polygon"), "outline").join(at.hint("merge"), "place")
+    return found.select(F.col("point").alias(point_id), F.col("polygon").alias(polygon_id))
 
 
 def outlines_once(polygons: DataFrame, polygon_id: str, rings: str) -> DataFrame:
