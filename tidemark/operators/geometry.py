@@ -144,6 +144,16 @@ def places_held(places: DataFrame, edges: DataFrame, polygon_id: str, cell: floa
     return at.join(full, ["cx", "cy"], "left_semi").select("x", "y").unionByName(met)
 
 
+def fitting_cell(edges: DataFrame, cell: float, most: int = 8, halvings: int = 8) -> float:
+    """A cell size, at most the one given and halved as often as needed, at which a cell is touched by `most` edges on average."""
+    for _ in range(halvings):
+        n = touched_cells(edges, cell).groupBy("cx", "cy").agg(F.count("*").alias("n")).agg(F.avg("n").alias("n")).first().n
+        if n is None or n <= most:
+            break
+        cell /= 2
+    return cell
+
+
 def nearest_outline(points: DataFrame, edges: DataFrame, point_id: str, lat: str, lon: str, cell: float, reach_m: float) -> DataFrame:
     """(point, distance_m): from each point to the nearest segment of any outline; null beyond the reach.
 
@@ -151,43 +161,45 @@ def nearest_outline(points: DataFrame, edges: DataFrame, point_id: str, lat: str
     that on a plane with the point's scale, and its distance is taken on the sphere. Points look at
     the cells around their own; who finds nothing as near as a cell is high looks again over cells
     twice the size. So a point meets only what lies about as far away as its nearest segment, and an
-    open sea costs a round for each doubling up to the reach. Points repeat as they are given, those
+    open sea costs a round for each doubling up to the reach. Cells start smaller where outlines lie
+    close, and places and edges that repeat are looked at once. Points repeat as they are given, those
     without a place have no distance; latitudes beyond 88 degrees, and outlines across the
     antimeridian, aren't wrapped.
     """
-    e = edges.select("x1", "y1", "x2", "y2")
+    e = written(edges.select("x1", "y1", "x2", "y2").distinct(), "different")
     every = points.select(F.col(point_id).alias("point"), F.col(lat).cast("double").alias("y"), F.col(lon).cast("double").alias("x"))
-    open_ = written(every.where(~F.isnan("y") & ~F.isnan("x")).distinct(), "open")
-    size, found = cell, []
+    open_ = written(places_of(every, "x", "y"), "open")
+    size, found = fitting_cell(e, cell), []
     while True:
         near_m, wide = size * METRES_PER_DEGREE, F.ceil(1 / F.cos(F.radians(F.least(F.abs("y") + size, F.lit(89.0))))).cast("long")
         spread = open_.withColumn("dx", F.explode(F.sequence(-wide, wide))).withColumn("dy", F.explode(F.sequence(F.lit(-1), F.lit(1))))
-        cells = spread.select("point", "x", "y", (F.floor(F.col("x") / size) + F.col("dx")).alias("cx"), (F.floor(F.col("y") / size) + F.col("dy")).alias("cy"))
+        cells = spread.select("x", "y", (F.floor(F.col("x") / size) + F.col("dx")).alias("cx"), (F.floor(F.col("y") / size) + F.col("dy")).alias("cy"))
         scale = F.cos(F.radians("y"))
         dx, dy, ax, ay = (F.col("x2") - F.col("x1")) * scale, F.col("y2") - F.col("y1"), (F.col("x") - F.col("x1")) * scale, F.col("y") - F.col("y1")
         t = F.least(F.greatest(F.coalesce((ax * dx + ay * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
         metres = haversine_m(F.col("y"), F.col("x"), F.col("y1") + t * (F.col("y2") - F.col("y1")), F.col("x1") + t * (F.col("x2") - F.col("x1")))
-        near = cells.join(touched_cells(e, size), ["cx", "cy"]).groupBy("point", "x", "y").agg(F.min(metres).alias("distance_m"))
-        measured = written(open_.alias("o").join(near.alias("n"), (F.col("o.point").eqNullSafe(F.col("n.point"))) & (F.col("o.x") == F.col("n.x")) & (F.col("o.y") == F.col("n.y")), "left").select("o.point", "o.x", "o.y", "distance_m"), "measured")
+        # listed cells are more than Spark's estimate lets it see: no side may be sent to all tasks
+        near = cells.join(touched_cells(e, size).hint("merge"), ["cx", "cy"]).groupBy("x", "y").agg(F.min(metres).alias("distance_m"))
+        measured = written(open_.join(near, ["x", "y"], "left"), "measured")
         found.append(measured.where(F.col("distance_m") <= min(near_m, reach_m)))
         discard(open_)
         if near_m >= reach_m:
             break
-        open_ = written(measured.where(F.col("distance_m").isNull() | (F.col("distance_m") > near_m)).select("point", "x", "y"), "open")
+        open_ = written(measured.where(F.col("distance_m").isNull() | (F.col("distance_m") > near_m)).select("x", "y"), "open")
         if open_.isEmpty():
             discard(open_)
             break
         size *= 2
     near = functools.reduce(DataFrame.unionByName, found)
-    same = (F.col("p.point").eqNullSafe(F.col("f.point"))) & (F.col("p.x") == F.col("f.x")) & (F.col("p.y") == F.col("f.y"))
-    return every.alias("p").join(near.alias("f"), same, "left").select(F.col("p.point").alias(point_id), "distance_m")
+    return every.join(near, ["x", "y"], "left").select(F.col("point").alias(point_id), "distance_m")
 
 
 def distance_to_land(points: DataFrame, land: DataFrame, point_id: str, lat: str, lon: str, reach_m: float, polygon_id: str = "polygon", rings: str = "rings", cell: float = 0.1) -> DataFrame:
     """(point, on_land, distance_m): 0 on land, else to the nearest outline, null beyond the reach. A row for each point id."""
-    edges = written(polygon_edges(land, polygon_id, rings), "edges")
-    held = written(points_in_tiles(points, tiles(edges, polygon_id, cell), point_id, lon, lat, polygon_id, cell).select(F.col(point_id).alias("point")).distinct(), "held")
-    every = points.select(F.col(point_id).alias("point"), F.col(lat).alias("y"), F.col(lon).alias("x"))
+    edges = written(polygon_edges(outlines_once(land, polygon_id, rings), polygon_id, rings), "edges")
+    inside = places_held(places_of(points, lon, lat), edges, polygon_id, cell)
+    every = points.select(F.col(point_id).alias("point"), F.col(lat).cast("double").alias("y"), F.col(lon).cast("double").alias("x"))
+    held = written(every.join(inside, ["x", "y"], "left_semi").select("point").distinct(), "held")
     sea = nearest_outline(every.join(held, "point", "left_anti"), edges, "point", "y", "x", cell, reach_m)
     least = sea.groupBy("point").agg(F.min("distance_m").alias("distance_m")).select(F.col("point").alias(point_id), F.lit(False).alias("on_land"), "distance_m")
     return least.unionByName(held.select(F.col("point").alias(point_id), F.lit(True).alias("on_land"), F.lit(0.0).alias("distance_m")))
