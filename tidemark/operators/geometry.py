@@ -217,19 +217,35 @@ def land_distance_grid(land: DataFrame, box: tuple[float, float, float, float],
 def nearest_within(points: DataFrame, targets: DataFrame, point_id: str, target_id: str, lat: str, lon: str, radius_m: float, columns: Sequence[str] = ()) -> DataFrame:
     """Each point's nearest target within a radius, ties to the smaller id; points without one are left out.
 
-    Cells are as high as the radius; targets list the cells within reach, further east and west
-    where meridians lie close.
+    Places and targets that repeat are looked at once. Rings grow: a place looks no further than a
+    radius at which a cell has about one target, and who finds none there looks twice as far, up to
+    the radius asked for. Cells are four such radii high, so that a place lists one or two each way,
+    further east and west where meridians lie close.
     """
-    size = radius_m / 110_000.0
-    cell = lambda c: F.floor(F.col(c) / size)
-    wide = F.ceil(1 / F.greatest(F.cos(F.radians(F.least(F.abs(F.col(lat)) + size, F.lit(89.0)))), F.lit(0.02))).cast("long")
-    spread = targets.withColumn("__j", F.explode(F.sequence(-wide, wide))).withColumn("__i", F.explode(F.sequence(F.lit(-1), F.lit(1))))
-    t = spread.select((cell(lat) + F.col("__i")).alias("__y"), (cell(lon) + F.col("__j")).alias("__x"), F.col(target_id).alias("__t"), F.col(lat).alias("__lat"), F.col(lon).alias("__lon"))
-    p = points.select(point_id, lat, lon, *columns, cell(lat).alias("__y"), cell(lon).alias("__x"))
-    d = haversine_m(F.col(lat), F.col(lon), F.col("__lat"), F.col("__lon"))
-    near = p.join(t, ["__y", "__x"]).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m)
-    best = near.groupBy(point_id, *columns).agg(F.min(F.struct("distance_m", "__t")).alias("b"))
-    return best.select(point_id, *columns, F.col("b.__t").alias(target_id), F.col("b.distance_m").alias("distance_m"))
+    degrees = radius_m / 110_000.0
+    spots = written(targets.groupBy(F.col(lat).cast("double").alias("__lat"), F.col(lon).cast("double").alias("__lon")).agg(F.min(target_id).alias("__t")).where(~F.isnan("__lat") & ~F.isnan("__lon")), "targets")
+    per_cell = spots.groupBy(F.floor(F.col("__lat") / degrees), F.floor(F.col("__lon") / degrees)).agg(F.count("*").alias("n")).agg(F.avg("n").alias("n")).first().n or 1.0
+    rounds = min(max(math.ceil(math.log(per_cell, 4)), 0), 12)
+    open_, found = written(places_of(points, lon, lat), "open"), []
+    for k in range(rounds, -1, -1):
+        size, reach = degrees / 2**k, radius_m / 2**k
+        cell = lambda c: F.floor(c / (4 * size))  # noqa: B023, E731
+        wide = size / F.greatest(F.cos(F.radians(F.least(F.abs("y") + size, F.lit(89.0)))), F.lit(0.02))
+        listed = open_.withColumn("__x", F.explode(F.sequence(cell(F.col("x") - wide), cell(F.col("x") + wide)))).withColumn("__y", F.explode(F.sequence(cell(F.col("y") - size), cell(F.col("y") + size))))
+        t = spots.select("*", cell(F.col("__lat")).alias("__y"), cell(F.col("__lon")).alias("__x"))
+        d = haversine_m(F.col("y"), F.col("x"), F.col("__lat"), F.col("__lon"))
+        # listed cells are more than Spark's estimate lets it see: they may not be sent to all tasks
+        near = listed.hint("merge").join(t, ["__y", "__x"]).withColumn("distance_m", d).where(F.col("distance_m") <= reach)
+        best = written(near.groupBy("x", "y").agg(F.min(F.struct("distance_m", "__t")).alias("b")), "nearest")
+        found.append(best)
+        if k:
+            later = written(open_.join(best, ["x", "y"], "left_anti"), "open")
+            discard(open_)
+            open_ = later
+    nearest = functools.reduce(DataFrame.unionByName, found)
+    at = points.select(point_id, *columns, F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y"))
+    each = at.join(nearest, ["x", "y"]).groupBy(point_id, *columns).agg(F.min("b").alias("b"))
+    return each.select(point_id, *columns, F.col("b.__t").alias(target_id), F.col("b.distance_m").alias("distance_m"))
 
 
 def two_way_coverage(left: DataFrame, right: DataFrame, left_id: str, right_id: str, lat: str, lon: str, radius_m: float) -> DataFrame:
