@@ -73,3 +73,24 @@ def test_pairs_list_five_cells_and_are_not_broadcast(spark):
     out = jn.proximity_pairs(spark.createDataFrame(rows, "id long, x double, y double"), "id", "x", "y", 1.0, F.expr("pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 1"))
     assert sorted((r.a.id, r.b.id) for r in out.collect()) == sorted((p[0], q[0]) for p in rows for q in rows if p[0] < q[0] and near(p, q))
     assert "Broadcast" not in plan(out)
+
+
+def test_verdicts_count_keys_without_meeting_them(spark, monkeypatch):
+    import numpy as np
+
+    rng = random.Random(9)
+    x, y, a, b = (np.array([rng.randrange(30) for _ in range(n)]) for n in (70, 70, 40, 40))
+    assert d.counted_below(x, y, a, b).tolist() == [int(((x < i) & (y <= j)).sum()) for i, j in zip(a, b)]
+    assert d.counted_below(x[:0], y[:0], a, b).tolist() == [0] * 40
+    heard = [(c, k, at(h + m / 60)) for c, k, h, m in ((rng.choice("abc"), rng.randrange(12), rng.randrange(200), rng.randrange(60)) for _ in range(700))]
+    gaps = [(i, i % 14, at(s := rng.uniform(60, 190)), at(s + rng.choice((0.2, 3, 30)))) for i in range(60)]
+    cells = [(i, c) for i, *_ in gaps for c in rng.sample("abcd", 1 + i % 3)]
+    seen = d.presence(spark.createDataFrame(heard, "cell string, k long, t timestamp_ntz"), ["cell"], "t", "k")
+    out = d.liveness_verdict(spark.createDataFrame(gaps, "gap long, k long, gap_start timestamp_ntz, gap_end timestamp_ntz"), spark.createDataFrame(cells, "gap long, cell string"), seen, ["gap"], ["cell"], "k", baseline_days=3)
+    rows = [(r.cell, r.k, r.cell_hour, r.first_seen, r.last_seen) for r in seen.collect()]
+    for r in out.collect():
+        mine = [q for q in rows if (r.gap, q[0]) in cells and q[1] != r.k]
+        alive = {q[1] for q in mine if q[4] >= r.gap_start and q[3] <= r.gap_end}
+        before = [q[1] for q in mine if 1 <= (r.gap_start.date() - q[2].date()).days <= 3]
+        hours = (r.gap_end - r.gap_start).total_seconds() / 3600
+        assert (r.n_corroborators, r.n_baseline) == (len(alive), len(set(before))) and abs(r.expected - len(before) / 72 * hours) < 1e-9
