@@ -94,3 +94,10 @@ def test_verdicts_count_keys_without_meeting_them(spark, monkeypatch):
         before = [q[1] for q in mine if 1 <= (r.gap_start.date() - q[2].date()).days <= 3]
         hours = (r.gap_end - r.gap_start).total_seconds() / 3600
         assert (r.n_corroborators, r.n_baseline) == (len(alive), len(set(before))) and abs(r.expected - len(before) / 72 * hours) < 1e-9
+
+
+def test_listed_buckets_are_not_broadcast(spark):
+    df = spark.createDataFrame([(1, at(0), at(30)), (2, at(29), at(31)), (3, at(40), at(41))], "id long, s timestamp_ntz, e timestamp_ntz")
+    out = jn.overlapping_pairs(df, df, [], "s", "e")
+    assert sorted((r.l.id, r.r.id) for r in out.collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]
+    assert "Broadcast" not in plan(out)
