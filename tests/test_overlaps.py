@@ -101,3 +101,36 @@ def test_listed_buckets_are_not_broadcast(spark):
     out = jn.overlapping_pairs(df, df, [], "s", "e")
     assert sorted((r.l.id, r.r.id) for r in out.collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]
     assert "Broadcast" not in plan(out)
+
+
+def test_episodes_of_slots_are_those_of_pairs(spark, monkeypatch):
+    from tidemark.operators import meetings as mt
+
+    rng = random.Random(12)
+    rows = [(k, at(h / 6), 55 + rng.randrange(9) / 200, (180.0 if k % 9 == 0 else 10.0) + rng.randrange(9) / 100, float(rng.randrange(5)), float(rng.randrange(5))) for k in range(14) for h in sorted(rng.sample(range(160), 60))] + [(None, at(0), 55.0, 10.0, 1.0, 1.0), (3, at(0.01), None, 10.0, 1.0, 1.0)]
+    slots = d.slot_movement(spark.createDataFrame(rows, "mmsi long, slot timestamp_ntz, latitude double, longitude double, sog double, max_sog double"), "mmsi", 5)
+    told = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    for frame in (slots, slots.drop("before", "after"), slots.withColumn("mmsi", slots.mmsi.cast("string"))):
+        want = d.encounter_episodes(d.pair_slots(frame, "mmsi", 3.0, 1500.0, 0.05))
+        monkeypatch.setattr(mt, "GROUP_SLOTS", 100)
+        got = mt.slot_episodes(frame, "mmsi", 3.0, 1500.0)
+        assert got.dtypes == want.dtypes and told(got) == told(want) and got.count() > 50
+    # slots are dealt by pairs of groups, and no pair is exchanged
+    assert "hashpartitioning(x" in plan(got) and "hashpartitioning(key_a" not in plan(got) and "Join" not in plan(got)
+
+
+def test_near_rows_are_those_of_brute_force(monkeypatch):
+    import numpy as np
+
+    from tidemark.operators import meetings as mt
+
+    monkeypatch.setattr(mt, "CHUNK_PAIRS", 50)
+    rng = np.random.default_rng(3)
+    for lat0, lon0, spread, far in ((0, 0, 2, 30_000), (60, -180, 360, 900_000), (89, -180, 360, 400_000), (-50, 100, 1, 20_000)):
+        n = 90
+        code, slot, own = rng.integers(0, 20, n), rng.integers(0, 3, n), rng.random(n) < 0.6
+        lat, lon = lat0 + rng.random(n), lon0 + rng.random(n) * spread
+        for within in (True, False):
+            got = [(int(i), int(j)) for a, b, _ in mt.near(code, slot, lat, lon, own, within, far) for i, j in zip(a, b)]
+            want = {(i, j) for i in range(n) for j in range(n) if own[i] and slot[i] == slot[j] and (within and code[i] < code[j] if own[j] else code[i] != code[j]) and spark_haversine(lat[i], lon[i], lat[j], lon[j]) <= far}
+            assert want and set(got) == want and len(got) == len(want)
