@@ -111,7 +111,10 @@ def test_episodes_of_slots_are_those_of_pairs(spark, monkeypatch):
     slots = d.slot_movement(spark.createDataFrame(rows, "mmsi long, slot timestamp_ntz, latitude double, longitude double, sog double, max_sog double"), "mmsi", 5)
     told = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
     for frame in (slots, slots.drop("before", "after"), slots.withColumn("mmsi", slots.mmsi.cast("string"))):
-        want = d.encounter_episodes(d.pair_slots(frame, "mmsi", 3.0, 1500.0, 0.05))
+        pairs = d.pair_slots(frame, "mmsi", 3.0, 1500.0, 0.05)
+        found = mt.slot_pairs(frame, "mmsi", 3.0, 1500.0)
+        assert found.dtypes == pairs.dtypes and told(found) == told(pairs)
+        want = d.encounter_episodes(pairs)
         monkeypatch.setattr(mt, "GROUP_SLOTS", 100)
         got = mt.slot_episodes(frame, "mmsi", 3.0, 1500.0)
         assert got.dtypes == want.dtypes and told(got) == told(want) and got.count() > 50
