@@ -137,3 +137,19 @@ def test_near_rows_are_those_of_brute_force(monkeypatch):
             got = [(int(i), int(j)) for a, b, _ in mt.near(code, slot, lat, lon, own, within, far) for i, j in zip(a, b)]
             want = {(i, j) for i in range(n) for j in range(n) if own[i] and slot[i] == slot[j] and (within and code[i] < code[j] if own[j] else code[i] != code[j]) and spark_haversine(lat[i], lon[i], lat[j], lon[j]) <= far}
             assert want and set(got) == want and len(got) == len(want)
+
+
+def test_rows_that_differ_in_their_id_alone_are_looked_at_once(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(13)
+    rows = [(i, float(rng.randrange(6)), float(rng.randrange(6)), rng.choice("pq")) for i in range(120)] + [(7, 1.0, 1.0, "p"), (None, 1.0, 1.0, "p"), (500, None, 1.0, "p")]
+    d2 = F.expr("pow(a.x - b.x, 2) + pow(a.y - b.y, 2)")
+    out = jn.proximity_pairs(spark.createDataFrame(rows, "id long, x double, y double, k string").repartition(3), "id", "x", "y", 1.5, (d2 <= 2) & (F.col("a.k") <= F.col("b.k")), values={"d": d2})
+    far = lambda p, q: (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2
+    whole = [p for p in rows if None not in p]
+    want = sorted((p, q, far(p, q)) for p in whole for q in whole if p[0] < q[0] and p[3] <= q[3] and far(p, q) <= 2)
+    assert sorted((tuple(r.a), tuple(r.b), r.d) for r in out.collect()) == want
+    # ids are put together before rows meet, and parted after
+    text = plan(out).split("Initial Plan")[0]
+    assert text.index("Generate explode(__j") < text.index("SortMergeJoin") < text.index("collect_list")
